@@ -53,19 +53,23 @@ def _edge_literal(edges: Iterable[float]) -> Column:
     return F.expr("array(" + ", ".join(f"double('{e!r}')" for e in edges) + ")")
 
 
-def range_index(value, edges: list[float] | Column, parts: int) -> Column:
-    """How many cut points lie below the value, by bisection; `parts` is a power of two."""
+def range_index(value, edges: list[float] | Column, parts: int, inclusive: bool = False) -> Column:
+    """How many of the parts-1 ascending cut points lie below the value (or at it, if inclusive).
+
+    Bisection, so `parts` is a power of two.
+    """
     if isinstance(edges, list):
         if not edges:
             return F.lit(0)
         edges = _edge_literal(edges)
     v = as_col(value).cast("double")
     steps = [parts >> i for i in range(1, parts.bit_length())]
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda pos, step: F.when(F.element_at(edges, pos + step) < v, pos + step).otherwise(pos),
-    )
+
+    def move(pos: Column, step: Column) -> Column:
+        edge = F.element_at(edges, pos + step)
+        return F.when((edge <= v) if inclusive else (edge < v), pos + step).otherwise(pos)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), move)
 
 
 def split_hot(
@@ -127,24 +131,29 @@ def next_value(
 
 
 def running_totals(
-    df: DataFrame, order: str, sums: Mapping[str, Column], *, by=(), descending: bool = False, parts: int = PARTS
+    df: DataFrame, order: str, sums: Mapping[str, Column], *, by=(), descending: bool = False, parts: int = PARTS,
+    edges: list[float] | None = None,
 ) -> DataFrame:
     """Inclusive running sums along `order` inside each `by` group.
 
     `df` holds one row per (by, order) value, so ties are already merged. The number of groups must be small
     (columns of a profile, classes): their cut points are planned on the driver, parts-1 numbers per group.
+    Without groups, `edges` may hand in cut points that are known already.
     """
     by = as_list(by)
-    probs = [i / parts for i in range(1, parts)]
-    value = F.col(order).cast("double")
-    edges = df.groupBy(*by).agg(F.percentile_approx(value, probs, 10 * parts).alias("_edges")).collect()
     if by:
-        schema = T.StructType([df.schema[c] for c in by] + [T.StructField("_edges", T.ArrayType(T.DoubleType()))])
-        rows = [tuple(r[c] for c in by) + ([float(x) for x in r["_edges"] or []],) for r in edges]
-        cuts = F.broadcast(df.sparkSession.createDataFrame(rows, schema))
-        cut = df.join(cuts, by).withColumn("_b", range_index(order, F.col("_edges"), parts)).drop("_edges")
+        probs = [i / parts for i in range(1, parts)]
+        value = F.col(order).cast("double")
+        found = df.groupBy(*by).agg(F.percentile_approx(value, probs, 10 * parts).alias("_edges")).collect()
+        index = F.lit(0)
+        for r in found:
+            here = F.lit(True)
+            for c in by:
+                here = here & F.col(c).eqNullSafe(F.lit(r[c]))
+            index = F.when(here, range_index(order, [float(x) for x in r["_edges"] or []], parts)).otherwise(index)
     else:
-        cut = df.withColumn("_b", range_index(order, [float(x) for x in edges[0]["_edges"] or []], parts))
+        index = range_index(order, quantile_edges(df, order, parts) if edges is None else edges, parts)
+    cut = df.withColumn("_b", index)
 
     direction = F.desc if descending else F.asc
     group = [F.col(c) for c in by] or [F.lit(0)]

@@ -539,12 +539,12 @@ def sum_min_count(spark, sf):
     )
 
 
-@query("weighted_mean", """SELECT l_orderkey, round(CASE WHEN sum(w) > 0 THEN sum(l_extendedprice * w) / sum(w) END, 8) AS price_wmean
-FROM (SELECT *, CASE WHEN l_quantity > 10 THEN l_quantity END AS w FROM lineitem) GROUP BY 1""")
+@query("weighted_mean", """SELECT l_orderkey, round(CASE WHEN sum(w) > 0 THEN sum(l_extendedprice * w) / sum(w) END, 6) AS price_wmean
+FROM (SELECT *, CASE WHEN l_quantity > 10 THEN l_quantity + 10 * l_tax + 0.37 END AS w FROM lineitem) GROUP BY 1""")
 def weighted_mean(spark, sf):
-    weight = F.when(F.col("l_quantity") > 10, F.col("l_quantity"))
+    weight = F.when(F.col("l_quantity") > 10, F.col("l_quantity") + 10 * F.col("l_tax") + 0.37)
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        F.round(A.weighted_mean("l_extendedprice", weight), 8).alias("price_wmean")
+        r6(A.weighted_mean("l_extendedprice", weight)).alias("price_wmean")
     )
 
 

@@ -23,6 +23,9 @@ def connect(sf: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+TIMES: list[float] = []
+
+
 def norm(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return None
@@ -51,9 +54,14 @@ def rows_of(names, rows):
 
 def compare(df, con, sql: str) -> str:
     """Empty text if equal, else what differs."""
-    left_names, left = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    t0 = time.time()
+    collected = [tuple(r) for r in df.collect()]
+    t1 = time.time()
     cur = con.execute(sql)
-    right_names, right = rows_of([d[0] for d in cur.description], cur.fetchall())
+    fetched = cur.fetchall()
+    TIMES[:] = [t1 - t0, time.time() - t1]
+    left_names, left = rows_of(df.columns, collected)
+    right_names, right = rows_of([d[0] for d in cur.description], fetched)
     if left_names != right_names:
         return f"columns {left_names} vs {right_names}"
     if len(left) != len(right):
@@ -93,7 +101,7 @@ def main(argv):
             diff, n = f"{type(e).__name__}: {str(e)[:600]}", "-"
         mark = "ok " if not diff else "BAD"
         bad += bool(diff)
-        print(f"{mark} {name} {'sql' if name in oracles else 'rows'} {n} {time.time() - start:.2f}s {diff}", flush=True)
+        print(f"\n{mark} {name} {'sql' if name in oracles else 'rows'} {n} {time.time() - start:.2f}s (run, oracle: {[round(t, 2) for t in TIMES]}) {diff}", flush=True)
     print(f"{len(names) - bad}/{len(names)} good")
 
 
