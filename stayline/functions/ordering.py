@@ -42,15 +42,19 @@ def hot_keys(
     return df.sparkSession.createDataFrame(rows, schema), float(heavy[0]["_n"])
 
 
-def quantile_edges(df: DataFrame, value, parts: int = PARTS) -> list[float]:
-    """parts-1 ascending cut points that split the rows into ranges of about equal size."""
-    probs = [i / parts for i in range(1, parts)]
-    row = df.agg(F.percentile_approx(as_col(value).cast("double"), probs, 10 * parts).alias("e")).first()
-    return [float(x) for x in (row["e"] or [])]
+def number_array(values: Iterable[float]) -> Column:
+    """A constant array that stays one small expression until it is folded to a single literal."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
 
+def range_cuts(value, parts: int = PARTS) -> Column:
+    """Aggregate: parts-1 ascending cut points that split the rows into ranges of about equal size."""
+    probs = number_array(i / parts for i in range(1, parts))
+    return F.percentile_approx(as_col(value).cast("double"), probs, 10 * parts)
 
-def _edge_literal(edges: Iterable[float]) -> Column:
-    return F.expr("array(" + ", ".join(f"double('{e!r}')" for e in edges) + ")")
+
+def quantile_edges(df: DataFrame, value, parts: int = PARTS) -> list[float]:
+    return list(df.agg(range_cuts(value, parts).alias("e")).first()["e"] or [])
 
 
 def range_index(value, edges: list[float] | Column, parts: int, inclusive: bool = False) -> Column:
@@ -61,7 +65,7 @@ def range_index(value, edges: list[float] | Column, parts: int, inclusive: bool
     if isinstance(edges, list):
         if not edges:
             return F.lit(0)
-        edges = _edge_literal(edges)
+        edges = number_array(edges)
     v = as_col(value).cast("double")
     steps = [parts >> i for i in range(1, parts.bit_length())]
 
@@ -142,15 +146,13 @@ def running_totals(
     """
     by = as_list(by)
     if by:
-        probs = [i / parts for i in range(1, parts)]
-        value = F.col(order).cast("double")
-        found = df.groupBy(*by).agg(F.percentile_approx(value, probs, 10 * parts).alias("_edges")).collect()
+        found = df.groupBy(*by).agg(range_cuts(order, parts).alias("_edges")).collect()
         index = F.lit(0)
         for r in found:
             here = F.lit(True)
             for c in by:
                 here = here & F.col(c).eqNullSafe(F.lit(r[c]))
-            index = F.when(here, range_index(order, [float(x) for x in r["_edges"] or []], parts)).otherwise(index)
+            index = F.when(here, range_index(order, list(r["_edges"] or []), parts)).otherwise(index)
     else:
         index = range_index(order, quantile_edges(df, order, parts) if edges is None else edges, parts)
     cut = df.withColumn("_b", index)

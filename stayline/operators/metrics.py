@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stayline.functions.ordering import PARTS, range_index, running_totals
+from stayline.functions.ordering import PARTS, number_array, range_cuts, range_index, running_totals
 from stayline.functions.scalars import ratio
 
 
@@ -24,10 +24,8 @@ def score_counts(df: DataFrame, label: str = "label", score: str = "prob") -> Da
 def pr_curve(df: DataFrame, label: str = "label", score: str = "prob", parts: int = PARTS) -> DataFrame:
     """tp, fp, precision and recall of `score >= threshold` for every distinct score."""
     counts = score_counts(df, label, score)
-    probs = [i / parts for i in range(1, parts)]
     plan = counts.agg(
-        F.sum("_p").alias("pos"), F.sum("_n").alias("neg"),
-        F.percentile_approx("threshold", probs, 10 * parts).alias("edges"),
+        F.sum("_p").alias("pos"), F.sum("_n").alias("neg"), range_cuts("threshold", parts).alias("edges")
     ).first()
     pos, neg, edges = plan["pos"] or 0, plan["neg"] or 0, list(plan["edges"] or [])
     sums = {"tp": F.col("_p"), "fp": F.col("_n")}
@@ -152,7 +150,7 @@ def threshold_sweep(df: DataFrame, grid: list[float] | None = None, label="label
     parts = 1 << len(grid).bit_length()
     padded = grid + [float("inf")] * (parts - 1 - len(grid))
     reached = range_index(score, padded, parts, inclusive=True)
-    levels = F.expr("array(" + ", ".join(f"double('{g!r}')" for g in grid) + ")")
+    levels = number_array(grid)
     counts = df.groupBy(reached.alias("_k")).agg(
         F.count(F.when(F.col(label) == 1, 1)).alias("_p"), F.count(F.when(F.col(label) == 0, 1)).alias("_n")
     )
