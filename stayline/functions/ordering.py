@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -197,33 +198,112 @@ def dense_rank_by_hash(
     )
 
 
-def to_long(df: DataFrame, cols: Iterable[str], variable: str = "variable", value: str = "value") -> DataFrame:
-    """One (variable, value) row per non-null cell of the numeric columns."""
-    cols = list(cols)
-    wide = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    return wide.unpivot([], cols, variable, value).filter(F.col(value).isNotNull() & ~F.isnan(value))
+def clean(column: str) -> Column:
+    """The column as a double, NaN as NULL."""
+    v = F.col(column).cast("double")
+    return F.when(~F.isnan(v), v)
 
 
-def exact_quantiles(df: DataFrame, cols: Iterable[str], probs: Iterable[float], parts: int = PARTS) -> DataFrame:
-    """(variable, q0, q1, ...) with linear interpolation, from counts per distinct value.
+@dataclass
+class _Search:
+    """Interval [low, high] that holds the wanted ranks of one column, with `below` rows under it."""
 
-    Unlike `percentile`, no task holds all values of a column.
+    column: str
+    prob: int
+    first: int
+    last: int
+    inside: int
+    below: int = 0
+    low: float = -math.inf
+    high: float = math.inf
+
+    def within(self) -> Column:
+        v = clean(self.column)
+        return F.when((v >= self.low) & (v <= self.high), v)
+
+
+def exact_quantiles(
+    df: DataFrame, cols: Iterable[str], probs: Iterable[float], accuracy: int = 10_000, small: int = 50_000
+) -> dict[str, list[float | None]]:
+    """Exact quantiles with linear interpolation, as {column: [one value per prob]}.
+
+    Sketches bracket each quantile, counts check the bracket, and only values inside it are sorted, so the
+    data is scanned a few times and hardly shuffled. `percentile` would hold all values in one task.
     """
-    probs = list(probs)
-    counts = to_long(df, cols).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("variable").agg(F.sum("n").alias("_n"))
-    ranked = running_totals(counts, "value", {"_cum": F.col("n")}, by="variable", parts=parts).join(
-        F.broadcast(totals), "variable"  # one row per profiled column
+    cols, probs = list(dict.fromkeys(cols)), list(probs)
+    sizes = df.agg(*[F.count(clean(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    searches = []
+    for i, c in enumerate(cols):
+        n = sizes[f"n{i}"]
+        for j, q in enumerate(probs):
+            if n:
+                at = (n - 1) * q
+                searches.append(_Search(c, j, math.floor(at), math.ceil(at), n))
+    wide = [s for s in searches if s.inside > small]
+    while wide:
+        wide = _narrow(df, wide, accuracy, small)
+    found = _values_at(df, searches)
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
+    for s in searches:
+        lo, hi = found[(s.column, s.prob)]
+        at = (sizes[f"n{cols.index(s.column)}"] - 1) * probs[s.prob]
+        out[s.column][s.prob] = lo + (hi - lo) * (at - s.first)
+    return out
+
+
+def _narrow(df: DataFrame, searches: list[_Search], accuracy: int, small: int) -> list[_Search]:
+    """One bracketing round: a sketch pass and a counting pass. Returns the searches that need another."""
+    aggs = []
+    for i, s in enumerate(searches):
+        margin = 2.0 / accuracy
+        lo = max(0.0, (s.first - s.below) / s.inside - margin)
+        hi = min(1.0, (s.last - s.below + 1) / s.inside + margin)
+        aggs.append(F.percentile_approx(s.within(), number_array([lo, hi]), accuracy).alias(f"c{i}"))
+    cuts = df.agg(*aggs).first()
+    counts = []
+    for i, s in enumerate(searches):
+        lo, hi = cuts[f"c{i}"]
+        v = s.within()
+        counts.append(F.count(F.when(v < lo, 1)).alias(f"b{i}"))
+        counts.append(F.count(F.when((v >= lo) & (v <= hi), 1)).alias(f"i{i}"))
+    seen = df.agg(*counts).first()
+    open_searches = []
+    for i, s in enumerate(searches):
+        below, inside = s.below + seen[f"b{i}"], seen[f"i{i}"]
+        if not (below <= s.first and s.last < below + inside):
+            raise RuntimeError(f"sketch of {s.column} missed its quantile; raise the accuracy")
+        shrunk = inside < s.inside
+        s.low, s.high, s.below, s.inside = cuts[f"c{i}"][0], cuts[f"c{i}"][1], below, inside
+        # one repeated value fills the bracket, or the bracket no longer shrinks: grouping by value settles it
+        if inside > small and shrunk and s.low < s.high:
+            open_searches.append(s)
+    return open_searches
+
+
+def _values_at(df: DataFrame, searches: list[_Search]) -> dict[tuple[str, int], tuple[float, float]]:
+    """The values at the wanted ranks, from counts per distinct value inside each bracket."""
+    if not searches:
+        return {}
+    by_interval: dict[tuple[str, float, float], list[_Search]] = {}
+    for s in searches:
+        by_interval.setdefault((s.column, s.low, s.high), []).append(s)
+    groups = list(by_interval.values())
+    entries = F.array(*[F.struct(F.lit(g).alias("g"), group[0].within().alias("v")) for g, group in enumerate(groups)])
+    counts = (
+        df.select(F.explode(F.filter(entries, lambda e: e["v"].isNotNull())).alias("e")).groupBy("e.g", "e.v")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
+    # brackets hold few distinct values by now
+    w = Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("cum", F.sum("n").over(w))
     aggs = []
-    for i, q in enumerate(probs):
-        pos = (F.col("_n") - 1) * F.lit(float(q))
-        aggs.append(F.min(F.when(F.col("_cum") > F.floor(pos), F.col("value"))).alias(f"_lo{i}"))
-        aggs.append(F.min(F.when(F.col("_cum") > F.ceil(pos), F.col("value"))).alias(f"_hi{i}"))
-    found = ranked.groupBy("variable").agg(F.first("_n").alias("_n"), *aggs)
-    out = []
-    for i, q in enumerate(probs):
-        pos = (F.col("_n") - 1) * F.lit(float(q))
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(f"q{i}"))
-    return found.select("variable", *out)
+    for g, group in enumerate(groups):
+        for k, s in enumerate(group):
+            for name, rank in (("a", s.first), ("z", s.last)):
+                hit = (F.col("g") == g) & (F.col("cum") > rank - s.below)
+                aggs.append(F.min(F.when(hit, F.col("v"))).alias(f"{name}{g}_{k}"))
+    row = ranked.agg(*aggs).first()
+    return {
+        (s.column, s.prob): (row[f"a{g}_{k}"], row[f"z{g}_{k}"])
+        for g, group in enumerate(groups) for k, s in enumerate(group)
+    }

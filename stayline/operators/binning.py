@@ -12,8 +12,8 @@ from stayline.functions.ordering import exact_quantiles
 
 def quantile_cuts(df: DataFrame, column: str, bins: int = 5) -> list[float]:
     """Distinct ascending bin edges at the exact quantiles 0, 1/bins, ..., 1."""
-    row = exact_quantiles(df, [column], [i / bins for i in range(bins + 1)]).first()
-    return sorted({row[f"q{i}"] for i in range(bins + 1)}) if row else []
+    values = exact_quantiles(df, [column], [i / bins for i in range(bins + 1)])[column]
+    return sorted({v for v in values if v is not None})
 
 
 def _shown(edge: float, precision: int) -> float:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.functions.columns import as_list
-from stayline.functions.ordering import exact_quantiles, to_long
+from stayline.functions.ordering import clean, exact_quantiles
 from stayline.operators.filters import varies
 
 
@@ -64,15 +64,31 @@ def duplicate_rows(df: DataFrame, keys, row_id: str) -> DataFrame:
     return tagged.join(groups, "_f").withColumn("is_extra", F.col(row_id) > F.col("_first")).drop("_f", "_first")
 
 
+def per_column(df: DataFrame, measures: Mapping[str, Mapping[str, Column]]) -> DataFrame:
+    """One aggregate over the wide table, turned into one row per column: {column: {measure: aggregate}}."""
+    one = df.agg(*[
+        agg.alias(f"_{i}_{name}") for i, aggs in enumerate(measures.values()) for name, agg in aggs.items()
+    ])
+    lines = [
+        F.struct(F.lit(c).alias("variable"), *[F.col(f"_{i}_{name}").alias(name) for name in aggs])
+        for i, (c, aggs) in enumerate(measures.items())
+    ]
+    return one.select(F.explode(F.array(*lines)).alias("l")).select("l.*")
+
+
 def describe(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """count, mean, sample sd, min, exact quartiles and max per column."""
     cols = list(cols)
-    moments = to_long(df, cols).groupBy("variable").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-    )
-    quartiles = exact_quantiles(df, cols, [0.25, 0.5, 0.75]).withColumnsRenamed({"q0": "p25", "q1": "p50", "q2": "p75"})
-    return moments.join(F.broadcast(quartiles), "variable")  # one row per column
+    quartiles = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+    measures = {}
+    for c in cols:
+        v = clean(c)
+        p25, p50, p75 = (F.lit(x).cast("double") for x in quartiles[c])
+        measures[c] = {
+            "count": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "p25": p25, "p50": p50,
+            "p75": p75, "max": F.max(v),
+        }
+    return per_column(df, measures)
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:

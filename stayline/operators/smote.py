@@ -87,6 +87,8 @@ def nearest_neighbors(df: DataFrame, key: str, vector: str, k: int = 5, cell_row
         ranged.join(slots, "_b").withColumn("_s", F.pmod(F.xxhash64("key"), "_slots").cast("int")).drop("_slots")
     )
     own = _best(_visits(members, members, k, cell_rows), k)
+    if n <= cell_rows:  # a single cell has seen all rows
+        return own
     reach = F.when(F.size("near") >= k, F.element_at("near", -1)["dist"])
     bounded = cut_lineage(members.join(own, "key", "left").withColumn("_r", reach * (1 + 1e-9) + 1e-12))
     low = F.when(F.col("_r").isNull(), F.lit(0)).otherwise(range_index(F.col("_d") - F.col("_r"), edges, parts))
@@ -122,7 +124,7 @@ def smote(
     k = min(k, m - 1)
     if k < 1:
         raise ValueError("a minority of fewer than two rows has no neighbours; copy rows instead")
-    rare = base.filter(F.col(label) == minority)
+    rare = cut_lineage(base.filter(F.col(label) == minority))
     near = nearest_neighbors(rare, key, vector, k, cell_rows)
     numbered = dense_rank_by_hash(rare.withColumn("_h", hash32(key, seed=seed)), "_h", key, "_rank").drop("_h")
     chosen = (

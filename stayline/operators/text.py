@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.functions.columns import as_col, ordered_unique
 from stayline.functions.scalars import WORD, word_count
-from stayline.operators.codes import MAX_BROADCAST_ROWS, small_table
+from stayline.operators.codes import MAX_BROADCAST_ROWS
 from stayline.sources.reference import EXTRA_STOP_WORDS, STOP_WORDS
 
 
@@ -40,11 +40,16 @@ def lemma_normalize(
 ) -> DataFrame:
     """(key, lemmas): tokens mapped by a (token, lemma) table, then alphabetic non-stop lemmas in order.
 
-    The dictionary is broadcast only if it is small. The lists are rebuilt per document; its tokens are
-    still together on the map side, so the shuffle moves one list per document.
+    With a small dictionary the texts are partitioned by key once and the lists are rebuilt in place; a large
+    one is joined by token instead, and the lists are regrouped afterwards.
     """
-    tokens = df.select(key, F.posexplode_outer(words(text)).alias("_pos", "token"))
-    mapped = tokens.join(small_table(dictionary.select("token", "lemma")), "token", "left")
+    pairs_table = dictionary.select("token", "lemma")
+    small = pairs_table.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    texts = df.select(key, text)
+    if small:
+        texts, pairs_table = texts.repartition(F.col(key)), F.broadcast(pairs_table)
+    tokens = texts.select(key, F.posexplode_outer(words(text)).alias("_pos", "token"))
+    mapped = tokens.join(pairs_table, "token", "left")
     lemma = F.lower(F.coalesce("lemma", "token"))
     keep = lemma.rlike(r"^\p{L}+$") & ~lemma.isin(list(stop))
     pairs = F.collect_list(F.when(keep, F.struct("_pos", lemma.alias("l"))))
@@ -86,8 +91,8 @@ def tfidf_long(df: DataFrame, key: str, tokens: str, max_features: int = 2000) -
         top = F.broadcast(top)
     raw = counts.join(top.drop("n"), "term").withColumn("_w", F.col("tf") * smooth_idf("df", F.lit(n_docs)))
     # at most max_features rows per document
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("_w") / norm).alias("weight"))
 
 
 def tfidf_vectors(df: DataFrame, key: str, tokens: str, max_features: int = 2000, out: str = "tfidf"):

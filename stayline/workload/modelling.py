@@ -20,7 +20,7 @@ from stayline.sources.tables import load_model, save_model
 from stayline.workload.registry import query
 from stayline.workload.relational import r6
 from stayline.workload.roles import table
-from stayline.workload.textual import TOKENS, lemmas
+from stayline.workload.textual import TOKENS, lemma_table
 
 NAMES = ["n_chars", "n_words", "tfidf__the", "tfidf__heed", "tfidf__thing heed"]
 
@@ -33,12 +33,9 @@ def share(tokens, word):
 def features(spark, sf):
     """Labelled documents with a small numeric feature array."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars")
-    tokens = TX.words("text")
-    cols = [
-        F.log1p("n_chars"), S.word_count("text") / 1000.0, share(tokens, "the"), share(tokens, "heed"), share(tokens, "thing"),
-    ]
+    cols = [F.log1p("n_chars"), S.word_count("text") / 1000.0, *[share("_tokens", t) for t in ("the", "heed", "thing")]]
     rows = table(spark, sf, "labels").select("doc_id", "toxic", "quality").join(docs, "doc_id")
-    return rows.withColumn("x", F.array(*[c.cast("double") for c in cols]))
+    return rows.withColumn("_tokens", TX.words("text")).withColumn("x", F.array(*[c.cast("double") for c in cols])).drop("_tokens")
 
 
 def training(spark, sf, folds: int = 3):
@@ -120,7 +117,7 @@ def block_standardise(spark, sf):
 SELECT 'tfidf' AS dataset, n AS n_rows, 502 AS width FROM b UNION ALL SELECT 'embedding', n, 66 FROM b UNION ALL SELECT 'both', n, 566 FROM b""")
 def fuse_datasets(spark, sf):
     df = features(spark, sf).select("doc_id", "toxic", "n_chars", S.word_count("text").alias("words"), "lang")
-    vectors, _ = TX.tfidf_vectors(lemmas(spark, sf), "doc_id", "lemmas", max_features=500)
+    vectors, _ = TX.tfidf_vectors(lemma_table(spark, sf), "doc_id", "lemmas", max_features=500)
     emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     fused = TX.fuse_datasets(df, "doc_id", "toxic", ["n_chars", "words"], vectors, emb)
     width = F.max(F.size(vector_to_array("features")))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from stayline.operators import limits as T
 from stayline.operators import text as TX
+from stayline.session import cut_lineage
 from stayline.sources.reference import EXTRA_STOP_WORDS, STOP_WORDS
 from stayline.workload.registry import query
 from stayline.workload.relational import r6
@@ -42,13 +42,18 @@ def documents(spark, sf):
 def dictionary(spark, sf):
     seen = documents(spark, sf).select(F.explode(TX.words("text")).alias("token")).distinct()
     stems = seen.select(F.col("token").alias("lemma"), F.concat("token", F.lit("s")).alias("token"))
-    return seen.join(stems, "token").select("token", "lemma")
+    return cut_lineage(seen.join(stems, "token").select("token", "lemma"))
 
 
 def lemmas(spark, sf):
     return TX.lemma_normalize(documents(spark, sf), "doc_id", "text", dictionary(spark, sf))
 
 
+def lemma_table(spark, sf):
+    """Lemma lists written once, for the jobs that read them several times."""
+    return cut_lineage(lemmas(spark, sf))
+
+
 @query("note_stats", r"SELECT doc_id, length(text) AS note_length, len(regexp_extract_all(text, '\S+')) AS word_count FROM documents")
 def note_stats(spark, sf):
     return TX.note_stats(documents(spark, sf)).select(
@@ -101,14 +106,14 @@ def ngrams(spark, sf):
 
 @query("tfidf_long", f"WITH {GRAMS_SQL} SELECT doc_id, term, round(weight, 6) AS weight FROM tfidf")
 def tfidf_long(spark, sf):
-    return TX.tfidf_long(lemmas(spark, sf), "doc_id", "lemmas").withColumn("weight", r6("weight"))
+    return TX.tfidf_long(lemma_table(spark, sf), "doc_id", "lemmas").withColumn("weight", r6("weight"))
 
 
 @query("tfidf", f"""WITH {GRAMS_SQL} SELECT doc_id, count(weight) AS n_terms, coalesce(round(sum(weight), 6), 0) AS total,
   coalesce(round(max(weight), 6), 0) AS top FROM (SELECT doc_id FROM documents) LEFT JOIN tfidf USING (doc_id) GROUP BY 1""")
 def tfidf(spark, sf):
-    vectors, _ = TX.tfidf_vectors(lemmas(spark, sf), "doc_id", "lemmas")
-    dense = vectors.select("doc_id", F.filter(vector_to_array("tfidf"), lambda x: x != 0).alias("w"))
+    vectors, _ = TX.tfidf_vectors(lemma_table(spark, sf), "doc_id", "lemmas")
+    dense = vectors.select("doc_id", F.unwrap_udt("tfidf")["values"].alias("w"))
     total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
     return dense.select(
         "doc_id", F.size("w").cast("long").alias("n_terms"), r6(total).alias("total"),
@@ -134,7 +139,7 @@ l AS (SELECT token, term AS feature, CASE WHEN regexp_matches(term, '(^|[^\\p{{L
   WHEN term = token THEN 2 WHEN contains(term, token) THEN 3 END AS lvl FROM vocab, t)
 SELECT token, feature FROM l WHERE lvl IS NOT NULL QUALIFY lvl = min(lvl) OVER (PARTITION BY token)""")
 def feature_token_match(spark, sf):
-    vocab = TX.vocabulary(TX.term_counts(lemmas(spark, sf), "doc_id", "lemmas"))
+    vocab = TX.vocabulary(TX.term_counts(lemma_table(spark, sf), "doc_id", "lemmas"))
     return TX.feature_token_match(vocab, "term", ["the", "er", "ion", "tion en", "eaux"])
 
 
