@@ -231,68 +231,91 @@ def exact_quantiles(
     data is scanned a few times and hardly shuffled. `percentile` would hold all values in one task.
     """
     cols, probs = list(dict.fromkeys(cols)), list(probs)
-    sizes = df.agg(*[F.count(clean(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    searches = []
+    margin = 2.0 / accuracy
+    around = number_array(x for q in probs for x in (max(0.0, q - margin), min(1.0, q + margin)))
+    first = df.agg(
+        *[F.count(clean(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+        *[F.percentile_approx(clean(c), around, accuracy).alias(f"c{i}") for i, c in enumerate(cols)],
+    ).first()
+    searches, cuts = [], []
     for i, c in enumerate(cols):
-        n = sizes[f"n{i}"]
+        n = first[f"n{i}"]
         for j, q in enumerate(probs):
             if n:
                 at = (n - 1) * q
                 searches.append(_Search(c, j, math.floor(at), math.ceil(at), n))
-    wide = [s for s in searches if s.inside > small]
-    while wide:
-        wide = _narrow(df, wide, accuracy, small)
+                cuts.append((first[f"c{i}"][2 * j], first[f"c{i}"][2 * j + 1]))
+    wide = [k for k, s in enumerate(searches) if s.inside > small]
+    todo = _confirm(df, [searches[k] for k in wide], [cuts[k] for k in wide], small)
+    while todo:
+        todo = _confirm(df, todo, _sketch(df, todo, accuracy), small)
     found = _values_at(df, searches)
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
     for s in searches:
         lo, hi = found[(s.column, s.prob)]
-        at = (sizes[f"n{cols.index(s.column)}"] - 1) * probs[s.prob]
+        at = (first[f"n{cols.index(s.column)}"] - 1) * probs[s.prob]
         out[s.column][s.prob] = lo + (hi - lo) * (at - s.first)
     return out
 
 
-def _narrow(df: DataFrame, searches: list[_Search], accuracy: int, small: int) -> list[_Search]:
-    """One bracketing round: a sketch pass and a counting pass. Returns the searches that need another."""
+def _grouped(searches: list[_Search]) -> list[list[_Search]]:
+    """Searches that share an interval."""
+    by_interval: dict[tuple[str, float, float], list[_Search]] = {}
+    for s in searches:
+        by_interval.setdefault((s.column, s.low, s.high), []).append(s)
+    return list(by_interval.values())
+
+
+def _sketch(df: DataFrame, searches: list[_Search], accuracy: int) -> list[tuple[float, float]]:
+    """Narrower brackets from one sketch per interval."""
+    margin = 2.0 / accuracy
+    groups = _grouped(searches)
     aggs = []
-    for i, s in enumerate(searches):
-        margin = 2.0 / accuracy
-        lo = max(0.0, (s.first - s.below) / s.inside - margin)
-        hi = min(1.0, (s.last - s.below + 1) / s.inside + margin)
-        aggs.append(F.percentile_approx(s.within(), number_array([lo, hi]), accuracy).alias(f"c{i}"))
-    cuts = df.agg(*aggs).first()
+    for g, group in enumerate(groups):
+        around = [
+            x for s in group
+            for x in (max(0.0, (s.first - s.below) / s.inside - margin), min(1.0, (s.last - s.below + 1) / s.inside + margin))
+        ]
+        aggs.append(F.percentile_approx(group[0].within(), number_array(around), accuracy).alias(f"c{g}"))
+    row = df.agg(*aggs).first()
+    cuts = {
+        id(s): (row[f"c{g}"][2 * k], row[f"c{g}"][2 * k + 1]) for g, group in enumerate(groups) for k, s in enumerate(group)
+    }
+    return [cuts[id(s)] for s in searches]
+
+
+def _confirm(df: DataFrame, searches: list[_Search], cuts: list[tuple[float, float]], small: int) -> list[_Search]:
+    """Count the rows below and inside each bracket, take it over, and return the searches still too wide."""
+    if not searches:
+        return []
     counts = []
-    for i, s in enumerate(searches):
-        lo, hi = cuts[f"c{i}"]
+    for i, (s, (lo, hi)) in enumerate(zip(searches, cuts)):
         v = s.within()
         counts.append(F.count(F.when(v < lo, 1)).alias(f"b{i}"))
         counts.append(F.count(F.when((v >= lo) & (v <= hi), 1)).alias(f"i{i}"))
     seen = df.agg(*counts).first()
-    open_searches = []
-    for i, s in enumerate(searches):
+    wide = []
+    for i, (s, (lo, hi)) in enumerate(zip(searches, cuts)):
         below, inside = s.below + seen[f"b{i}"], seen[f"i{i}"]
         if not (below <= s.first and s.last < below + inside):
             raise RuntimeError(f"sketch of {s.column} missed its quantile; raise the accuracy")
         shrunk = inside < s.inside
-        s.low, s.high, s.below, s.inside = cuts[f"c{i}"][0], cuts[f"c{i}"][1], below, inside
-        # one repeated value fills the bracket, or the bracket no longer shrinks: grouping by value settles it
-        if inside > small and shrunk and s.low < s.high:
-            open_searches.append(s)
-    return open_searches
+        s.low, s.high, s.below, s.inside = lo, hi, below, inside
+        # a bracket of one repeated value is settled; one that no longer shrinks is settled by grouping
+        if inside > small and shrunk and lo < hi:
+            wide.append(s)
+    return wide
 
 
 def _values_at(df: DataFrame, searches: list[_Search]) -> dict[tuple[str, int], tuple[float, float]]:
     """The values at the wanted ranks, from counts per distinct value inside each bracket."""
-    if not searches:
-        return {}
-    by_interval: dict[tuple[str, float, float], list[_Search]] = {}
-    for s in searches:
-        by_interval.setdefault((s.column, s.low, s.high), []).append(s)
-    groups = list(by_interval.values())
-    entries = F.array(*[F.struct(F.lit(g).alias("g"), group[0].within().alias("v")) for g, group in enumerate(groups)])
-    counts = (
-        df.select(F.explode(F.filter(entries, lambda e: e["v"].isNotNull())).alias("e")).groupBy("e.g", "e.v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    found = {(s.column, s.prob): (s.low, s.low) for s in searches if s.low == s.high}
+    groups = _grouped([s for s in searches if s.low < s.high])
+    if not groups:
+        return found
+    names = [f"v{g}" for g in range(len(groups))]
+    inside = df.select(*[group[0].within().alias(n) for n, group in zip(names, groups)])
+    counts = inside.unpivot([], names, "g", "v").filter("v is not null").groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
     # brackets hold few distinct values by now
     w = Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumn("cum", F.sum("n").over(w))
@@ -300,10 +323,10 @@ def _values_at(df: DataFrame, searches: list[_Search]) -> dict[tuple[str, int],
     for g, group in enumerate(groups):
         for k, s in enumerate(group):
             for name, rank in (("a", s.first), ("z", s.last)):
-                hit = (F.col("g") == g) & (F.col("cum") > rank - s.below)
+                hit = (F.col("g") == names[g]) & (F.col("cum") > rank - s.below)
                 aggs.append(F.min(F.when(hit, F.col("v"))).alias(f"{name}{g}_{k}"))
     row = ranked.agg(*aggs).first()
-    return {
-        (s.column, s.prob): (row[f"a{g}_{k}"], row[f"z{g}_{k}"])
-        for g, group in enumerate(groups) for k, s in enumerate(group)
-    }
+    for g, group in enumerate(groups):
+        for k, s in enumerate(group):
+            found[(s.column, s.prob)] = (row[f"a{g}_{k}"], row[f"z{g}_{k}"])
+    return found

@@ -29,8 +29,14 @@ def tokenize(text, stop: Iterable[str] = STOP_WORDS) -> Column:
     return F.filter(words(text), lambda t: ~t.isin(dropped))
 
 
+def explode_terms(df: DataFrame, tokens: Column, *keep: str) -> DataFrame:
+    """One row per term. The outer form is used since the plain one also filters on the size of the list,
+    which would compute the tokens twice."""
+    return df.select(*keep, F.explode_outer(tokens).alias("term")).filter(F.col("term").isNotNull())
+
+
 def term_frequency(df: DataFrame, text: str = "text", n: int | None = 20, stop: Iterable[str] = STOP_WORDS) -> DataFrame:
-    counts = df.select(F.explode(tokenize(text, stop)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counts = explode_terms(df, tokenize(text, stop)).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return counts.orderBy(F.desc("n"), F.asc("term")).limit(n) if n is not None else counts
 
 
@@ -67,9 +73,8 @@ def ngrams(tokens, min_length: int = 2, bigrams: bool = True) -> Column:
 
 
 def term_counts(df: DataFrame, key: str, tokens: str, bigrams: bool = True) -> DataFrame:
-    return df.select(key, F.explode(ngrams(tokens, bigrams=bigrams)).alias("term")).groupBy(key, "term").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
+    grams = explode_terms(df, ngrams(tokens, bigrams=bigrams), key)
+    return grams.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(counts: DataFrame, max_features: int = 2000) -> DataFrame:

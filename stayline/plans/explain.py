@@ -29,7 +29,8 @@ def linear_attribution(
     """
     values = vector_to_array(features) if isinstance(features, str) else features
     labels = F.split(F.lit("\x1f".join(names)), "\x1f")
-    long = df.select(key, F.posexplode(values).alias("_i", "value"))
+    # the outer form: the plain one would compute the values once more for a size filter
+    long = df.select(key, F.posexplode_outer(values).alias("_i", "value"))
     at = F.col("_i") + 1
     phi = F.element_at(number_array(coefficients), at) * (F.col("value") - F.element_at(number_array(background), at))
     return long.select(key, F.element_at(labels, at).alias("feature"), "value", phi.alias("phi"))

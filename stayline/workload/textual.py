@@ -40,7 +40,7 @@ def documents(spark, sf):
 
 
 def dictionary(spark, sf):
-    seen = documents(spark, sf).select(F.explode(TX.words("text")).alias("token")).distinct()
+    seen = TX.explode_terms(documents(spark, sf), TX.words("text")).select(F.col("term").alias("token")).distinct()
     stems = seen.select(F.col("token").alias("lemma"), F.concat("token", F.lit("s")).alias("token"))
     return cut_lineage(seen.join(stems, "token").select("token", "lemma"))
 
@@ -75,7 +75,7 @@ def term_frequency(spark, sf):
 
 @query("top_terms", f"SELECT l AS term, n FROM (WITH {WORDS_SQL} SELECT l, count(*) AS n FROM kept GROUP BY 1) ORDER BY n DESC, term LIMIT 20")
 def top_terms(spark, sf):
-    return T.top_terms(lemmas(spark, sf).select(F.explode("lemmas").alias("term")), "term")
+    return T.top_terms(TX.explode_terms(lemmas(spark, sf), F.col("lemmas")), "term")
 
 
 @query("token_set_diff", f"""SELECT conv_id, turn, len(list_distinct(list_filter(a, lambda t: list_contains(b, t)))) AS n_shared,
