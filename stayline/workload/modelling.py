@@ -188,15 +188,27 @@ def stacking(spark, sf):
     return MO.fit_stack(df, bases, "doc_id").transform(df).select("doc_id", "label", "prob")
 
 
-@query("save_model")
-def save_and_score(spark, sf):
-    """Fit, save with threshold and metrics, load again, score all documents."""
+def saved_model(spark, sf):
+    """Fit, save with threshold and metrics, load again."""
     df, path = training(spark, sf), shared_folder(spark)
     model = MO.logreg_fit(class_weight="balanced")(df)
     metrics = ME.threshold_metrics(MO.score(model, df), 0.5)
     save_model(model, path, params={"C": 1.0}, threshold=0.5, metrics=metrics, features=NAMES)
-    loaded, serving = load_model(spark, path)
-    return MO.score(loaded, df, threshold=serving["threshold"]).select("doc_id", "prob", "pred")
+    return df, path, *load_model(spark, path)
+
+
+@query("save_model")
+def save_model_query(spark, sf):
+    """The metrics that were stored beside the model."""
+    _, path, _, serving = saved_model(spark, sf)
+    return spark.read.parquet(f"{path}/metrics").withColumn("features", F.lit(",".join(serving["features"])))
+
+
+@query("score")
+def score(spark, sf):
+    """All rows through the loaded model and its stored threshold."""
+    df, _, model, serving = saved_model(spark, sf)
+    return MO.score(model, df, threshold=serving["threshold"]).select("doc_id", "prob", "pred")
 
 
 @query("safe_early_stop")

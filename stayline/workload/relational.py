@@ -135,9 +135,9 @@ def versioned_ctas(spark, sf):
     return spark.table(IO.create_versioned(df, "orders_by_status", path[-8:] + "_2026_01_01_0000", path))
 
 
-@query("bundle", """SELECT 'customer' AS name, count(*) AS n FROM customer
+@query("save_bundle", """SELECT 'customer' AS name, count(*) AS n FROM customer
 UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'part', count(*) FROM part""")
-def bundle(spark, sf):
+def save_bundle(spark, sf):
     path = shared_folder(spark)
     IO.save_bundle({n: table(spark, sf, n) for n in ("customer", "supplier", "part")}, path)
     frames = IO.load_bundle(spark, path)
@@ -246,6 +246,19 @@ def fill_from_column(spark, sf):
     return X.fill_from_column(role.durations(spark, sf), ["hours"], "o_totalprice").select("hadm_id", "hours")
 
 
+@query("impute_policy", with_roles("admissions", "unit_stays", body="""
+WITH t AS (SELECT a.hadm_id, (epoch_us(any_value(dischtime)) - epoch_us(any_value(admittime))) / 3.6e9 AS los,
+  (epoch_us(min(intime)) - epoch_us(any_value(admittime))) / 3.6e9 AS wait FROM admissions a LEFT JOIN unit_stays u ON u.hadm_id = a.hadm_id GROUP BY 1)
+SELECT hadm_id, coalesce(CASE WHEN wait < 0 THEN 0 ELSE wait END, los) AS time_to_first_icu_hours FROM t"""))
+def impute_policy(spark, sf):
+    first = role.unit_stays(spark, sf).groupBy("hadm_id").agg(F.min("intime").alias("first"))
+    df = role.admissions(spark, sf).join(first, "hadm_id", "left").select(
+        "hadm_id", S.hours_between("admittime", "dischtime").alias("los"),
+        S.clip_lower(S.hours_between("admittime", "first")).alias("time_to_first_icu_hours"),
+    )
+    return X.fill_from_column(df, ["time_to_first_icu_hours"], "los").drop("los")
+
+
 @query("drop_nonpositive", with_roles("durations", body="SELECT hadm_id, hours FROM durations WHERE hours > 0"))
 def drop_nonpositive(spark, sf):
     return X.drop_nonpositive(role.durations(spark, sf), "hours").select("hadm_id", "hours")

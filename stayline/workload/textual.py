@@ -98,6 +98,14 @@ def lemma_normalize(spark, sf):
     )
 
 
+@query("lemma_count", f"""WITH {WORDS_SQL}
+SELECT n_lemmas, count(*) AS n_documents FROM (SELECT doc_id, count(l) AS n_lemmas FROM (SELECT doc_id FROM documents)
+  LEFT JOIN kept USING (doc_id) GROUP BY 1) GROUP BY 1""")
+def lemma_count(spark, sf):
+    counts = lemmas(spark, sf).select(F.array_size("lemmas").cast("long").alias("n_lemmas"))
+    return counts.groupBy("n_lemmas").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
 @query("ngrams", f"WITH {GRAMS_SQL} SELECT term, CAST(sum(tf) AS BIGINT) AS n, count(*) AS df FROM tf GROUP BY 1 HAVING sum(tf) >= 20")
 def ngrams(spark, sf):
     counts = TX.term_counts(lemmas(spark, sf), "doc_id", "lemmas")
