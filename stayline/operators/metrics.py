@@ -7,7 +7,7 @@ sees all scores.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.functions.ordering import PARTS, number_array, range_cuts, range_index, running_totals
@@ -154,12 +154,15 @@ def threshold_sweep(df: DataFrame, grid: list[float] | None = None, label="label
     counts = df.groupBy(reached.alias("_k")).agg(
         F.count(F.when(F.col(label) == 1, 1)).alias("_p"), F.count(F.when(F.col(label) == 0, 1)).alias("_n")
     )
-    # at most len(grid)+1 rows from here on
+    # at most len(grid)+1 rows per step from here on
     reach = counts.select(F.explode(F.sequence(F.lit(0), "_k")).alias("_i"), "_p", "_n")
-    sums = reach.groupBy("_i").agg(F.sum("_p").alias("tp"), F.sum("_n").alias("fp"))
-    points = df.sparkSession.range(len(grid)).select((F.col("id") + 1).cast("int").alias("_i"))
-    total = sums.filter("_i = 0").select(F.col("tp").alias("_pos"), F.lit(1).alias("_one"))
-    out = points.join(sums, "_i", "left").fillna(0).withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
+    every = df.sparkSession.range(len(grid) + 1).select(
+        F.col("id").cast("int").alias("_i"), F.lit(0).cast("long").alias("_p"), F.lit(0).cast("long").alias("_n")
+    )
+    sums = reach.unionByName(every).groupBy("_i").agg(F.sum("_p").alias("tp"), F.sum("_n").alias("fp"))
+    # every positive reaches level 0, so the largest count is the number of positives
+    whole = sums.withColumn("_pos", F.max("tp").over(Window.partitionBy(F.lit(0))))
+    out = whole.filter("_i > 0")
     out = out.select(
         F.element_at(levels, F.col("_i")).alias("threshold"),
         ratio("tp", F.col("tp") + F.col("fp")).alias("precision"), ratio("tp", "_pos").alias("recall"),

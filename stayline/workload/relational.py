@@ -694,7 +694,7 @@ def code_normalize(spark, sf):
 
 @query("time_diffs", with_roles("admissions", body="""
 WITH t AS (SELECT *, lead(admittime) OVER (PARTITION BY subject_id ORDER BY admittime, hadm_id) - INTERVAL 7 HOUR AS nxt FROM admissions)
-SELECT hadm_id, CAST(dischtime AS DATE) + 30 AS limit_day, date_sub('day', dischtime, nxt) AS gap_days,
+SELECT hadm_id, CAST(CAST(dischtime AS DATE) + 30 AS VARCHAR) AS limit_day, date_sub('day', dischtime, nxt) AS gap_days,
   date_sub('hour', dischtime, nxt) AS gap_hours, round((epoch_us(nxt) - epoch_us(dischtime)) / 86.4e9, 6) AS gap_frac,
   try_cast(CASE WHEN hadm_id % 7 = 0 THEN 'unknown' ELSE strftime(admittime, '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP) AS parsed
 FROM t"""))
@@ -703,7 +703,7 @@ def time_diffs(spark, sf):
     df = W.lead_next(adm, take={"nxt": "admittime"}).withColumn("nxt", F.expr("nxt - INTERVAL '7' HOUR"))
     text = F.when(F.col("hadm_id") % 7 == 0, "unknown").otherwise(F.date_format("admittime", "yyyy-MM-dd HH:mm:ss"))
     return df.select(
-        "hadm_id", F.date_add(F.to_date("dischtime"), 30).alias("limit_day"), S.whole_days("dischtime", "nxt").alias("gap_days"),
+        "hadm_id", F.date_add(F.to_date("dischtime"), 30).cast("string").alias("limit_day"), S.whole_days("dischtime", "nxt").alias("gap_days"),
         S.whole_hours("dischtime", "nxt").alias("gap_hours"), r6(S.days_between("dischtime", "nxt")).alias("gap_frac"),
         S.parse_timestamp(text).cast("timestamp_ntz").alias("parsed"),
     )
