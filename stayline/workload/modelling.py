@@ -65,9 +65,12 @@ def nearest(spark, sf):
     )
 
 
-@query("resample_policy", """SELECT 'numeric' AS dataset, NULL AS sampler, 'positives not below 5%' AS reason, count(*) AS n FROM labels
-UNION ALL SELECT 'rare', 'smote', 'dense, narrow, rare positives', count(*) FROM labels
-UNION ALL SELECT 'wide', NULL, 'more than 200 features', count(*) FROM labels""")
+@query("resample_policy", """WITH r AS (SELECT CASE WHEN doc_id % 4 = 0 THEN toxic ELSE 0 END AS y, toxic FROM labels),
+d AS (SELECT 'numeric' AS dataset, 5 AS width, toxic AS y FROM r UNION ALL SELECT 'rare', 5, y FROM r UNION ALL SELECT 'wide', 2768, y FROM r),
+k AS (SELECT dataset, width, count(*) AS n, sum(y) AS pos FROM d GROUP BY 1, 2)
+SELECT dataset, n, CASE WHEN width > 200 OR pos / n >= 0.05 THEN NULL WHEN pos < 2 THEN 'ros' ELSE 'smote' END AS sampler,
+  CASE WHEN width > 200 THEN 'more than 200 features' WHEN pos / n >= 0.05 THEN 'positives not below 5%'
+    WHEN pos < 2 THEN 'minority too small for neighbours' ELSE 'dense, narrow, rare positives' END AS reason FROM k""")
 def resample_policy(spark, sf):
     df = table(spark, sf, "labels")
     rare = df.withColumn("toxic", F.when(F.col("doc_id") % 4 == 0, F.col("toxic")).otherwise(0))
