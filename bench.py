@@ -22,8 +22,8 @@ distinct_weight_score minmax_pivot last_pivot mean_pivot_units ordered_string_ag
 first_non_null weighted_mean collapse_intervals lead_next latest_row cap_entities hash_bucket_sample
 stratified_kfold random_oversample duplicate_rows missing_table describe histogram quantile_bin_rate scaler_stats
 scale_features pr_curve roc_auc threshold_sweep tokenize term_frequency lemma_normalize tfidf_long embed_attach
-snippet nearest_neighbors label_lead label_any_unplanned label_fractional return_rate_by_segment cohort_admission
-cohort_patient collapsed_features global_importance token_story cross_val_oof
+snippet label_lead label_any_unplanned label_fractional return_rate_by_segment cohort_admission
+cohort_patient global_importance
 """.split()
 
 

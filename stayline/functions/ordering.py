@@ -296,13 +296,17 @@ def _confirm(df: DataFrame, searches: list[_Search], cuts: list[tuple[float, flo
     seen = df.agg(*counts).first()
     wide = []
     for i, (s, (lo, hi)) in enumerate(zip(searches, cuts)):
-        below, inside = s.below + seen[f"b{i}"], seen[f"i{i}"]
-        if not (below <= s.first and s.last < below + inside):
-            raise RuntimeError(f"sketch of {s.column} missed its quantile; raise the accuracy")
-        shrunk = inside < s.inside
-        s.low, s.high, s.below, s.inside = lo, hi, below, inside
+        under, inside = seen[f"b{i}"], seen[f"i{i}"]
+        over = s.inside - under - inside
+        low, high, below, held = lo, hi, s.below + under, inside
+        if below > s.first:  # the sketch cut too high: keep the old lower end
+            low, below, held = s.low, s.below, held + under
+        if s.last >= s.below + under + inside:  # or too low: keep the old upper end
+            high, held = s.high, held + over
+        shrunk = held < s.inside
+        s.low, s.high, s.below, s.inside = low, high, below, held
         # a bracket of one repeated value is settled; one that no longer shrinks is settled by grouping
-        if inside > small and shrunk and lo < hi:
+        if held > small and shrunk and low < high:
             wide.append(s)
     return wide
 

@@ -125,3 +125,17 @@ def test_smote_lies_between_neighbours(spark):
 def test_latest_row(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 5, "c")], "k long, t long, v string")
     assert sorted(r["v"] for r in W.latest_row(df, ["k"], ["t"]).collect()) == ["b", "c"]
+
+
+def test_quantiles_survive_a_poor_sketch(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i),) for i in range(1000)], "v double")
+    real = O._confirm
+    off = {"shift": 300.0}
+
+    def shifted(data, searches, cuts, small):
+        moved = [(lo + off["shift"], hi + off["shift"]) for lo, hi in cuts]
+        off["shift"] = 0.0
+        return real(data, searches, moved, small)
+
+    monkeypatch.setattr(O, "_confirm", shifted)
+    assert O.exact_quantiles(df, ["v"], [0.25, 0.5], accuracy=100, small=10) == {"v": [249.75, 499.5]}
