@@ -57,15 +57,23 @@ def merge_texts(
     )
 
 
-def collect_structs(
-    df: DataFrame, key: str, fields: Iterable[str], out: str, row_id: str, part_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Sorted array of structs per key; a key with more than `part_rows` rows comes out in several parts."""
+def collect_structs(df: DataFrame, key: str, fields: Iterable[str], out: str, part_rows: int = HOT_ROWS) -> DataFrame:
+    """Sorted array of structs per key; a key with more than `part_rows` rows comes out in several parts.
+
+    Equal rows travel as one row with a count, in pieces of at most `part_rows` copies.
+    """
     fields = as_list(fields)
-    split = split_hot(df.withColumn("_h", hash32(row_id)), key, F.col("_h") / SPACE, threshold=part_rows, name="part")
+    counts = df.groupBy(key, *fields).agg(F.count(F.lit(1)).alias("_n"))
+    last = F.floor((F.col("_n") - 1) / part_rows)
+    pieces = counts.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn(
+        "_copies", F.least(F.lit(part_rows), F.col("_n") - F.col("_i") * part_rows).cast("int")
+    )
+    position = hash32(*fields, "_i") / SPACE
+    split = split_hot(pieces, key, position, weight=F.col("_copies"), threshold=part_rows, name="part")
+    copies = F.array_repeat(F.struct(*fields), F.col("_copies"))
     return (
         split.groupBy(key, "part")
-        .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(out))
+        .agg(F.sort_array(F.flatten(F.collect_list(copies))).alias(out))
         .withColumn(f"n_{out}", F.size(out))
     )
 

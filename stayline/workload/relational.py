@@ -511,8 +511,7 @@ def min_by(spark, sf):
 SELECT hadm_id, string_agg(icd_code || '/' || icd_version, ',' ORDER BY icd_code, icd_version) AS codes, count(*) AS n_codes
 FROM diagnoses GROUP BY 1"""))
 def collect_structs(spark, sf):
-    lines = role.diagnoses(spark, sf).withColumn("row_id", F.concat_ws("/", "hadm_id", "icd_code"))
-    out = A.collect_structs(lines, "hadm_id", ["icd_code", "icd_version"], "codes", "row_id")
+    out = A.collect_structs(role.diagnoses(spark, sf), "hadm_id", ["icd_code", "icd_version"], "codes")
     text = F.transform("codes", lambda s: F.concat(s["icd_code"], F.lit("/"), s["icd_version"].cast("string")))
     return out.select("hadm_id", F.array_join(text, ",").alias("codes"), F.col("n_codes").cast("long").alias("n_codes"))
 

@@ -57,9 +57,11 @@ def test_merged_text_parts_join_to_the_whole(spark):
 
 def test_collected_structs_parts_are_whole(spark):
     df = spark.range(500).select(F.lit(7).alias("k"), F.col("id").alias("row"), (F.col("id") % 11).cast("string").alias("code"))
-    one = A.collect_structs(df, "k", ["code"], "codes", "row").collect()
-    many = A.collect_structs(df, "k", ["code"], "codes", "row", part_rows=50).collect()
+    one = A.collect_structs(df, "k", ["code"], "codes").collect()
+    many = A.collect_structs(df, "k", ["code"], "codes", part_rows=20).collect()
     assert len(one) == 1 and len(many) > 4
+    same = A.collect_structs(df, "k", ["k"], "codes", part_rows=20).collect()
+    assert len(same) > 4 and sum(r["n_codes"] for r in same) == 500
     assert sorted(x["code"] for r in many for x in r["codes"]) == [x["code"] for x in one[0]["codes"]]
 
 
