@@ -26,7 +26,6 @@ from stayline.llm.common import mixed, narrow, shingle_set, slices, word_hashes,
 BINS, ROWS = 200, 5  # 40 bands of 5: a pair of similarity 0.8 shares no band with probability 1.3e-7
 LEAST_ESTIMATE = 0.14  # below the threshold by this much in the sketch (5 deviations at 0.8) needs no texts
 BLOCK = 256
-MAX_ROUNDS = 3
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -147,29 +146,126 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def open_buckets(buckets: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """Members of buckets that still hold more than one component, with their labels."""
-    if links is None:
-        return buckets.withColumn("label", F.col("doc")), None
-    labels = components(links)
-    named = buckets.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    mixed_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    return work_table(named.join(mixed_keys.select("key"), "key")), labels
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what the symmetric boolean matrix connects; fewer than it has rows."""
+    waiting = near.any(axis=1)
+    edges = []
+    while waiting.any():
+        front = [int(np.argmax(waiting))]
+        waiting[front] = False
+        while front:
+            i = front.pop()
+            found = np.flatnonzero(near[i] & waiting)
+            waiting[found] = False
+            edges += [(i, j) for j in found.tolist()]
+            front += found.tolist()
+    return edges
 
 
-def rest_pairs(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Pairs of different components in the buckets that pivots left open, without a group of more than two blocks.
+def _edges_of(groups: DataFrame, judge) -> DataFrame:
+    """(a, b) of connecting edges of each row's `members`, by a function from the members to a matrix."""
 
-    Members of a bucket are dealt into blocks; each pair of blocks is one group, and all its cross-component
-    pairs are candidates. Nothing is left out, however large the bucket is.
+    def run(batches):
+        for batch in batches:
+            out = []
+            for members in batch.column("members"):
+                table = pa.RecordBatch.from_struct_array(members.values)
+                docs = table.column("doc").to_pylist()
+                label = table.column("label").to_numpy(zero_copy_only=False)
+                near = judge(table) & (label[:, None] != label[None, :])
+                out += [(docs[i], docs[j]) for i, j in forest(near)]
+            a, b = zip(*out) if out else ((), ())
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return groups.mapInArrow(run, "a long, b long").distinct()
+
+
+def close_sketches(members: DataFrame, reps: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Edges that connect members of different components whose sketches are close, bucket by bucket.
+
+    Members of a bucket are dealt into blocks; each pair of blocks is one group, so that no group has more than
+    two blocks and no pair of a bucket is left out. Pairs are compared inside the task and not emitted.
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
     dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
-    left = dealt.select("key", "doc", "label", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    x = left.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "doc", "label")
-    y = x.select("key", "p", "q", F.col("doc").alias("doc2"), F.col("label").alias("label2"))
-    pairs = x.join(y, ["key", "p", "q"]).filter("doc > doc2 and label <> label2")
-    return pairs.select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()
+    each = dealt.select("key", "doc", "label", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    placed = each.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "doc", "label")
+    groups = placed.join(reps.select("doc", "n", "sketch"), "doc").groupBy("key", "p", "q").agg(
+        F.collect_list(F.struct("doc", "label", "n", "sketch")).alias("members"),
+        F.min("label").alias("lo"), F.max("label").alias("hi"),
+    ).filter("lo <> hi").select("members")
+
+    def judge(table: pa.RecordBatch) -> np.ndarray:
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        n = table.column("n").to_numpy(zero_copy_only=False)
+        near = np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :])
+        for i in range(0, len(n), 32):
+            near[i : i + 32] &= (sketch[i : i + 32, None] == sketch[None]).mean(axis=2) >= threshold - LEAST_ESTIMATE
+        return near
+
+    return _edges_of(groups, judge)
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all pairs of sets, by products of incidence matrices a few columns at a time."""
+    items = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, many = np.unique(items, return_inverse=True, return_counts=True)
+    total = np.zeros((len(sets), len(sets)), np.float64)
+    np.fill_diagonal(total, [len(x) for x in sets])
+    shared = many > 1  # items of one set only add to the diagonal
+    number = np.cumsum(shared) - 1
+    use = shared[column]
+    row, column = row[use], number[column[use]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    off = np.zeros_like(total)
+    for start in range(0, int(shared.sum()), 4096):
+        lo, hi = np.searchsorted(column, [start, start + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[lo:hi], column[lo:hi] - start] = 1
+        off += part @ part.T
+    np.fill_diagonal(off, np.diag(total))
+    return off
+
+
+def exact_links(clusters: DataFrame, texts: DataFrame, words: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links that connect different components of each cluster, from whole sets.
+
+    Large components fill blocks of their own and small ones share blocks; pairs of blocks are groups of bounded size,
+    and two blocks of one component need no comparison. Rows are (cluster, doc, label).
+    """
+    sizes = clusters.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "pure", F.when(F.col("n") >= block, F.col("label"))
+    )
+    blocks = sizes.groupBy("cluster", "pure").agg(F.ceil(F.sum("n") / block).alias("blocks"))
+    same = (F.col("s.cluster") == F.col("t.cluster")) & F.col("s.pure").eqNullSafe(F.col("t.pure"))
+    counted = sizes.alias("s").join(blocks.alias("t"), same).select("s.cluster", "s.label", "s.pure", "t.blocks")
+    own = F.pmod(F.xxhash64(F.when(F.col("pure").isNull(), F.col("label")).otherwise(F.col("doc"))), F.col("blocks"))
+    dealt = work_table(
+        clusters.join(counted, ["cluster", "label"]).withColumn("block", F.xxhash64("pure", own))
+        .select("cluster", "doc", "label", "pure", "block")
+    )
+    names = dealt.select("cluster", "block", "pure").distinct()
+    left, right = (names.select("cluster", F.col("block").alias(k), F.col("pure").alias(f"pure_{k}")) for k in "pq")
+    one = F.coalesce(F.col("pure_p") == F.col("pure_q"), F.lit(False))
+    needed = left.join(right, "cluster").filter((F.col("p") <= F.col("q")) & ~one).select("cluster", "p", "q")
+    sides = [
+        needed.filter(extra).join(dealt.withColumnRenamed("block", k), ["cluster", k]).select("cluster", "p", "q", "doc", "label")
+        for k, extra in (("p", F.lit(True)), ("q", F.col("p") != F.col("q")))
+    ]
+    groups = sides[0].union(sides[1]).join(texts, "doc").groupBy("cluster", "p", "q").agg(
+        F.collect_list(F.struct("doc", "label", "text")).alias("members")
+    ).select("members")
+
+    def judge(table: pa.RecordBatch) -> np.ndarray:
+        hashes, ends = word_hashes((t or "").encode() for t in table.column("text").to_pylist())
+        sets = [shingle_set(hashes[s:e], words) for s, e in zip([0, *ends[:-1]], ends)]
+        n = np.array([len(x) for x in sets])
+        common = common_counts(sets)
+        return 100 * common >= percent * (n[:, None] + n[None, :] - common)
+
+    return _edges_of(groups, judge)
 
 
 def near_groups(
@@ -178,8 +274,10 @@ def near_groups(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row; links have 100 * intersection >= percent * union.
 
-    Equal sets are one class. In each band bucket every member is compared with a pivot; buckets that still hold
-    several components get another pivot, and what pivots leave open is compared block by block.
+    Equal sets are one class. In each band bucket every member is compared with a pivot. Where members besides the
+    pivot still belong to different components, their sketches are compared block by block, and the clusters of close
+    sketches are searched for links on whole sets, again by blocks. So no link between members of a bucket is lost,
+    no pair of a large group is emitted, and no group is collected beyond two blocks.
     """
     rows_in = narrow(docs, doc=id_col, text=text_col).withColumn("doc", F.col("doc").cast("long"))
     table = work_table(sketches(rows_in, words, bins, rows))
@@ -191,27 +289,24 @@ def near_groups(
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
     buckets = work_table(spread.join(shared, "key"))
 
-    links, labels, done = None, None, None
-    for turn in range(MAX_ROUNDS + 1):
-        members, labels = open_buckets(buckets, links)
-        if links is not None and members.isEmpty():
-            break
-        if turn < MAX_ROUNDS:
-            order = F.col("doc") if turn == 0 else F.xxhash64("doc", F.lit(turn))
-            pivots = members.groupBy("key").agg(F.min_by(F.struct("doc", "label"), order).alias("pivot"))
-            pairs = members.join(pivots, "key").filter(F.col("label") != F.col("pivot.label")).select(
-                F.col("doc").alias("a"), F.col("pivot.doc").alias("b")
-            ).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        else:
-            pairs = rest_pairs(members)
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = work_table(likely(pairs, reps, percent / 100))
-        found = work_table(verified(pairs, texts, words, percent))
-        done = pairs if done is None else done.union(pairs)
-        links = found if links is None else links.union(found)
-    else:
-        labels = components(links)
+    # one pivot per bucket links most of what belongs together
+    pivots = buckets.groupBy("key").agg(F.min("doc").alias("pivot"))
+    stars = buckets.join(pivots, "key")
+    pairs = stars.filter("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
+    links = work_table(verified(work_table(likely(pairs, reps, percent / 100)), texts, words, percent))
+    labels = work_table(components(links))
+
+    # buckets in which members besides the pivot belong to different components are compared in full
+    label = F.coalesce("label", "doc").alias("label")
+    named = stars.filter("doc <> pivot").join(labels, "doc", "left").select("key", "doc", "pivot", label)
+    open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    members = work_table(named.join(open_keys, "key").select("key", "doc", "label"))
+    edges = work_table(close_sketches(members, reps, percent / 100))
+    if not edges.isEmpty():
+        clusters = components(links.union(edges)).withColumnRenamed("label", "cluster")
+        touched = clusters.join(edges.select(F.col("a").alias("doc")).distinct(), "doc").select("cluster").distinct()
+        rows = clusters.join(touched, "cluster").join(labels, "doc", "left").select("cluster", "doc", label)
+        labels = components(work_table(links.union(exact_links(rows, texts, words, percent))))
     names = classes.join(labels, "doc", "left").select("digest", F.coalesce("label", "doc").alias("label"))
     named = linkable.select("doc", "n", "digest").join(names, "digest").select("doc", "n", "label")
     alone = table.filter("n = 0 or doc is null").select("doc", "n", F.col("doc").alias("label"))
