@@ -146,35 +146,36 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def forest(near: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect what the symmetric boolean matrix connects; fewer than it has rows."""
+def stars(near: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
+    """(larger, smallest) of the labels that the symmetric boolean matrix connects."""
     waiting = near.any(axis=1)
     edges = []
     while waiting.any():
         front = [int(np.argmax(waiting))]
         waiting[front] = False
+        reached = set()
         while front:
             i = front.pop()
+            reached.add(int(labels[i]))
             found = np.flatnonzero(near[i] & waiting)
             waiting[found] = False
-            edges += [(i, j) for j in found.tolist()]
             front += found.tolist()
+        least = min(reached)
+        edges += [(label, least) for label in reached if label != least]
     return edges
 
 
 def _edges_of(groups: DataFrame, judge) -> DataFrame:
-    """(a, b) of connecting edges of each row's `members`, by a function from the members to a matrix."""
+    """(a, b) of connected labels in each row's `members`, by a function from the members to a matrix."""
 
     def run(batches):
         for batch in batches:
-            out = []
+            out = set()
             for members in batch.column("members"):
                 table = pa.RecordBatch.from_struct_array(members.values)
-                docs = table.column("doc").to_pylist()
                 label = table.column("label").to_numpy(zero_copy_only=False)
-                near = judge(table) & (label[:, None] != label[None, :])
-                out += [(docs[i], docs[j]) for i, j in forest(near)]
-            a, b = zip(*out) if out else ((), ())
+                out.update(stars(judge(table) & (label[:, None] != label[None, :]), label))
+            a, b = zip(*sorted(out)) if out else ((), ())
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return groups.mapInArrow(run, "a long, b long").distinct()
@@ -291,14 +292,14 @@ def near_groups(
 
     # one pivot per bucket links most of what belongs together
     pivots = buckets.groupBy("key").agg(F.min("doc").alias("pivot"))
-    stars = buckets.join(pivots, "key")
-    pairs = stars.filter("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
+    spokes = buckets.join(pivots, "key")
+    pairs = spokes.filter("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
     links = work_table(verified(work_table(likely(pairs, reps, percent / 100)), texts, words, percent))
     labels = work_table(components(links))
 
     # buckets in which members besides the pivot belong to different components are compared in full
     label = F.coalesce("label", "doc").alias("label")
-    named = stars.filter("doc <> pivot").join(labels, "doc", "left").select("key", "doc", "pivot", label)
+    named = spokes.filter("doc <> pivot").join(labels, "doc", "left").select("key", "doc", "pivot", label)
     open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     members = work_table(named.join(open_keys, "key").select("key", "doc", "label"))
     edges = work_table(close_sketches(members, reps, percent / 100))
