@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.functions.columns import as_col, as_list
-from stayline.functions.hashing import SPACE, hash32
-from stayline.functions.ordering import HOT_ROWS, split_hot
+from stayline.functions.ordering import split_hot
 from stayline.functions.scalars import clip_lower, code_root, hours_between, nonblank
 
-MERGE_CHARS = 256_000_000
+MERGE_CHARS = 64_000_000  # characters of a key that are sorted and joined at once
+CELL_CHARS = 500_000_000  # at up to four bytes each, what one cell holds
+CELL_ROWS = 50_000_000
 
 
 def code_counts(df: DataFrame, key="hadm_id", code="icd_code", prefix="dx") -> DataFrame:
@@ -34,15 +35,14 @@ def count_default_zero(keys: DataFrame, facts: DataFrame, key: str, out: str) ->
     return keys.join(counts, key, "left").withColumn(out, F.coalesce(out, F.lit(0)))
 
 
-def merge_texts(
+def text_parts(
     df: DataFrame, keys, text="text", order: Iterable[str] = ("charttime", "note_id"), first_id: str = "note_id",
     separator: str = "\n\n-----\n\n", position=None, max_chars: float = MERGE_CHARS,
 ) -> DataFrame:
-    """Non-blank texts of each key joined in order, with the smallest id.
+    """The long form of `merge_texts`: a key above `max_chars` has several consecutive parts (`part` 0, 1, ...).
 
-    A key whose texts exceed `max_chars` comes out as several consecutive parts (`part` 0, 1, ...) that give
-    the whole text when joined; every other key has the single part 0. `position` is a number rising with
-    the order, needed for that split.
+    Joined in the order of `part` with the separator, they give the whole text. `position` is a number rising with
+    the order; without it every key has part 0 alone.
     """
     keys, order = as_list(keys), as_list(order)
     rows = df.filter(nonblank(text))
@@ -57,25 +57,42 @@ def merge_texts(
     )
 
 
-def collect_structs(df: DataFrame, key: str, fields: Iterable[str], out: str, part_rows: int = HOT_ROWS) -> DataFrame:
-    """Sorted array of structs per key; a key with more than `part_rows` rows comes out in several parts.
+def merge_texts(
+    df: DataFrame, keys, text="text", order: Iterable[str] = ("charttime", "note_id"), first_id: str = "note_id",
+    separator: str = "\n\n-----\n\n", position=None, max_chars: float = MERGE_CHARS, max_cell: int = CELL_CHARS,
+) -> DataFrame:
+    """One row per key: its non-blank texts joined in order, with the smallest id.
 
-    Equal rows travel as one row with a count, in pieces of at most `part_rows` copies.
+    With `position`, a key above `max_chars` is sorted and joined in consecutive parts first, and the parts are
+    joined then. A key above `max_cell` characters can't be one cell and raises; `text_parts` is the form for it.
     """
-    fields = as_list(fields)
-    counts = df.groupBy(key, *fields).agg(F.count(F.lit(1)).alias("_n"))
-    last = F.floor((F.col("_n") - 1) / part_rows)
-    pieces = counts.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn(
-        "_copies", F.least(F.lit(part_rows), F.col("_n") - F.col("_i") * part_rows).cast("int")
-    )
-    position = hash32(*fields, "_i") / SPACE
-    split = split_hot(pieces, key, position, weight=F.col("_copies"), threshold=part_rows, name="part")
-    copies = F.array_repeat(F.struct(*fields), F.col("_copies"))
-    return (
-        split.groupBy(key, "part")
-        .agg(F.sort_array(F.flatten(F.collect_list(copies))).alias(out))
-        .withColumn(f"n_{out}", F.size(out))
-    )
+    keys = as_list(keys)
+    parts = text_parts(df, keys, text, order, first_id, separator, position, max_chars)
+    if position is None:
+        return parts.drop("part")
+    pieces = F.transform(F.sort_array(F.collect_list(F.struct("part", text))), lambda p: p[text])
+    fits = F.sum(F.length(text)) <= max_cell
+    whole = F.when(fits, F.array_join(pieces, separator)).otherwise(F.raise_error(F.lit("a merged text exceeds max_cell")))
+    return parts.groupBy(*keys).agg(F.min(first_id).alias(first_id), whole.alias(text))
+
+
+def struct_counts(df: DataFrame, key: str, fields: Iterable[str], count: str = "n") -> DataFrame:
+    """The long form of `collect_structs`: one row per key and distinct struct, with its number of rows."""
+    return df.groupBy(key, *as_list(fields)).agg(F.count(F.lit(1)).alias(count))
+
+
+def collect_structs(df: DataFrame, key: str, fields: Iterable[str], out: str, max_cell: int = CELL_ROWS) -> DataFrame:
+    """One row per key: the sorted array of its structs and their number.
+
+    Equal rows travel as one row with a count. A key of more than `max_cell` rows can't be one array and raises;
+    `struct_counts` is the form for it.
+    """
+    fields, n = as_list(fields), F.sum("_n")
+    counted = struct_counts(df, key, fields, "_n")
+    pairs = F.sort_array(F.collect_list(F.struct(F.struct(*fields).alias("s"), F.col("_n").alias("m"))))
+    copies = F.flatten(F.transform(pairs, lambda p: F.array_repeat(p["s"], p["m"].cast("int"))))
+    whole = F.when(n <= max_cell, copies).otherwise(F.raise_error(F.lit("a collected array exceeds max_cell")))
+    return counted.groupBy(key).agg(whole.alias(out), n.alias(f"n_{out}"))
 
 
 def argmin_row(df: DataFrame, key: str, order: Iterable[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayline.functions import scalars as S
+from stayline.functions.hashing import hash32
 from stayline.functions.ordering import HOT_ROWS
 from stayline.operators import aggregates as A
 from stayline.operators import codes as C
@@ -27,30 +28,32 @@ VITALS = [
 
 
 def cohort_admission(
-    tables: Mapping[str, DataFrame], *, sample_mod: int = 1000, sample_bucket: int = 500, limit: int | None = 10_000,
+    tables: Mapping[str, DataFrame], *, sample_mod: int = 1000, sample_bucket: int | None = None, limit: int | None = None,
     charlson: DataFrame | None = None, elixhauser: DataFrame | None = None, threshold: float = HOT_ROWS,
 ) -> DataFrame:
     """Stays with label, merged note, code counts and scores, labs, and one row per unit stay with vitals.
 
     `tables`: admissions, patients, notes, diagnoses, procedures, labs, lab_items, unit_stays, vitals,
     vital_items. The sample is applied first, to every table that has the stay id, so the feature
-    aggregates never see rows outside it; the label alone is computed on the full table.
+    aggregates never see rows outside it; the label alone is computed on the full table. Without `sample_bucket`
+    there is no sample, without `limit` no cut; the cut takes rows by hash, so both grains keep their shares.
     """
     spark = tables["admissions"].sparkSession
     charlson = charlson if charlson is not None else R.charlson_table(spark)
     elixhauser = elixhauser if elixhauser is not None else R.elixhauser_table(spark)
 
     def sampled(name: str) -> DataFrame:
-        return hash_bucket_sample(tables[name], "hadm_id", sample_mod, sample_bucket)
+        return tables[name] if sample_bucket is None else hash_bucket_sample(tables[name], "hadm_id", sample_mod, sample_bucket)
 
     labelled = label_lead(tables["admissions"], threshold=threshold)
     base = X.exclude_event_window(
-        X.valid_stays(labelled.filter(in_bucket("hadm_id", sample_mod, sample_bucket))), tables["patients"]
+        X.valid_stays(labelled if sample_bucket is None else labelled.filter(in_bucket("hadm_id", sample_mod, sample_bucket))),
+        tables["patients"],
     ).drop("deathtime")
     notes = A.merge_texts(
         sampled("notes").withColumn("_time", F.coalesce("charttime", "storetime")), ["subject_id", "hadm_id"],
         order=["_time", "note_id"], position=S.micros("_time"),
-    ).withColumnsRenamed({"text": "note_text", "part": "note_part"})
+    ).withColumnRenamed("text", "note_text")
 
     dx = sampled("diagnoses")
     scores = C.score_systems(dx, [
@@ -81,18 +84,19 @@ def cohort_admission(
     out = X.row_grain(wide.withColumns(zero), "icu_stay_id").withColumn(
         "map_mean_pref", F.coalesce("map_art_mean", "map_ni_mean")
     )
-    return out.orderBy("grain_id").limit(limit) if limit is not None else out
+    return out.orderBy(hash32("grain_id"), "grain_id").limit(limit) if limit is not None else out
 
 
 def cohort_patient(
     admissions: DataFrame, diagnoses: DataFrame, procedures: DataFrame, vitals: DataFrame, *,
     patients: DataFrame | None = None, notes: DataFrame | None = None, sample_mod: int = 1000,
-    sample_bucket: int = 500, target_n: int = 10_000, threshold: float = HOT_ROWS,
+    sample_bucket: int | None = None, target_n: int | None = None, threshold: float = HOT_ROWS,
 ) -> DataFrame:
     """One row per sampled person: the earliest eligible stay with code counts, mean rate, label, hours.
 
     With `patients` the death window is applied, with `notes` a non-blank note is required (the written
-    rules); without them only the template's own conditions hold. Persons are fixed before any feature join.
+    rules); without them only the template's own conditions hold. Persons are sampled and capped only where
+    `sample_bucket` and `target_n` say so. Persons are fixed before any feature join.
     """
     eligible = X.valid_stays(admissions)
     if patients is not None:
@@ -103,13 +107,14 @@ def cohort_patient(
         eligible.select("subject_id", "hadm_id", "admittime", "dischtime", "admission_type"),
         "subject_id", ["admittime", "hadm_id"],
     )
-    people = cap_entities(hash_bucket_sample(earliest, "subject_id", sample_mod, sample_bucket), "subject_id", target_n)
-    if target_n <= C.MAX_BROADCAST_ROWS:  # the limit itself bounds the broadcast
+    people = earliest if sample_bucket is None else hash_bucket_sample(earliest, "subject_id", sample_mod, sample_bucket)
+    people = people.select("subject_id") if target_n is None else cap_entities(people, "subject_id", target_n)
+    if target_n is not None and target_n <= C.MAX_BROADCAST_ROWS:  # the limit itself bounds the broadcast
         people = F.broadcast(people)
     index = earliest.join(people, "subject_id", "left_semi")
     labelled = label_any_unplanned(index, admissions.join(people, "subject_id", "left_semi"), threshold=threshold)
     ids = index.select("hadm_id")
-    if target_n <= C.MAX_BROADCAST_ROWS:
+    if target_n is not None and target_n <= C.MAX_BROADCAST_ROWS:
         ids = F.broadcast(ids)
 
     def count(df: DataFrame, out: str) -> DataFrame:

@@ -92,8 +92,10 @@ def gbt_fit(
     """Boosted trees; with `stop` rows the rounds end when the loss on them stops falling."""
 
     def fit(train: DataFrame):
-        rows, stopping = early_stop_frame(train, stop, label)
-        weighted, _ = class_weights(rows, label, class_weight)
+        # the classes are weighed by the training rows alone; stopping rows count alike
+        weighted, _ = class_weights(train, label, class_weight)
+        held = None if stop is None else stop.withColumn(WEIGHT, F.lit(1.0))
+        weighted, stopping = early_stop_frame(weighted, held, label)
         watch = {"validationIndicatorCol": STOPPING, "validationTol": stop_tol} if stopping else {}
         model = GBTClassifier(
             labelCol=label, featuresCol=features, weightCol=WEIGHT, stepSize=step, maxDepth=max_depth, maxIter=rounds,
@@ -269,7 +271,7 @@ def param_search(
         d for d in done if d[2].get(metric) is not None and (d[2]["folds"] == n_folds or not need_all_folds)
     ]
     if not complete:
-        raise ValueError("no completed trials with valid scores")
+        raise ValueError(f"none of the {len(done)} trials has a {metric} for its folds")
     best = max(complete, key=lambda d: (d[2][metric], -d[0]))
     rows = [
         (n, v["ap"], v["precision"], v["recall"], v["roc_auc"], {k: str(x) for k, x in p.items()})

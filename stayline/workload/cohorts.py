@@ -97,7 +97,7 @@ vm AS (SELECT stay_id, {VITAL_MEANS_SQL} FROM chart GROUP BY 1),
 cohort AS (SELECT CASE WHEN i.stay_id IS NULL THEN 'ADMISSION_ONLY' ELSE 'ICU_STAY' END AS row_grain,
     coalesce(CAST(i.stay_id AS VARCHAR), 'HADM_' || CAST(a.hadm_id AS VARCHAR)) AS grain_id,
     a.subject_id, a.hadm_id, a.admittime, a.dischtime, a.admission_type, n.next_hadm_id, n.next_admittime, n.next_admission_type,
-    {LABEL_SQL}, coalesce(icu_stay_count, 0) AS icu_stay_count, nt.note_id, nt.note_text, 0 AS note_part,
+    {LABEL_SQL}, coalesce(icu_stay_count, 0) AS icu_stay_count, nt.note_id, nt.note_text,
     dx_count, dx_code_uniq, dx_root3_uniq, proc_count, proc_code_uniq, proc_root3_uniq, {", ".join(CCI)},
     coalesce(cci_score, 0) AS cci_score, {", ".join(EX)}, coalesce(elix_vw_score, 0) AS elix_vw_score, {", ".join(LAB_COLS)},
     i.stay_id AS icu_stay_id, i.intime AS icu_intime, i.outtime AS icu_outtime, {", ".join(VITAL_COLS)},
@@ -113,7 +113,7 @@ ROUND_VITALS = ", ".join(f"round({c}, 6) AS {c}" for c in [*VITAL_COLS, "map_mea
 
 
 def cohort(spark, sf):
-    return CO.cohort_admission({n: getattr(role, n)(spark, sf) for n in ROLES})
+    return CO.cohort_admission({n: getattr(role, n)(spark, sf) for n in ROLES}, sample_bucket=500, limit=10_000)
 
 
 @query("cohort_admission", with_roles(*ROLES, body=f"WITH {COHORT_SQL} SELECT * REPLACE ({ROUND_VITALS}) FROM cohort"))
@@ -172,7 +172,8 @@ WHERE ea.subject_id IN (SELECT subject_id FROM fp)"""
 def patient_cohort(spark, sf, **rules):
     heart = role.vitals(spark, sf).withColumnRenamed("valuenum", "heart_rate")
     out = CO.cohort_patient(
-        role.admissions(spark, sf), role.diagnoses(spark, sf), role.procedures(spark, sf), heart, **rules
+        role.admissions(spark, sf), role.diagnoses(spark, sf), role.procedures(spark, sf), heart,
+        sample_bucket=500, target_n=10_000, **rules,
     )
     return out.withColumn("icu_mean_hr", r6("icu_mean_hr"))
 

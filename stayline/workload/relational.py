@@ -96,11 +96,9 @@ def chart_rows(spark, sf):
 
 # ---- scans, sources, sinks -------------------------------------------------------------------------------------------
 
-@query("scan_table", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 250000")
+@query("scan_table", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def scan_table(spark, sf):
-    return IO.scan_table(spark, f"{sf}/orders.parquet", ["o_orderkey", "o_custkey", "o_totalprice"]).filter(
-        "o_totalprice > 250000"
-    )
+    return IO.scan_table(spark, f"{sf}/orders.parquet", ["o_orderkey", "o_custkey", "o_totalprice"])
 
 
 @query("scan_csv", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
@@ -486,7 +484,7 @@ def count_default_zero(spark, sf):
 FROM conversations WHERE text IS NOT NULL AND regexp_matches(trim(text), '\S') GROUP BY 1""")
 def ordered_string_agg(spark, sf):
     df = table(spark, sf, "conversations").withColumn("note_id", F.col("turn"))
-    return A.merge_texts(df, "conv_id", order=["turn", "role"], position=F.col("turn")).drop("part")
+    return A.merge_texts(df, "conv_id", order=["turn", "role"], position=F.col("turn"))
 
 
 @query("argmin_row", with_roles("admissions", body="""

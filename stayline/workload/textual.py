@@ -106,10 +106,10 @@ def lemma_count(spark, sf):
     return counts.groupBy("n_lemmas").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-@query("ngrams", f"WITH {GRAMS_SQL} SELECT term, CAST(sum(tf) AS BIGINT) AS n, count(*) AS df FROM tf GROUP BY 1 HAVING sum(tf) >= 20")
+@query("ngrams", f"WITH {GRAMS_SQL} SELECT term, CAST(sum(tf) AS BIGINT) AS n, count(*) AS df FROM tf GROUP BY 1")
 def ngrams(spark, sf):
     counts = TX.term_counts(lemmas(spark, sf), "doc_id", "lemmas")
-    return counts.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df")).filter("n >= 20")
+    return counts.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
 
 
 @query("tfidf_long", f"WITH {GRAMS_SQL} SELECT doc_id, term, round(weight, 6) AS weight FROM tfidf")

@@ -50,19 +50,22 @@ def test_hot_key_split_has_bounded_groups(spark):
 def test_merged_text_parts_join_to_the_whole(spark):
     df = spark.range(200).select(F.lit(1).alias("k"), F.col("id").alias("note_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
     whole = A.merge_texts(df, "k", order=["note_id"], separator="|").first()["text"]
-    split = A.merge_texts(df, "k", order=["note_id"], separator="|", position=F.col("note_id"), max_chars=50)
-    pieces = [r["text"] for r in split.orderBy("part").collect()]
+    args = dict(order=["note_id"], separator="|", position=F.col("note_id"), max_chars=50)
+    pieces = [r["text"] for r in A.text_parts(df, "k", **args).orderBy("part").collect()]
     assert len(pieces) > 5 and "|".join(pieces) == whole
+    rows = A.merge_texts(df, "k", **args).collect()
+    assert [(r["k"], r["note_id"], r["text"]) for r in rows] == [(1, 0, whole)]
+    with pytest.raises(Exception, match="max_cell"):
+        A.merge_texts(df, "k", max_cell=100, **args).collect()
 
 
 def test_collected_structs_parts_are_whole(spark):
     df = spark.range(500).select(F.lit(7).alias("k"), F.col("id").alias("row"), (F.col("id") % 11).cast("string").alias("code"))
     one = A.collect_structs(df, "k", ["code"], "codes").collect()
-    many = A.collect_structs(df, "k", ["code"], "codes", part_rows=20).collect()
-    assert len(one) == 1 and len(many) > 4
-    same = A.collect_structs(df, "k", ["k"], "codes", part_rows=20).collect()
-    assert len(same) > 4 and sum(r["n_codes"] for r in same) == 500
-    assert sorted(x["code"] for r in many for x in r["codes"]) == [x["code"] for x in one[0]["codes"]]
+    assert len(one) == 1 and one[0]["n_codes"] == 500
+    assert [x["code"] for x in one[0]["codes"]] == sorted(str(i % 11) for i in range(500))
+    with pytest.raises(Exception, match="max_cell"):
+        A.collect_structs(df, "k", ["code"], "codes", max_cell=499).collect()
 
 
 def test_running_totals(spark):
