@@ -94,7 +94,10 @@ def chunk_counts(rows: DataFrame, target: DataFrame, chunks: int, ranges: int) -
 
 
 def summed_counts(counts: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
-    """(part, chunk, target, whole): every chunk's keys with their sums over all chunks; chunk -1 has the totals."""
+    """(part, chunk, width, target, whole): every chunk's keys with their sums over all chunks; chunk -1 has the totals.
+
+    `width` is the number of bytes of each sum.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
         part = rows.column("part")[0].as_py()
@@ -107,14 +110,15 @@ def summed_counts(counts: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
         word = (keys & _ONE).astype(bool)
         known = word & (sums[1] >= min_count)
         totals = np.array([*(s[word].sum() for s in sums), *(s[word & ~known].sum() for s in sums), known.sum()], np.int64)
-        out = [(part, -1, totals.tobytes(), b"")]
+        out = [(part, -1, 8, totals.tobytes(), b"")]
+        kind = np.dtype(np.uint32 if sums[1].max() < 1 << 32 else np.uint64)
         ends = np.cumsum([len(k) for k in own])
         for chunk, start, end in zip(rows.column("chunk").to_pylist(), ends - [len(k) for k in own], ends):
-            out.append((part, chunk, *(s[at[start:end]].astype(np.uint64).tobytes() for s in sums)))
-        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["part", "chunk", "target", "whole"])
+            out.append((part, chunk, kind.itemsize, *(s[at[start:end]].astype(kind).tobytes() for s in sums)))
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["part", "chunk", "width", "target", "whole"])
 
-    return counts.groupBy("part").applyInArrow(run, "part int, chunk long, target binary, whole binary")
+    return counts.groupBy("part").applyInArrow(run, "part int, chunk long, width int, target binary, whole binary")
 
 
 def _losses(words, pairs, owner, n_texts, keys, sums, totals: Totals, side: int, scale: float, min_count: int) -> np.ndarray:
@@ -151,8 +155,9 @@ def cross_entropy_difference(
         texts = [x or "" for x in docs.column("text").to_pylist()]
         words, pairs, owner = _grams(texts)
         keys = _distinct(words, pairs)
-        parts = sorted(zip(*(counts.column(c).to_pylist() for c in ("part", "target", "whole"))))
-        sums = [np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(p[i], np.uint64) for p in parts)]).astype(float) for i in (1, 2)]
+        parts = sorted(zip(*(counts.column(c).to_pylist() for c in ("part", "width", "target", "whole"))))
+        read = lambda p, i: np.frombuffer(p[i], f"u{p[1]}").astype(float)
+        sums = [np.concatenate([np.zeros(0), *(read(p, i) for p in parts)]) for i in (2, 3)]
         losses = [
             _losses(words, pairs, owner, len(texts), keys, sums, totals, side, 1.0 if side == 0 else scale, min_count)
             if len(words) and (side or totals.words[0]) else np.zeros(len(texts))
