@@ -12,8 +12,8 @@ def as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def as_list(names: str | Iterable[str]) -> list[str]:
-    return [names] if isinstance(names, str) else list(names)
+def as_list(names: str | Column | Iterable[str]) -> list[str]:
+    return [names] if isinstance(names, (str, Column)) else list(names)
 
 
 def ordered_unique(names: Iterable[str]) -> list[str]:

@@ -10,37 +10,72 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stayline.functions.columns import as_col, as_list
+from stayline.session import cut_lineage
 
 HOT_ROWS = 5_000_000
-MAX_HOT_KEYS = 10_000
 PARTS = 1024
+RANGE_SAMPLES = 16  # sampled rows per range of a hot key
+BROADCAST_KEYS = 10_000
 
 
-def hot_keys(
-    df: DataFrame, keys, *, weight: Column | None = None, threshold: float = HOT_ROWS
-) -> tuple[DataFrame | None, float]:
-    """The heaviest keys above `threshold` rows (or summed weight), at most MAX_HOT_KEYS of them.
+def same_key(left: DataFrame, right: DataFrame, keys: Iterable[str]) -> tuple[DataFrame, Column]:
+    """`right` with its keys renamed, and the condition that joins it to `left`; a null key equals a null key."""
+    renamed = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    return renamed, reduce(and_, (left[k].eqNullSafe(F.col(f"_same_{k}")) for k in keys))
 
-    Any key left out is lighter than the threshold, or than the 10 000th heaviest key and so below 1/10 000
-    of the table. Returns a small frame with a `_hot` flag (None if no key is hot) and the top weight.
+
+def hot_edges(df: DataFrame, keys, order, *, weight: Column | None = None, threshold: float = HOT_ROWS) -> DataFrame | None:
+    """(keys, _edges) of every key above `threshold` rows (or summed weight); None if there is none.
+
+    `_edges` are ascending cut points on the whole order, ties included, that split the key's rows into ranges of
+    about half the threshold. They come from a random sample of the key's rows, written once, so every later
+    reading sees the same cuts. Their number rises with the key; there is no limit on keys or ranges.
     """
     keys = as_list(keys)
     size = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    heavy = (
-        df.groupBy(*keys).agg(size.alias("_n")).filter(F.col("_n") > threshold)
-        .orderBy(F.desc("_n")).limit(MAX_HOT_KEYS).collect()
+    heavy = cut_lineage(
+        df.groupBy(*keys).agg(size.alias("_n"), F.count(F.lit(1)).alias("_rows")).filter(F.col("_n") > threshold)
+        .withColumn("_ranges", F.ceil(F.col("_n") * 2 / threshold).cast("int"))
+    )
+    if heavy.isEmpty():
+        return None
+    rank = F.struct(*[as_col(c).alias(f"_{i}") for i, c in enumerate(as_list(order))])
+    right, same = same_key(df, heavy.select(*keys, "_ranges", "_rows"), keys)
+    few = heavy.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    picked = df.join(F.broadcast(right) if few else right, same).filter(
+        F.rand(7) < F.col("_ranges") * RANGE_SAMPLES / F.col("_rows")
+    )
+    sample = picked.select(*[df[k] for k in keys], rank.alias("_rank"), "_ranges").groupBy(*keys, "_ranges").agg(
+        F.sort_array(F.collect_list("_rank")).alias("_sample")
+    )
+    at = lambda i: F.floor(i * F.size("_sample") / F.col("_ranges")).cast("int")
+    cuts = F.transform(F.sequence(F.lit(1), F.col("_ranges") - 1), lambda i: F.get(F.col("_sample"), at(i)))
+    return cut_lineage(sample.select(*keys, cuts.alias("_edges")))
+
+
+def in_ranges(df: DataFrame, keys, order, edges: DataFrame, name: str) -> DataFrame:
+    """Add `_hot`, and the number of cut points of the row's key below its order (0 for ordinary keys)."""
+    keys = as_list(keys)
+    most, count = edges.agg(F.max(F.size("_edges")), F.count(F.lit(1))).first()
+    right, same = same_key(df, edges.withColumn("_hot", F.lit(True)), keys)
+    rank = F.struct(*[as_col(c).alias(f"_{i}") for i, c in enumerate(as_list(order))])
+    # steps of a bisection: a cut beyond the last is null and moves nothing
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(int(most).bit_length()))])
+    move = lambda at, step: F.when(F.get("_edges", at + step - 1) < F.col("_rank"), at + step).otherwise(at)
+    few = count <= BROADCAST_KEYS and count * most <= PARTS * BROADCAST_KEYS
+    return (
+        df.join(F.broadcast(right) if few else right, same, "left").withColumn("_rank", rank)
+        .withColumn(name, F.when(F.col("_hot"), F.aggregate(steps, F.lit(0), move)).otherwise(F.lit(0)))
+        .drop("_rank", "_edges", *[f"_same_{k}" for k in keys])
     )
-    if not heavy:
-        return None, 0.0
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("_hot", T.BooleanType())])
-    rows = [tuple(r[k] for k in keys) + (True,) for r in heavy]
-    return df.sparkSession.createDataFrame(rows, schema), float(heavy[0]["_n"])
 
 
 def number_array(values: Iterable[float]) -> Column:
@@ -81,42 +116,29 @@ def split_hot(
     df: DataFrame, keys, order, *, weight: Column | None = None, threshold: float = HOT_ROWS, name: str = "_part"
 ) -> DataFrame:
     """Add a part number that is 0 for ordinary keys and rises with `order` inside hot keys."""
-    keys = as_list(keys)
-    hot, top = hot_keys(df, keys, weight=weight, threshold=threshold)
-    if hot is None:
+    edges = hot_edges(df, keys, order, weight=weight, threshold=threshold)
+    if edges is None:
         return df.withColumn(name, F.lit(0))
-    parts = 1 << min(14, max(1, math.ceil(math.log2(top / threshold)) + 1))
-    tagged = df.join(F.broadcast(hot), keys, "left")
-    position = as_col(order).cast("double")
-    edges = quantile_edges(tagged.filter("_hot"), position, parts)
-    part = F.when(F.col("_hot"), range_index(position, edges, parts)).otherwise(F.lit(0))
-    return tagged.withColumn(name, part).drop("_hot")
+    return in_ranges(df, keys, order, edges, name).drop("_hot")
 
 
-def next_value(
-    df: DataFrame, keys, order, value: Column, out: str, *, position=None, threshold: float = HOT_ROWS
-) -> DataFrame:
+def next_value(df: DataFrame, keys, order, value: Column, out: str, *, threshold: float = HOT_ROWS) -> DataFrame:
     """For each row the non-null `value` of the nearest later row of the same key.
 
-    `order` lists ascending columns; `position` is a number that rises with them (used to split hot keys).
-    One descending window per key serves ordinary keys. Rows of a hot key are cut into ranges of `position`;
-    rows whose range holds no later value take the first value of the next range that has one.
+    `order` lists ascending columns. One descending window per key serves ordinary keys. Rows of a hot key, null
+    included, are cut into ranges of the whole order; rows whose range holds no later value take the first
+    value of the next range that has one.
     """
     keys, order = as_list(keys), as_list(order)
     descending = [F.col(c).desc() for c in order]
     later = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_v", value)
-    hot, top = hot_keys(df, keys, threshold=threshold) if position is not None else (None, 0.0)
-    if hot is None:
+    edges = hot_edges(df, keys, order, threshold=threshold)
+    if edges is None:
         w = Window.partitionBy(*keys).orderBy(*descending)
         return df.withColumn(out, F.last("_v", ignorenulls=True).over(later(w))).drop("_v")
 
-    parts = 1 << min(14, max(1, math.ceil(math.log2(top / threshold)) + 1))
-    tagged = df.join(F.broadcast(hot), keys, "left").withColumn("_p", as_col(position).cast("double"))
-    edges = quantile_edges(tagged.filter("_hot"), "_p", parts)
-    tagged = tagged.withColumn(
-        "_part", F.when(F.col("_hot"), range_index("_p", edges, parts)).otherwise(F.lit(0))
-    ).drop("_p")
+    tagged = in_ranges(df, keys, order, edges, "_part")
     inside = Window.partitionBy(*keys, "_part").orderBy(*descending)
     inner = tagged.withColumn("_in", F.last("_v", ignorenulls=True).over(later(inside)))
     rank = F.struct(*[F.col(c) for c in order])
@@ -126,12 +148,13 @@ def next_value(
     )
     across = later(Window.partitionBy(*keys).orderBy(F.col("_part").desc()))
     following = firsts.select(
-        *keys, "_part", F.last("_first", ignorenulls=True).over(later(across)).alias("_out")
+        *keys, "_part", F.last("_first", ignorenulls=True).over(across).alias("_out")
     )
+    right, same = same_key(inner, following, [*keys, "_part"])
     return (
-        inner.join(following, [*keys, "_part"], "left")
+        inner.join(right, same, "left")
         .withColumn(out, F.coalesce("_in", "_out"))
-        .drop("_v", "_in", "_out", "_part", "_hot")
+        .drop("_v", "_in", "_out", "_part", "_hot", *[f"_same_{k}" for k in [*keys, "_part"]])
     )
 
 

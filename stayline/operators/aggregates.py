@@ -37,17 +37,17 @@ def count_default_zero(keys: DataFrame, facts: DataFrame, key: str, out: str) ->
 
 def text_parts(
     df: DataFrame, keys, text="text", order: Iterable[str] = ("charttime", "note_id"), first_id: str = "note_id",
-    separator: str = "\n\n-----\n\n", position=None, max_chars: float = MERGE_CHARS,
+    separator: str = "\n\n-----\n\n", split: bool = False, max_chars: float = MERGE_CHARS,
 ) -> DataFrame:
     """The long form of `merge_texts`: a key above `max_chars` has several consecutive parts (`part` 0, 1, ...).
 
-    Joined in the order of `part` with the separator, they give the whole text. `position` is a number rising with
-    the order; without it every key has part 0 alone.
+    Joined in the order of `part` with the separator, they give the whole text. Without `split` every key has
+    part 0 alone.
     """
     keys, order = as_list(keys), as_list(order)
     rows = df.filter(nonblank(text))
-    if position is not None:
-        rows = split_hot(rows, keys, position, weight=F.length(text), threshold=max_chars, name="part")
+    if split:
+        rows = split_hot(rows, keys, order, weight=F.length(text), threshold=max_chars, name="part")
     else:
         rows = rows.withColumn("part", F.lit(0))
     piece = F.struct(*[F.col(c) for c in order], F.col(text).alias("_text"))
@@ -59,16 +59,16 @@ def text_parts(
 
 def merge_texts(
     df: DataFrame, keys, text="text", order: Iterable[str] = ("charttime", "note_id"), first_id: str = "note_id",
-    separator: str = "\n\n-----\n\n", position=None, max_chars: float = MERGE_CHARS, max_cell: int = CELL_CHARS,
+    separator: str = "\n\n-----\n\n", split: bool = False, max_chars: float = MERGE_CHARS, max_cell: int = CELL_CHARS,
 ) -> DataFrame:
     """One row per key: its non-blank texts joined in order, with the smallest id.
 
-    With `position`, a key above `max_chars` is sorted and joined in consecutive parts first, and the parts are
+    With `split`, a key above `max_chars` is sorted and joined in consecutive parts first, and the parts are
     joined then. A key above `max_cell` characters can't be one cell and raises; `text_parts` is the form for it.
     """
     keys = as_list(keys)
-    parts = text_parts(df, keys, text, order, first_id, separator, position, max_chars)
-    if position is None:
+    parts = text_parts(df, keys, text, order, first_id, separator, split, max_chars)
+    if not split:
         return parts.drop("part")
     pieces = F.transform(F.sort_array(F.collect_list(F.struct("part", text))), lambda p: p[text])
     fits = F.sum(F.length(text)) <= max_cell

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stayline.functions.scalars import normalize_code
 from stayline.operators.limits import union_all
+from stayline.session import cut_lineage
 
 MAX_BROADCAST_ROWS = 100_000
 
@@ -37,7 +38,8 @@ def match_patterns(
         .select(f"c.{version}", "c._code", *[f"p.{c}" for c in extra])
         .distinct()
     )
-    found = norm.join(hits, [version, "_code"]).select(key, *extra)
+    # the matched codes are the small side; the events stream past them without a shuffle
+    found = norm.join(small_table(cut_lineage(hits)), [version, "_code"]).select(key, *extra)
     return found.distinct() if distinct else found
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from stayline.functions.columns import as_col
 from stayline.functions.ordering import HOT_ROWS, next_value
-from stayline.functions.scalars import micros
 
 
 def lead_next(
@@ -20,7 +19,7 @@ def lead_next(
     order = list(order)
     take = dict(take or {"next_hadm_id": "hadm_id", "next_admittime": "admittime"})
     value = F.struct(*[F.col(c).alias(out) for out, c in take.items()])
-    found = next_value(df, key, order, value, "_next", position=micros(order[0]), threshold=threshold)
+    found = next_value(df, key, order, value, "_next", threshold=threshold)
     return found.select(*df.columns, *[F.col(f"_next.{out}").alias(out) for out in take])
 
 
@@ -41,7 +40,7 @@ def next_event_after(
     left = probes.select(key, F.col(at).alias("_t"), F.lit(1).alias("_probe"), F.struct("*").alias("_row"))
     both = left.unionByName(right, allowMissingColumns=True)
     found = next_value(
-        both, key, ["_t", "_probe", "_tie"], F.col("_ev"), "_next", position=micros("_t"), threshold=threshold
+        both, key, ["_t", "_probe", "_tie"], F.col("_ev"), "_next", threshold=threshold
     )
     return found.filter(F.col("_probe") == 1).select(
         "_row.*", *[F.when(F.col("_t").isNotNull(), F.col(f"_next.{out}")).alias(out) for out in take]

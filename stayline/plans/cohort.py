@@ -52,7 +52,7 @@ def cohort_admission(
     ).drop("deathtime")
     notes = A.merge_texts(
         sampled("notes").withColumn("_time", F.coalesce("charttime", "storetime")), ["subject_id", "hadm_id"],
-        order=["_time", "note_id"], position=S.micros("_time"),
+        order=["_time", "note_id"], split=True,
     ).withColumnRenamed("text", "note_text")
 
     dx = sampled("diagnoses")

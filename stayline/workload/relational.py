@@ -484,7 +484,7 @@ def count_default_zero(spark, sf):
 FROM conversations WHERE text IS NOT NULL AND regexp_matches(trim(text), '\S') GROUP BY 1""")
 def ordered_string_agg(spark, sf):
     df = table(spark, sf, "conversations").withColumn("note_id", F.col("turn"))
-    return A.merge_texts(df, "conv_id", order=["turn", "role"], position=F.col("turn"))
+    return A.merge_texts(df, "conv_id", order=["turn", "role"], split=True)
 
 
 @query("argmin_row", with_roles("admissions", body="""

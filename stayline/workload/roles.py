@@ -74,7 +74,7 @@ def diagnoses(spark, sf) -> DataFrame:
 
 
 def procedures(spark, sf) -> DataFrame:
-    return table(spark, sf, "lineitem").filter("l_returnflag = 'R'").selectExpr(
+    return table(spark, sf, "lineitem").selectExpr(
         "l_orderkey AS hadm_id", "cast(10000 + l_suppkey * 7 AS string) AS icd_code", "int(9 + l_linenumber % 2) AS icd_version"
     )
 
@@ -93,9 +93,9 @@ def lab_items(spark, sf) -> DataFrame:
 
 
 def unit_stays(spark, sf) -> DataFrame:
-    """Lines of type R as unit stays; (order, line) repeats in the data, so it is merged first."""
+    """Lines as unit stays; (order, line) repeats in the data, so it is merged first."""
     return (
-        table(spark, sf, "lineitem").filter("l_returnflag = 'R'")
+        table(spark, sf, "lineitem")
         .groupBy("l_orderkey", "l_linenumber")
         .agg(F.min("l_shipdate").alias("intime"), F.max("l_quantity").alias("q"))
         .selectExpr(
@@ -161,7 +161,7 @@ SQL = {
   FROM lineitem)""",
     "procedures": """procedures AS (
   SELECT l_orderkey AS hadm_id, CAST(10000 + l_suppkey * 7 AS VARCHAR) AS icd_code, 9 + l_linenumber % 2 AS icd_version
-  FROM lineitem WHERE l_returnflag = 'R')""",
+  FROM lineitem)""",
     "labs": """labs AS (
   SELECT event_id, user_id AS hadm_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS itemid,
     ts AS charttime, value AS valuenum, event_type
@@ -171,7 +171,7 @@ SQL = {
     "unit_stays": """unit_stays AS (
   SELECT l_orderkey AS hadm_id, l_orderkey * 10 + l_linenumber AS stay_id, min(l_shipdate) AS intime,
     min(l_shipdate) + CAST(max(l_quantity) AS INTEGER) * INTERVAL 1 HOUR AS outtime
-  FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey, l_linenumber)""",
+  FROM lineitem GROUP BY l_orderkey, l_linenumber)""",
     "vitals": """vitals AS (
   SELECT l_orderkey * 10 + l_linenumber AS stay_id, l_orderkey AS hadm_id, l_partkey AS itemid,
     l_quantity + 60 AS valuenum

@@ -47,10 +47,21 @@ def test_hot_key_split_has_bounded_groups(spark):
     assert hot.count() > 5 and hot.agg(F.max("count")).first()[0] < 300
 
 
+def test_hot_null_key_and_equal_times_are_split(spark):
+    df = spark.range(2000).select(
+        F.lit(None).cast("long").alias("subject_id"), F.col("id").alias("hadm_id"),
+        F.timestamp_seconds(F.lit(0)).alias("admittime"))
+    groups = O.split_hot(df, "subject_id", ["admittime", "hadm_id"], threshold=100).groupBy("_part").count()
+    assert groups.agg(F.sum("count")).first()[0] == 2000
+    assert groups.count() > 10 and groups.agg(F.max("count")).first()[0] < 300
+    found = W.lead_next(df, threshold=100).orderBy("hadm_id").collect()
+    assert [r["next_hadm_id"] for r in found] == [*range(1, 2000), None]
+
+
 def test_merged_text_parts_join_to_the_whole(spark):
     df = spark.range(200).select(F.lit(1).alias("k"), F.col("id").alias("note_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
     whole = A.merge_texts(df, "k", order=["note_id"], separator="|").first()["text"]
-    args = dict(order=["note_id"], separator="|", position=F.col("note_id"), max_chars=50)
+    args = dict(order=["note_id"], separator="|", split=True, max_chars=50)
     pieces = [r["text"] for r in A.text_parts(df, "k", **args).orderBy("part").collect()]
     assert len(pieces) > 5 and "|".join(pieces) == whole
     rows = A.merge_texts(df, "k", **args).collect()
