@@ -125,25 +125,22 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 def components(links: DataFrame) -> DataFrame:
     """(doc, label) of all linked documents: the smallest document they can reach.
 
-    Alternating large-star and small-star steps (Kiveris and others, 2014) until nothing changes.
+    Alternating large-star and small-star steps (Kiveris and others, 2014) until every document has one smaller
+    neighbour, which has none.
     """
-    edges = work_table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    edges = work_table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", "m"))
-        edges = work_table(small.distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            roots = edges.select(F.col("v").alias("doc")).distinct()
-            return edges.select(F.col("u").alias("doc"), F.col("v").alias("label")).union(
-                roots.select("doc", F.col("doc").alias("label"))
-            )
-        state = now
+        back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        low = work_table(edges.union(back).groupBy("u").agg(
+            F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") < F.col("u")).alias("below"),
+            F.count_if(F.col("v") > F.col("u")).alias("above"),
+        ))
+        if low.filter("below > 1 or (below = 1 and above > 0)").isEmpty():
+            return low.select(F.col("u").alias("doc"), F.col("m").alias("label"))
+        large = edges.join(low.select(F.col("u").alias("v"), "m"), "v").select("u", F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = work_table(small.union(least.select("u", F.col("m").alias("v"))).distinct())
 
 
 def stars(near: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
@@ -303,11 +300,12 @@ def near_groups(
     open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     members = work_table(named.join(open_keys, "key").select("key", "doc", "label"))
     edges = work_table(close_sketches(members, reps, percent / 100))
-    if not edges.isEmpty():
-        clusters = components(links.union(edges)).withColumnRenamed("label", "cluster")
-        touched = clusters.join(edges.select(F.col("a").alias("doc")).distinct(), "doc").select("cluster").distinct()
-        rows = clusters.join(touched, "cluster").join(labels, "doc", "left").select("cluster", "doc", label)
-        labels = components(work_table(links.union(exact_links(rows, texts, words, percent))))
+    if not edges.isEmpty():  # edges and exact links join components, so the graphs searched here have no other nodes
+        all_named = reps.select("doc").join(labels, "doc", "left").select("doc", label)
+        clusters = components(edges).select(F.col("doc").alias("label"), F.col("label").alias("cluster"))
+        rows = all_named.join(clusters, "label").select("cluster", "doc", "label")
+        merged = components(exact_links(rows, texts, words, percent)).select(F.col("doc").alias("label"), F.col("label").alias("final"))
+        labels = all_named.join(merged, "label", "left").select("doc", F.coalesce("final", "label").alias("label"))
     names = classes.join(labels, "doc", "left").select("digest", F.coalesce("label", "doc").alias("label"))
     named = linkable.select("doc", "n", "digest").join(names, "digest").select("doc", "n", "label")
     alone = table.filter("n = 0 or doc is null").select("doc", "n", F.col("doc").alias("label"))

@@ -76,6 +76,25 @@ def test_near_groups_of_null_ids_repeated_rows_and_no_rows(spark):
     assert minhash.near_groups(frame(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_components_of_chains_rings_and_stars(spark):
+    links = [(i, i + 1) for i in range(100, 140)] + [(7, 3), (9, 7), (3, 9), (9, 3), (5, 5)] + [(200, i) for i in range(150, 230)]
+    rng = random.Random(4)
+    links += [(1000 + rng.randrange(60), 1000 + rng.randrange(60)) for _ in range(45)]
+    parent = {x: x for pair in links for x in pair}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for a, b in links:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    rows = minhash.components(spark.createDataFrame(links, "a long, b long")).collect()
+    alone = {x for x in parent if all(a == b for a, b in links if x in (a, b))}
+    assert len(rows) == len(parent) - len(alone)
+    assert {r["doc"]: r["label"] for r in rows} == {x: root(x) for x in parent if x not in alone}
+    assert minhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_sketch_fills_every_bin_and_estimates_similarity():
     r = np.random.default_rng(0)
     items = r.integers(0, 2**63, 1000).astype(np.uint64)
