@@ -102,15 +102,20 @@ class Passages:
         good = count >= self.least[who]
         return who[good], (key[good] & ((1 << 44) - 1)) * self.band[who[good]] - int(self.size.max(initial=0))
 
-    def matches(self, code: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(passage, start, end, distance) of the best alignment in each region that reaches the bound."""
-        found: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+    def matches(self, code: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(text, passage, start, end, distance) of the best alignment in each region that reaches the bound.
+
+        `begins` and `ends` bound the texts in `code`; a region that touches several is aligned in each by itself.
+        """
+        found: dict[tuple[int, int], tuple[int, int, int, int, int]] = {}
         for who, first in zip(*(x.tolist() for x in self.bands(code))):
-            edits = int(self.edits[who])
-            lo, hi = max(0, first - edits), min(len(code), first + 2 * int(self.band[who]) + int(self.size[who]) + edits)
-            best = align(self.codes[who], code[lo:hi], edits)
-            if best is not None:
-                found.setdefault((who, lo + best[1]), (who, lo + best[0], lo + best[1], best[2]))
+            edits, size = int(self.edits[who]), int(self.size[who])
+            lo, hi = first - edits, first + 2 * int(self.band[who]) + size + edits
+            for text in range(int(np.searchsorted(ends, lo, "right")), int(np.searchsorted(begins, hi, "left"))):
+                left, right = max(lo, int(begins[text])), min(hi, int(ends[text]))
+                best = align(self.codes[who], code[left:right], edits) if right - left >= size - edits else None
+                if best is not None:
+                    found.setdefault((who, left + best[1]), (text, who, left + best[0], left + best[1], best[2]))
         return sorted(found.values())
 
 
@@ -150,7 +155,7 @@ def passages_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
 
 
 def _found(batch: pa.RecordBatch, passages: Passages, text_col: str) -> Iterator[list[tuple[int, int, int, int]]]:
-    """Matches of each row; rows are searched together, parted by characters that no passage has."""
+    """Matches of each row; rows are searched together, but each is aligned by itself."""
     texts = [plain(t) for t in batch.column(text_col).to_pylist()]
     if not passages.texts:
         yield from ([] for _ in texts)
@@ -159,8 +164,7 @@ def _found(batch: pa.RecordBatch, passages: Passages, text_col: str) -> Iterator
     code = codes(("\x00" * Q).join(texts))
     begins = np.cumsum(sizes + Q) - sizes - Q
     out: list[list] = [[] for _ in texts]
-    for who, start, end, distance in passages.matches(code):
-        row = int(np.searchsorted(begins, start, "right")) - 1
+    for row, who, start, end, distance in passages.matches(code, begins, begins + sizes):
         out[row].append((who, start - int(begins[row]), end - int(begins[row]), distance))
     yield from out
 

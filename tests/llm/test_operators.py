@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +164,22 @@ def test_passages_with_edits_are_found(spark):
     assert decontaminate.find(frame(spark, texts), items.limit(0)).count() == 0
 
 
+def test_passages_stay_in_their_document():
+    r = random.Random(6)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    passage = noise(200)
+    items = decontaminate.Passages([(1, passage)])
+    texts = [t for cut in (1, 2, 4, 8, 16) for t in (noise(300), passage[cut:] + noise(300), noise(300) + passage[:-cut])]
+    texts += ["", passage[:100], passage[100:], noise(300) + passage[:96], "", passage[104:] + noise(300)]
+    batch = pa.record_batch({"text": texts})
+    together = list(decontaminate._found(batch, items, "text"))
+    assert [len(found) > 0 for found in together] == [False, True, True] * 5 + [False] * 6
+    assert together == [next(decontaminate._found(batch.slice(i, 1), items, "text")) for i in range(len(texts))]
+    for text, found in zip(texts, together):
+        for _, start, end, edits in found:
+            assert 0 <= start < end <= len(text) and distance(passage, text[start:end]) == edits
+
+
 def test_lines_of_many_sites_stay_once(spark):
     rows = [(i, f"common line\nown {i}\n", "en", f"s{i}", 0) for i in range(12)] + [
         (20 + i, f"one site\nb {i}", "en", "hot", 0) for i in range(30)
