@@ -211,6 +211,22 @@ def test_fingerprints(spark):
     assert fingerprint.edited_fingerprints(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_likeness_follows_shared_paragraphs_at_any_length(spark):
+    def text(side, n, shared):
+        return "\n\n".join([f"both {n} {i}" for i in range(int(n * shared))] + [f"{side} {n} {i}" for i in range(int(n * shared), n)])
+
+    sizes, shares = (4, 40, 400, 4000), (0.0, 0.25, 0.5, 0.75, 1.0)
+    rows = [(n, s, text("a", n, s), text("b", n, s)) for n in sizes for s in shares]
+    pairs = spark.createDataFrame(rows, "n int, share double, a string, b string")
+    vectors = pairs.select("n", "share", fingerprint.vector(F.col("a")).alias("a"), fingerprint.vector(F.col("b")).alias("b"))
+    for r in vectors.withColumn("near", fingerprint.likeness(F.col("a"), F.col("b"))).collect():
+        assert r["near"] == (pytest.approx(r["share"], abs=0.2) if r["share"] < 1 else 1), r["n"]
+    same = spark.createDataFrame([("a", ""), ("", "\n"), ("a\nb", "a\n\nb"), ("a", "b")], "a string, b string")
+    vectors = same.select(fingerprint.vector(F.col("a")).alias("a"), fingerprint.vector(F.col("b")).alias("b"))
+    found = [(r["a"] == r["b"], r["near"]) for r in vectors.withColumn("near", fingerprint.likeness(F.col("a"), F.col("b"))).collect()]
+    assert found[:3] == [(False, 0), (False, 1), (False, 1)] and not found[3][0] and found[3][1] < 0.3
+
+
 def test_batches_count_once(spark):
     store = tokencounts.Rollup(spark, shared_folder(spark))
     docs = frame(spark, ODD)
