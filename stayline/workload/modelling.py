@@ -20,7 +20,7 @@ from stayline.sources.tables import load_model, save_model
 from stayline.workload.registry import query
 from stayline.workload.relational import r6
 from stayline.workload.roles import table
-from stayline.workload.textual import TOKENS, lemma_table
+from stayline.workload.textual import GRAMS_SQL, TOKENS, lemma_table
 
 NAMES = ["n_chars", "n_words", "tfidf__the", "tfidf__heed", "tfidf__thing heed"]
 
@@ -116,13 +116,17 @@ def block_standardise(spark, sf):
     return out.select("doc_id", r6(F.col("f")[0]).alias("n_chars"), r6(F.col("f")[1]).alias("words"), F.col("f")[2].alias("toxic"))
 
 
+def fused_tables(spark, sf, **terms):
+    df = features(spark, sf).select("doc_id", "toxic", "n_chars", S.word_count("text").alias("words"), "lang")
+    vectors, _ = TX.tfidf_vectors(lemma_table(spark, sf), "doc_id", "lemmas", **terms)
+    emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return TX.fuse_datasets(df, "doc_id", "toxic", ["n_chars", "words"], vectors, emb)
+
+
 @query("fuse_datasets", f"""WITH b AS (SELECT count(*) AS n FROM labels JOIN documents USING (doc_id) JOIN embeddings ON vec_id = doc_id)
 SELECT 'tfidf' AS dataset, n AS n_rows, 502 AS width FROM b UNION ALL SELECT 'embedding', n, 66 FROM b UNION ALL SELECT 'both', n, 566 FROM b""")
 def fuse_datasets(spark, sf):
-    df = features(spark, sf).select("doc_id", "toxic", "n_chars", S.word_count("text").alias("words"), "lang")
-    vectors, _ = TX.tfidf_vectors(lemma_table(spark, sf), "doc_id", "lemmas", max_features=500)
-    emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    fused = TX.fuse_datasets(df, "doc_id", "toxic", ["n_chars", "words"], vectors, emb)
+    fused = fused_tables(spark, sf, max_features=500)
     width = F.max(F.size(vector_to_array("features")))
     return reduce(lambda a, b: a.unionByName(b), [
         d.agg(F.count(F.lit(1)).alias("n_rows"), width.alias("width")).select(F.lit(n).alias("dataset"), "n_rows", "width")
@@ -130,6 +134,34 @@ def fuse_datasets(spark, sf):
     ])
 
 
+@query("fuse_datasets_whole", f"""WITH {GRAMS_SQL},
+base AS (SELECT doc_id, toxic, n_chars, len(regexp_extract_all(text, '\\S+')) AS words, CAST(embedding AS DOUBLE[]) AS e
+  FROM labels JOIN documents USING (doc_id) JOIN embeddings ON vec_id = doc_id),
+place AS (SELECT term, row_number() OVER (ORDER BY term) AS i FROM vocab),
+t AS (SELECT doc_id, sum(weight) AS s, sum(i * weight) AS p FROM tfidf JOIN place USING (term) GROUP BY 1),
+v AS (SELECT doc_id, sum(x) AS s, sum(i * x) AS p FROM (
+  SELECT doc_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM base) GROUP BY 1),
+k AS (SELECT (SELECT count(*) FROM vocab) AS terms),
+b AS (SELECT doc_id, toxic, n_chars + words AS s, n_chars + 2 * words AS p, terms, len(e) AS dims,
+  coalesce(t.s, 0) AS ts, coalesce(t.p, 0) AS tp, v.s AS vs, v.p AS vp
+  FROM base CROSS JOIN k LEFT JOIN t USING (doc_id) JOIN v USING (doc_id)),
+f AS (SELECT 'tfidf' AS dataset, doc_id, toxic, 2 + terms AS width, s + ts AS total, p + tp + 2 * ts AS placed FROM b
+  UNION ALL SELECT 'embedding', doc_id, toxic, 2 + dims, s + vs, p + vp + 2 * vs FROM b
+  UNION ALL SELECT 'both', doc_id, toxic, 2 + terms + dims, s + ts + vs, p + tp + 2 * ts + vp + (2 + terms) * vs FROM b)
+SELECT dataset, doc_id, toxic, width, round(total, 4) AS total, round(placed, 4) AS placed FROM f""")
+def fuse_datasets_whole(spark, sf):
+    """Every row of the three tables with all 2000 terms: width, sum of the features and sum weighted by place."""
+    x = F.col("x")
+    add = lambda v: F.aggregate(v, F.lit(0.0), lambda t, y: t + y)
+    return reduce(lambda a, b: a.unionByName(b), [
+        d.withColumn("x", vector_to_array("features")).select(
+            F.lit(n).alias("dataset"), "doc_id", "toxic", F.size(x).cast("long").alias("width"),
+            F.round(add(x), 4).alias("total"), F.round(add(F.transform(x, lambda y, i: y * (i + 1))), 4).alias("placed"),
+        )
+        for n, d in fused_tables(spark, sf).items()
+    ])
+
+
 # ---- models ----------------------------------------------------------------------------------------------------------
 
 def coefficients(model, spark):
@@ -181,7 +213,7 @@ def param_search(spark, sf):
 
 @query("penalty_summary")
 def penalty_summary(spark, sf):
-    return MO.penalty_summary(training(spark, sf, 2), ("l1", "l2"), n_trials=2, max_iter=20)
+    return MO.penalty_summary(training(spark, sf))
 
 
 @query("stacking")

@@ -32,3 +32,9 @@ def test_query_equals_oracle(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_modelling_queries_do_the_whole_job(spark):
+    assert {r["penalty"] for r in QUERIES["penalty_summary"](spark, SF).collect()} == {"l1", "l2", "elasticnet"}
+    widths = {r["dataset"]: r["width"] for r in QUERIES["fuse_datasets_whole"](spark, SF).select("dataset", "width").distinct().collect()}
+    assert widths == {"tfidf": 2002, "embedding": 66, "both": 2066}
