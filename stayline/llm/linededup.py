@@ -1,6 +1,6 @@
 """Cross-site boilerplate lines, found by HyperLogLog sketches of the sites of each line.
 
-Lines (split at line feeds, trimmed) are named by two 64-bit hashes. Site hashes of a line merge into a sketch; an
+Lines (split at line feeds, trimmed) are named by two 64-bit hashes of unlike seeds. Site hashes of a line merge into a sketch; an
 estimate far enough from `min_sites` decides, and lines near it get an exact count of distinct sites. A line on at
 least `min_sites` sites stays in the document with the smallest id that has it and goes from all others.
 
@@ -27,7 +27,7 @@ def _lines(rows: DataFrame) -> DataFrame:
     line = F.trim(F.col("line"))
     spread = rows.select("doc", "row", "site", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return spread.filter(F.length(line) > 0).select(
-        "doc", "row", "site", "pos", F.xxhash64(line).alias("h1"), F.xxhash64(line, F.lit(1)).alias("h2")
+        "doc", "row", "site", "pos", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")
     )
 
 

@@ -164,6 +164,30 @@ def test_passages_with_edits_are_found(spark):
     assert decontaminate.find(frame(spark, texts), items.limit(0)).count() == 0
 
 
+def lines_of_one_hash():
+    """Two printable lines of 16 characters whose xxhash64 with Spark's seed is the same."""
+    p1, p2, p4, p5, full = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, (1 << 64) - 1
+    turn = lambda x, n: (x << n | x >> 64 - n) & full
+    mix = lambda k: turn(k * p2 & full, 31) * p1 & full
+    back = lambda y: turn(y * pow(p1, -1, 1 << 64) & full, 33) * pow(p2, -1, 1 << 64) & full
+    state = lambda k: (turn((42 + p5 + 16) & full ^ mix(int.from_bytes(k, "little")), 27) * p1 + p4) & full
+    first = b"commonlinecommon"
+    for i in range(10**6):
+        head = f"{i:08d}".encode()
+        tail = back(state(head) ^ state(first[:8]) ^ mix(int.from_bytes(first[8:], "little"))).to_bytes(8, "little")
+        if all(33 <= c < 127 for c in tail):
+            return first.decode(), (head + tail).decode()
+
+
+def test_a_line_with_the_hash_of_boilerplate_stays(spark):
+    common, clean = lines_of_one_hash()
+    lines = spark.createDataFrame([(common, clean)], "a string, b string")
+    assert common != clean and lines.filter(F.xxhash64("a") == F.xxhash64("b")).count() == 1
+    docs = frame(spark, [f"{common}\nown {i}" for i in range(12)] + [f"{clean}\nown"]).withColumn("source", F.col("doc_id").cast("string"))
+    out = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()}
+    assert out[11] == "own 11" and out[12] == f"{clean}\nown"
+
+
 def test_passages_stay_in_their_document():
     r = random.Random(6)
     noise = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
