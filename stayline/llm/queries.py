@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm import bpe, decontaminate, fingerprint, linededup, lmscore, minhash, quality, tokencounts, toxicity, warc
+from stayline.llm import (
+    bpe, decontaminate, fingerprint, linededup, lmscore, manifest, minhash, piecebpe, quality, runs, tokencounts, toxicity, warc,
+)
 from stayline.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +37,12 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def held_out(id_col: str = "doc_id") -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
@@ -104,3 +112,25 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     return lmscore.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
+@query("op11_manifest", manifest.SQL)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(table(spark, sf_dir, "documents"))
+
+
+@query("op12_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.collapse_runs(runs.planted(table(spark, sf_dir, "documents"))).withColumn("best", runs.strongest(F.col("runs")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_sentencepiece")
+def sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecebpe.round_trip(table(spark, sf_dir, "documents"), piece_bpe())
