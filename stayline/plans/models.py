@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import math
 import random
+import threading
+import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,12 +76,17 @@ def logreg_fit(
     return fit
 
 
+def watched_rows(train: DataFrame, valid: DataFrame, label: str) -> DataFrame:
+    """The rows whose loss decides when to stop: the validation part, or the training part if that has one class."""
+    classes = valid.agg(F.min(label).alias("a"), F.max(label).alias("b")).first()
+    return valid if classes["a"] != classes["b"] else train
+
+
 def early_stop_frame(train: DataFrame, valid: DataFrame | None, label: str) -> tuple[DataFrame, bool]:
     """Training rows with marked stopping rows: the validation part, or the training part if that has one class."""
     if valid is None:
         return train, False
-    classes = valid.agg(F.min(label).alias("a"), F.max(label).alias("b")).first()
-    watched = valid if classes["a"] != classes["b"] else train
+    watched = watched_rows(train, valid, label)
     both = train.withColumn(STOPPING, F.lit(False)).unionByName(watched.withColumn(STOPPING, F.lit(True)))
     return both, True
 
@@ -107,6 +114,64 @@ def gbt_fit(
     return fit
 
 
+def best_round(losses: Sequence[float], patience: int) -> int:
+    """The number of rounds with the least loss, reading on until `patience` rounds bring nothing better."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+@dataclass(frozen=True)
+class StagedModel:
+    """The first `rounds` trees of a boosted model, and the held-out loss after each of its rounds."""
+
+    model: object
+    rounds: int
+    losses: tuple[float, ...]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds `probability` from the weighted sum of the first trees."""
+        boosted = self.model.stages[-1]
+        features, columns = boosted.getFeaturesCol(), df.columns
+        names = [f"_tree_{i}" for i in range(self.rounds)]
+        for name, tree in zip(names, boosted.trees):
+            df = tree.setFeaturesCol(features).setPredictionCol(name).transform(df)
+        margin = F.lit(0.0)
+        for name, weight in zip(names, boosted.treeWeights):
+            margin = margin + F.col(name) * float(weight)
+        one = 1.0 / (1.0 + F.exp(-2.0 * margin))
+        return df.withColumn("probability", array_to_vector(F.array(1.0 - one, one))).select(*columns, "probability")
+
+
+@dataclass(frozen=True)
+class StagedFit:
+    """Boosted trees that are given the held-out rows: all rounds are fitted, and the round of least held-out loss is kept.
+
+    The loss is read for all rounds in one job. It is the logistic loss, the only one that boosting reports by round.
+    """
+
+    params: Mapping
+    patience: int = 10
+    label: str = "label"
+
+    def __call__(self, train: DataFrame, held: DataFrame | None = None):
+        model = gbt_fit(label=self.label, **self.params)(train)
+        if held is None:
+            return model
+        watched = watched_rows(train, held, self.label).withColumn(WEIGHT, F.lit(1.0))
+        losses = tuple(model.stages[-1].evaluateEachIteration(watched))
+        return StagedModel(model, best_round(losses, self.patience), losses)
+
+
+def staged_gbt_fit(label="label", patience: int = 10, **params) -> StagedFit:
+    """`gbt_fit` whose rounds end at the best one on the rows held out, where `cross_val_oof` or a search hands them over."""
+    return StagedFit(params, patience, label)
+
+
 def rf_fit(
     label="label", features="features", trees: int = 100, max_depth: int = 8, class_weight="balanced", seed: int = 42
 ) -> Fit:
@@ -129,25 +194,54 @@ def score(model, df: DataFrame, out: str = "prob", threshold: float | None = Non
     return scored.withColumn("pred", F.when(F.col(out) >= threshold, 1).otherwise(0))
 
 
+@dataclass(frozen=True)
+class FoldFit:
+    """One fold's model, its scored held-out rows, and the rounds kept if the model is staged."""
+
+    fold: object
+    model: object
+    scored: DataFrame
+    rounds: int | None
+
+
+def fold_fit(
+    df: DataFrame, fit: Fit, f, fold: str = "fold", out: str = "prob", resample: Callable | None = None, resample_valid: bool = False
+) -> FoldFit:
+    """Fit on the other folds and score this one. A staged fit gets the held-out rows to stop on."""
+    train, held = df.filter(F.col(fold) != f), df.filter(F.col(fold) == f)
+    if resample is not None:
+        train = resample(train)
+        held = resample(held).withColumn(fold, F.lit(f)) if resample_valid else held
+    model = fit(train, held) if isinstance(fit, StagedFit) else fit(train)
+    return FoldFit(f, model, score(model, held, out), getattr(model, "rounds", None))
+
+
+def fold_values(df: DataFrame, fold: str, most: int = 1000) -> list:
+    """The folds in order; more than `most` are not folds and raise."""
+    found = [r[fold] for r in df.select(fold).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{fold} has more than {most} values")
+    return sorted(found)
+
+
+def cross_val_fits(
+    df: DataFrame, fit: Fit, fold: str = "fold", out: str = "prob", resample: Callable | None = None,
+    resample_valid: bool = False, parallel: int = 1,
+) -> list[FoldFit]:
+    folds = fold_values(df, fold)
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        return list(pool.map(lambda f: fold_fit(df, fit, f, fold, out, resample, resample_valid), folds))
+
+
 def cross_val_oof(
     df: DataFrame, fit: Fit, fold: str = "fold", out: str = "prob", resample: Callable | None = None,
     resample_valid: bool = False, parallel: int = 1,
 ) -> DataFrame:
-    """Every row scored by the model that did not see its fold.
+    """Every row scored by the model that did not see its fold; a staged model at its best round on that fold.
 
     `resample` is applied to training rows; with `resample_valid` to the held-out rows too (diagnostic).
     """
-    folds = sorted(r[fold] for r in df.select(fold).distinct().collect())
-
-    def one(f):
-        train, held = df.filter(F.col(fold) != f), df.filter(F.col(fold) == f)
-        if resample is not None:
-            train = resample(train)
-            held = resample(held).withColumn(fold, F.lit(f)) if resample_valid else held
-        return score(fit(train), held, out)
-
-    with ThreadPoolExecutor(max_workers=parallel) as pool:
-        return union_all(*pool.map(one, folds))
+    return union_all(*[f.scored for f in cross_val_fits(df, fit, fold, out, resample, resample_valid, parallel)])
 
 
 def fold_metrics(oof: DataFrame, fold="fold", label="label", prob="prob", threshold: float = 0.5) -> DataFrame:
@@ -232,54 +326,162 @@ GBT_SPACES_LEAFWISE = {
 }
 
 
+# Ranges for feature sets without their own.
+GBT_SPACE_GENERAL = {
+    "step": Range(0.02, 0.2, log=True), "max_depth": Range(3, 10, integer=True), "min_instances": Range(1, 10, integer=True),
+    "min_gain": Range(0.0, 0.5), "subsample": Range(0.6, 1.0), "feature_share": Range(0.3, 0.9),
+}
+GBT_SPACE_GENERAL_LEAFWISE = {
+    "step": Range(0.03, 0.2, log=True), "max_depth": Range(3, 12, integer=True), "min_instances": Range(20, 150, integer=True),
+    "min_gain": Range(0.0, 0.2), "subsample": Range(0.6, 1.0), "feature_share": Range(0.4, 0.9),
+    "rounds": Range(200, 1500, integer=True),
+}
+
+
 def space_for(dataset: str, leafwise: bool = False) -> dict[str, Range]:
-    """The search ranges of a feature set; an unknown name is an error."""
-    spaces = GBT_SPACES_LEAFWISE if leafwise else GBT_SPACES
-    if dataset not in spaces:
-        raise ValueError(f"dataset must be one of {sorted(spaces)}, not {dataset!r}")
-    return dict(spaces[dataset])
+    """The search ranges of a feature set; other names get the general ranges."""
+    if leafwise:
+        return dict(GBT_SPACES_LEAFWISE.get(dataset, GBT_SPACE_GENERAL_LEAFWISE))
+    return dict(GBT_SPACES.get(dataset, GBT_SPACE_GENERAL))
 
 
 @dataclass
 class SearchResult:
+    """Completed trials, the best of them, and why the others have no score.
+
+    `pruned` gives the reason of each trial that was given up, `fits` the number of folds fitted by every trial, and
+    `rounds` the mean best round of each staged trial.
+    """
+
     trials: DataFrame
     best_params: dict
     best_value: float
     failed: list[int] = field(default_factory=list)
+    pruned: dict[int, str] = field(default_factory=dict)
+    fits: dict[int, int] = field(default_factory=dict)
+    rounds: dict[int, float] = field(default_factory=dict)
+
+
+NO_POSITIVES, CANNOT_WIN = "a fold without positives", "cannot reach the best trial"
+METRICS = ("ap", "precision", "recall", "roc_auc")
+
+
+class _Trial:
+    """One trial's folds. Giving it up cancels the Spark jobs of its folds by their tag."""
+
+    def __init__(self, number: int, params: dict, context):
+        self.number, self.params, self.context = number, params, context
+        self.tag = f"stayline-trial-{uuid.uuid4().hex}"
+        self.values: list[dict[str, float]] = []
+        self.rounds: list[int] = []
+        self.fits = 0
+        self.reason: str | None = None
+
+    def give_up(self, reason: str) -> None:
+        if self.reason is None:
+            self.reason = reason
+            self.context.cancelJobsWithTag(self.tag)
+
+    def mean(self, name: str) -> float | None:
+        found = [v[name] for v in self.values if v[name] is not None]
+        return sum(found) / len(found) if found else None
+
+
+class _Search:
+    """Trials over one table, which share the best value found so far."""
+
+    def __init__(self, df: DataFrame, folds: list, metric: str, fold: str, label: str, resample, prune: bool, need_all: bool):
+        self.df, self.folds, self.metric, self.fold, self.label = df, folds, metric, fold, label
+        self.resample, self.prune, self.need_all = resample, prune, need_all
+        self.lock = threading.Lock()
+        self.best: float | None = None
+
+    def resampled(self, train: DataFrame) -> DataFrame:
+        """Rows of the sampler; those given if it refuses them (a minority that is too small)."""
+        try:
+            return self.resample(train)
+        except ValueError:
+            return train
+
+    def one_fold(self, trial: _Trial, fit: Fit, f) -> None:
+        context = self.df.sparkSession.sparkContext
+        context.addJobTag(trial.tag)  # tags belong to this thread
+        try:
+            if trial.reason is not None:
+                return
+            with self.lock:
+                trial.fits += 1
+            made = fold_fit(self.df, fit, f, self.fold, resample=None if self.resample is None else self.resampled)
+            row = fold_metrics(cut_lineage(made.scored), self.fold, self.label).first()
+            with self.lock:
+                if made.rounds is not None:
+                    trial.rounds.append(made.rounds)
+                if row is not None:
+                    trial.values.append({m: row[m] for m in METRICS})
+            if row is None and self.need_all:
+                trial.give_up(NO_POSITIVES)
+            elif self.prune:
+                self.look(trial)
+        except Exception:
+            if trial.reason is None:
+                raise
+        finally:
+            context.removeJobTag(trial.tag)
+
+    def look(self, trial: _Trial) -> None:
+        """Give up a trial that stays below the best even if its other folds are perfect (no metric is above 1)."""
+        with self.lock:
+            found = [v[self.metric] for v in trial.values if v[self.metric] is not None]
+            open_folds = len(self.folds) - len(trial.values)
+            # folds without positives may drop out of the mean: the most it can reach is with all open folds in it
+            hopeless = self.best is not None and bool(found) and (sum(found) + open_folds) / (len(found) + open_folds) < self.best
+        if hopeless:
+            trial.give_up(CANNOT_WIN)
+
+    def run(self, trial: _Trial, fit: Fit, parallel: int) -> _Trial:
+        if parallel == 1:
+            for f in self.folds:
+                self.one_fold(trial, fit, f)
+        else:
+            with ThreadPoolExecutor(max_workers=parallel) as pool:
+                for done in as_completed([pool.submit(self.one_fold, trial, fit, f) for f in self.folds]):
+                    done.result()
+        value = trial.mean(self.metric)
+        with self.lock:
+            if trial.reason is None and value is not None and (self.best is None or value > self.best):
+                self.best = value
+        return trial
 
 
 def param_search(
     df: DataFrame, make_fit: Callable[..., Fit], space: Mapping[str, Range], n_trials: int = 10, metric: str = "ap",
-    seed: int = 42, fold: str = "fold", label: str = "label", parallel: int = 2, need_all_folds: bool = False, **fixed,
+    seed: int = 42, fold: str = "fold", label: str = "label", parallel: int = 2, need_all_folds: bool = False,
+    resample: Callable | None = None, prune: bool = False, parallel_folds: int = 1, **fixed,
 ) -> SearchResult:
-    """Seeded random search; trials are concurrent Spark jobs.
+    """Seeded random search; trials, and with `parallel_folds` their folds, are concurrent Spark jobs.
 
-    Trials without a score are left out; with `need_all_folds` also those with a fold without positives.
+    `resample` is applied to the training rows of every fold. With `need_all_folds` a trial is given up at its first fold
+    without positives, else such folds are left out of its means. With `prune` a trial is given up once it can't reach the best one.
+    The running jobs of a trial that is given up are cancelled. The best trial is the same with and without pruning.
     """
-    n_folds = df.select(fold).distinct().count()
+    folds = fold_values(df, fold)
+    context = df.sparkSession.sparkContext
     rng = random.Random(seed)
-    drawn = [{name: r.draw(rng) for name, r in space.items()} for _ in range(n_trials)]
-
-    def run(item):
-        number, params = item
-        values = cv_metrics(cross_val_oof(df, make_fit(label=label, **params, **fixed), fold), fold=fold, label=label)
-        return number, params, values
-
+    trials = [_Trial(n, {name: r.draw(rng) for name, r in space.items()}, context) for n in range(n_trials)]
+    search = _Search(df, folds, metric, fold, label, resample, prune, need_all_folds)
     with ThreadPoolExecutor(max_workers=parallel) as pool:
-        done = list(pool.map(run, enumerate(drawn)))
-    complete = [
-        d for d in done if d[2].get(metric) is not None and (d[2]["folds"] == n_folds or not need_all_folds)
-    ]
+        list(pool.map(lambda t: search.run(t, make_fit(label=label, **t.params, **fixed), parallel_folds), trials))
+    complete = [t for t in trials if t.reason is None and t.mean(metric) is not None]
     if not complete:
-        raise ValueError(f"none of the {len(done)} trials has a {metric} for its folds")
-    best = max(complete, key=lambda d: (d[2][metric], -d[0]))
-    rows = [
-        (n, v["ap"], v["precision"], v["recall"], v["roc_auc"], {k: str(x) for k, x in p.items()})
-        for n, p, v in complete
-    ]
+        raise ValueError(f"none of the {len(trials)} trials has a {metric} for its folds")
+    best = max(complete, key=lambda t: (t.mean(metric), -t.number))
+    rows = [(t.number, *[t.mean(m) for m in METRICS], {k: str(v) for k, v in t.params.items()}) for t in complete]
     schema = "trial int, ap double, precision double, recall double, roc_auc double, params map<string,string>"
-    trials = df.sparkSession.createDataFrame(rows, schema)
-    return SearchResult(trials, best[1], best[2][metric], [d[0] for d in done if d not in complete])
+    return SearchResult(
+        df.sparkSession.createDataFrame(rows, schema), best.params, best.mean(metric),
+        [t.number for t in trials if t not in complete], {t.number: t.reason for t in trials if t.reason},
+        {t.number: t.fits for t in trials}, {t.number: sum(t.rounds) / len(t.rounds) for t in trials if t.rounds},
+    )
 
 
 def penalty_summary(

@@ -15,8 +15,10 @@ from stayline.operators import text as TX
 from stayline.operators.smote import nearest_neighbors, smote
 from stayline.plans import explain as EX
 from stayline.plans import models as MO
+from stayline.plans import tuning as TU
 from stayline.session import cut_lineage, shared_folder
 from stayline.sources.tables import load_model, save_model
+from stayline.workload.profiling import RANKED
 from stayline.workload.registry import query
 from stayline.workload.relational import r6
 from stayline.workload.roles import table
@@ -86,15 +88,13 @@ def resample_policy(spark, sf):
 
 
 def smote_frame(seed: int):
-    """Resampler for (doc_id, label, features vector, fold) frames."""
+    """Resampler for (doc_id, label, features vector, fold) frames; real rows keep their folds."""
 
     def resample(df):
-        fold = df.select("fold").limit(1)
         arrays = df.select("doc_id", "label", vector_to_array("features").alias("x"))
         out = smote(arrays, "doc_id", "label", "x", seed=seed)
-        return out.select("doc_id", "label", array_to_vector("x").alias("features")).withColumn(
-            "fold", F.lit(fold.first()["fold"])
-        )
+        rows = out.select("doc_id", "label", array_to_vector("x").alias("features"))
+        return rows.join(df.select("doc_id", "fold"), "doc_id", "left")  # synthetic rows belong to no fold
 
     return resample
 
@@ -255,6 +255,143 @@ def safe_early_stop(spark, sf):
     return MO.score(fit(df.filter("fold > 0")), df).select("doc_id", "label", "prob")
 
 
+# ---- tuning, and what must hold for fitted models --------------------------------------------------------------------
+
+FOLDED = f"""{RANKED}, k AS (SELECT doc_id, toxic AS label, CAST((rk - 1) % 3 AS INTEGER) AS fold FROM r)"""
+
+
+@query("held_stopping", f"""WITH {FOLDED} SELECT fold, count(*) AS n, 12 AS n_losses, true AS losses_agree, true AS least_loss_kept FROM k GROUP BY 1""")
+def held_stopping(spark, sf):
+    """Per fold: the loss after each round, taken again from the scores of tree prefixes, has its least where the fold stopped."""
+    fits = MO.cross_val_fits(training(spark, sf), MO.staged_gbt_fit(rounds=12, max_depth=3, patience=12), parallel=3)
+    parts = []
+    for f in fits:
+        staged, scored = f.model, f.scored
+        for n in range(1, len(staged.losses) + 1):
+            prefix = MO.StagedModel(staged.model, n, staged.losses)
+            scored = MO.score(prefix, scored, f"p{n}")
+        true = lambda n: F.when(F.col("label") == 1, F.col(f"p{n}")).otherwise(1 - F.col(f"p{n}"))
+        again = scored.groupBy("fold").agg(
+            F.count(F.lit(1)).alias("n"), F.array(*[F.avg(-2 * F.ln(true(n + 1))) for n in range(len(staged.losses))]).alias("again")
+        )
+        told = F.array(*[F.lit(float(x)) for x in staged.losses])
+        gaps = F.zip_with("again", told, lambda a, b: F.abs(a - b))
+        parts.append(again.select(
+            "fold", "n", F.size("again").alias("n_losses"), (F.array_max(gaps) < 1e-9).alias("losses_agree"),
+            (F.element_at("again", staged.rounds) <= F.array_min("again") + 1e-9).alias("least_loss_kept"),
+        ))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def ros_frame(df):
+    return SA.random_oversample(df, "doc_id", "label").drop("draw")
+
+
+def tuned(spark, sf):
+    """The whole job over boosted trees, saved and loaded again."""
+    df, path = training(spark, sf), shared_folder(spark)
+    bundle = TU.tune(
+        df, MO.staged_gbt_fit, MO.space_for("general"), dataset="general", key="doc_id", n_trials=4, resample=ros_frame,
+        features=NAMES, rounds=20, patience=5,
+    )
+    TU.save_bundle(bundle, path)
+    return df, bundle, TU.load_bundle(spark, path)
+
+
+@query("tune_and_save", "SELECT doc_id, toxic AS label, true AS same, true AS decided, true AS oof_scored FROM labels JOIN documents USING (doc_id)")
+def tune_and_save(spark, sf):
+    """Every row through the saved bundle: its scores are those of the tuned model, its decisions those of the threshold."""
+    df, made, loaded = tuned(spark, sf)
+    before = made.score(df, "before").select("doc_id", F.col("before"))
+    oof = loaded.oof.select("doc_id", F.col("prob").alias("oof"))
+    rows = loaded.score(df).join(before, "doc_id").join(oof, "doc_id", "left")
+    cut = F.lit(loaded.serving["threshold"])
+    return rows.select(
+        "doc_id", "label", (F.col("prob") == F.col("before")).alias("same"), ((F.col("pred") == 1) == (F.col("prob") >= cut)).alias("decided"),
+        F.coalesce(F.col("oof").between(0, 1), F.lit(False)).alias("oof_scored"),
+    )
+
+
+@query("tune_metrics")
+def tune_metrics(spark, sf):
+    """The stored metrics at the tuned threshold, with the settings a server would read."""
+    loaded = tuned(spark, sf)[2]
+    keys = ("dataset", "threshold_strategy", "rows", "pos_rate", "best_value")
+    return loaded.metrics.withColumns({k: F.lit(loaded.serving[k]) for k in keys})
+
+
+@query("param_search_boosted")
+def param_search_boosted(spark, sf):
+    """Boosted trials that stop on their held-out folds, resampled, and given up once they can't win."""
+    found = MO.param_search(
+        training(spark, sf), MO.staged_gbt_fit, MO.space_for("tfidf"), 4, resample=ros_frame, prune=True, rounds=20, patience=5
+    )
+    return found.trials
+
+
+@query("stacking_passthrough", "SELECT doc_id, toxic AS label, true AS scored FROM labels JOIN documents USING (doc_id)")
+def stacking_passthrough(spark, sf):
+    """A stack whose meta model sees the features beside the base probabilities."""
+    df = training(spark, sf)
+    bases = {"lr": MO.logreg_fit(), "gbt": MO.gbt_fit(rounds=10, max_depth=3), "rf": MO.rf_fit(trees=20, max_depth=5)}
+    stack = MO.fit_stack(df, bases, "doc_id", passthrough=True)
+    return stack.transform(df).select("doc_id", "label", F.col("prob").between(0, 1).alias("scored"))
+
+
+@query("oof_invariants", f"""WITH {FOLDED} SELECT doc_id, label, fold, true AS scored FROM k JOIN documents USING (doc_id)""")
+def oof_invariants(spark, sf):
+    """One out-of-fold score per row, in its fold, for a linear, a boosted and a forest fit alike."""
+    df, fits = training(spark, sf), {"a": MO.logreg_fit(), "b": MO.staged_gbt_fit(rounds=10, max_depth=3), "c": MO.rf_fit(trees=10)}
+    parts = [MO.cross_val_oof(df, fit, parallel=3).select("doc_id", "label", "fold", "prob") for fit in fits.values()]
+    each = reduce(lambda a, b: a.unionByName(b), parts).groupBy("doc_id", "label", "fold")
+    return each.agg(((F.count("prob") == len(fits)) & (F.min("prob") >= 0) & (F.max("prob") <= 1)).alias("scored"))
+
+
+@query("logreg_gradient", f"""SELECT unnest({NAMES + ['(intercept)']}) AS feature, (SELECT count(*) FROM labels JOIN documents USING (doc_id)) AS n, true AS flat""")
+def logreg_gradient(spark, sf):
+    """The gradient of the L2 objective is zero at the fitted coefficients, feature by feature."""
+    c = 0.5
+    df = training(spark, sf)
+    fit = MO.logreg_fit(C=c, max_iter=500, tol=1e-10)(df)
+    model = fit.stages[-1]
+    residual = MO.score(fit, df).withColumn("x", F.concat(vector_to_array("features"), F.array(F.lit(1.0)))).select(
+        F.posexplode("x").alias("i", "x"), (F.col("prob") - F.col("label")).alias("r")
+    )
+    names, slopes = F.array(*map(F.lit, [*NAMES, "(intercept)"])), [*map(float, model.coefficients), 0.0]  # no penalty on the intercept
+    gradient = F.sum(F.col("x") * F.col("r")) + F.element_at(F.array(*map(F.lit, slopes)), F.first("i") + 1) / c
+    return residual.groupBy("i").agg(F.count(F.lit(1)).alias("n"), gradient.alias("g")).select(
+        F.element_at(names, F.col("i") + 1).alias("feature"), "n", (F.abs("g") < 1e-4 * F.col("n")).alias("flat")
+    )
+
+
+@query("saved_scores", "SELECT doc_id, true AS same, true AS decided FROM labels JOIN documents USING (doc_id)")
+def saved_scores(spark, sf):
+    """A saved and loaded model scores as before, and its decisions follow the stored threshold."""
+    df, _, model, serving = saved_model(spark, sf)
+    before = MO.score(MO.logreg_fit(class_weight="balanced")(df), df, "before").select("doc_id", "before")
+    after = MO.score(model, df, threshold=serving["threshold"])
+    return after.join(before, "doc_id").select(
+        "doc_id", (F.abs(F.col("prob") - F.col("before")) < 1e-9).alias("same"),
+        ((F.col("pred") == 1) == (F.col("prob") >= serving["threshold"])).alias("decided"),
+    )
+
+
+@query("attribution_sums", "SELECT doc_id, 5 AS n, true AS adds_up FROM labels JOIN documents USING (doc_id)")
+def attribution_sums(spark, sf):
+    """Attributions of a fitted model and its base value add up to the log odds of its score."""
+    df = training(spark, sf)
+    fit = MO.logreg_fit(class_weight="balanced")(df)
+    model, background = fit.stages[-1], EX.background_mean(df, k=50)
+    slopes = list(map(float, model.coefficients))
+    base = EX.base_value(float(model.intercept), slopes, background)
+    sums = EX.linear_attribution(df, "doc_id", "features", NAMES, slopes, background).groupBy("doc_id").agg(
+        F.count(F.lit(1)).cast("int").alias("n"), F.sum("phi").alias("phi")
+    )
+    odds = MO.score(fit, df).select("doc_id", F.ln(F.col("prob") / (1 - F.col("prob"))).alias("odds"))
+    gap = F.abs(F.col("phi") + F.lit(base) - F.col("odds"))
+    return sums.join(odds, "doc_id").select("doc_id", "n", (gap < 1e-6 * (1 + F.abs("odds"))).alias("adds_up"))
+
+
 # ---- explanation -----------------------------------------------------------------------------------------------------
 
 X_SQL = f"""w AS (SELECT doc_id, toxic, text, n_chars, {TOKENS} AS tok, len(regexp_extract_all(text, '\\S+')) AS words FROM labels JOIN documents USING (doc_id)),
