@@ -5,9 +5,20 @@ bins with a value i + u, u uniform in [0, 1); a bin keeps its smallest value. Fr
 bin i - t, so every bin is filled after 2t rounds at most, and after O(log t) throws per bin with high
 probability. Equal bins estimate the Jaccard similarity with the concentration of t independent samples.
 
-Defined cases: null text counts as empty; empty sets are linked with nothing; repeated rows come out once each;
-rows with a null id are linked with nothing and have a null component. A-Z are lower-cased, words are runs of
-bytes other than space and 0x09-0x0D, and a text with fewer than k words is one shingle.
+Every bucket's members are compared with one pivot, which links most of what belongs together. Documents of buckets that still
+hold several components are searched exactly, without a pair of a bucket being made:
+
+* A shingle is live if documents of different components have it. Links between components rest on live shingles alone, so
+  documents with too few of them are left out, and what is live is told again.
+* Two sets with 100 * intersection >= percent * union share one of their n - ceil(percent * n / 100) + 1 first shingles in any common
+  order; with the rarest first and those that aren't live ahead of all, these are few and rare. Documents are grouped by them.
+* In a group only members outside its largest component look for partners: they are dealt into chunks, all members
+  into blocks of bounded size, and each chunk meets each block in one task, where sizes and sketches are compared. Documents with
+  a close sketch in another component are then compared on whole sets, dealt in the same way.
+
+Defined cases: null text counts as empty; empty sets are linked with nothing; repeated rows come out once each; an id with
+several texts has a row for each, linked by its own text; rows with a null id are linked with nothing and have a null component.
+A-Z are lower-cased, words are runs of bytes other than space and 0x09-0x0D, and a text with fewer than k words is one shingle.
 """
 
 from __future__ import annotations
@@ -18,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +37,10 @@ from stayline.llm.common import mixed, narrow, shingle_set, slices, word_hashes,
 
 BINS, ROWS = 200, 5  # 40 bands of 5: a pair of similarity 0.8 shares no band with probability 1.3e-7
 LEAST_ESTIMATE = 0.14  # below the threshold by this much in the sketch (5 deviations at 0.8) needs no texts
-BLOCK = 256
+GROUP_ROWS = 2048  # members of a block or chunk whose sketches meet in a task
+GROUP_SHINGLES = 1_000_000  # the same for whole sets
+LIVE_ROUNDS = 3
+SALTS = 64
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,11 +71,11 @@ def band_keys(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, bins: int = BINS, rows: int = ROWS) -> DataFrame:
-    """(doc, n, digest, sketch, bands) for rows of (doc, text); digest names the whole set."""
+    """(doc, mark, n, digest, sketch, bands) for rows of (doc, mark, text); digest names the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([
-            ("doc", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary()),
+            ("doc", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary()),
             ("bands", pa.list_(pa.int64())),
         ])
         for batch in batches:
@@ -78,14 +93,14 @@ def sketches(docs: DataFrame, words: int, bins: int = BINS, rows: int = ROWS) ->
                     digest.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest())
                     low.append(sketch.astype(np.uint8).tobytes())
                     bands.append(band_keys(sketch, rows))
-                yield pa.record_batch([part.column("doc"), n, digest, low, bands], schema=schema)
+                yield pa.record_batch([part.column("doc"), part.column("mark"), n, digest, low, bands], schema=schema)
 
-    return docs.mapInArrow(run, "doc long, n long, digest binary, sketch binary, bands array<long>")
+    return docs.mapInArrow(run, "doc long, mark long, n long, digest binary, sketch binary, bands array<long>")
 
 
 def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose sketches and sizes don't rule out the threshold."""
-    side = lambda s: reps.select(F.col("doc").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    """Pairs of nodes whose sketches and sizes don't rule out the threshold."""
+    side = lambda s: reps.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     both = pairs.join(side("a"), "a").filter("n_a > 0").join(side("b"), "b").filter(
         F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
     )
@@ -100,21 +115,22 @@ def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
+def whole_sets(texts: list, words: int) -> list[np.ndarray]:
+    hashes, ends = word_hashes((t or "").encode() for t in texts)
+    return [shingle_set(hashes[s:e], words) for s, e in zip([0, *ends[:-1]], ends)]
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs whose whole sets have 100 * intersection >= percent * union."""
-    both = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b"
+    """Pairs of nodes whose whole sets have 100 * intersection >= percent * union."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
+        texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
     )
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text_a", 500_000):
-                sets = []
-                for c in ("text_a", "text_b"):
-                    hashes, ends = word_hashes((t or "").encode() for t in part.column(c).to_pylist())
-                    sets.append([shingle_set(hashes[s:e], words) for s, e in zip([0, *ends[:-1]], ends)])
                 keep = []
-                for x, y in zip(*sets):
+                for x, y in zip(*[whole_sets(part.column(c).to_pylist(), words) for c in ("text_a", "text_b")]):
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(100 * common >= percent * (len(x) + len(y) - common))
                 yield part.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
@@ -143,173 +159,236 @@ def components(links: DataFrame) -> DataFrame:
         edges = work_table(small.union(least.select("u", F.col("m").alias("v"))).distinct())
 
 
-def stars(near: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
-    """(larger, smallest) of the labels that the symmetric boolean matrix connects."""
-    waiting = near.any(axis=1)
-    edges = []
-    while waiting.any():
-        front = [int(np.argmax(waiting))]
-        waiting[front] = False
-        reached = set()
-        while front:
-            i = front.pop()
-            reached.add(int(labels[i]))
-            found = np.flatnonzero(near[i] & waiting)
-            waiting[found] = False
-            front += found.tolist()
-        least = min(reached)
-        edges += [(label, least) for label in reached if label != least]
-    return edges
-
-
-def _edges_of(groups: DataFrame, judge) -> DataFrame:
-    """(a, b) of connected labels in each row's `members`, by a function from the members to a matrix."""
+def with_key_values(rows: DataFrame, key: str, per_key: DataFrame) -> DataFrame:
+    """Rows joined with one row per key; the rows of a hot key are dealt over SALTS tasks, which read the key's row once each."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    named = salted.select(key, "salt").distinct().join(per_key, key)
+    return salted.join(named, [key, "salt"]).drop("salt")
+
+
+def live_prefixes(members: DataFrame, texts: DataFrame, words: int, percent: int, rounds: int = LIVE_ROUNDS) -> DataFrame:
+    """(key, node, label, n, reach): the live shingles that a member must share with any partner in another component.
+
+    A partner has `reach` shingles at most. Rows are (node, label) of members whose partners are among the members.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = whole_sets(part.column("text").to_pylist(), words)
+                sizes = [len(x) for x in sets]
+                take = np.repeat(np.arange(len(sets)), sizes)
+                columns = [part.column(c).take(pa.array(take)) for c in ("node", "label")]
+                items = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+                yield pa.record_batch([*columns, pa.array(np.repeat(sizes, sizes), pa.int64()), pa.array(items)], names=["node", "label", "n", "item"])
+
+    items = members.join(texts, "node").select("node", "label", "text").mapInArrow(run, "node long, label long, n long, item long")
+    items = work_table(items)
+    enough = F.col("live") * 100 >= F.col("n") * percent
+    for _ in range(rounds):
+        shared = items.groupBy("item").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("many"))
+        left = work_table(items.join(shared.filter("lo <> hi").select("item", "many"), "item"))
+        counts = left.groupBy("node", "n").agg(F.count(F.lit(1)).alias("live"))
+        gone = counts.filter(~enough).select("node")
+        items = left.select("node", "label", "n", "item")
+        if gone.isEmpty():
+            break
+        kept = counts.filter(enough).select("node")
+        left = left.join(kept, "node", "left_semi")
+        items = items.join(kept, "node", "left_semi")
+    each = left.groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("many", "item"))).alias("items"))
+    live = F.size("items")
+    least = F.ceil(F.col("n") * percent / 100).cast("int")
+    return each.filter(live >= least).select(
+        F.explode(F.slice("items", F.lit(1), live - least + 1)["item"]).alias("key"), "node", "label", "n",
+        # 100 * live >= percent * (partner + n - live), as the common part is live and the rest of both is in the union
+        F.floor((live * (100 + percent) - F.col("n") * percent) / percent).alias("reach"),
+    )
+
+
+def met(members: DataFrame, weight: F.Column, most: int) -> DataFrame:
+    """Members of groups `key` dealt so that each pair of different labels meets: columns (key, block, chunk, visitor) are added.
+
+    Residents are all members, in blocks; visitors are those outside the group's heaviest label, in chunks. A block or
+    chunk weighs about `most`. Groups of one label are left out.
+    """
+    weighed = members.withColumn("weight", weight)
+    labels = weighed.groupBy("key", "label").agg(F.sum("weight").alias("w"))
+    per_key = labels.groupBy("key").agg(
+        F.max_by("label", F.struct("w", "label")).alias("main"), F.sum("w").alias("all"), F.max("w").alias("top"),
+        F.count(F.lit(1)).alias("labels"),
+    ).filter("labels > 1").select(
+        "key", "main", F.ceil(F.col("all") / most).cast("int").alias("blocks"),
+        F.ceil((F.col("all") - F.col("top")) / most).cast("int").alias("chunks"),
+    )
+    placed = with_key_values(weighed, "key", per_key)
+    number = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    columns = members.columns
+    residents = placed.select(*columns, number("blocks").alias("block"), every("chunks").alias("chunk"), F.lit(False).alias("visitor"))
+    visitors = placed.filter(F.col("label") != F.col("main")).select(
+        *columns, every("blocks").alias("block"), number("chunks").alias("chunk"), F.lit(True).alias("visitor")
+    )
+    return residents.union(visitors)
+
+
+def joined_labels(pairs: np.ndarray) -> list[tuple[int, int]]:
+    """(larger, smallest) of the labels that rows of (label, label) connect."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in np.unique(pairs, axis=0).tolist():
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    return [(x, find(x)) for x in root if find(x) != x]
+
+
+def _links_of(groups: DataFrame, judge) -> DataFrame:
+    """(a, b) of the labels that each group connects, and (node, null) of the members that do so.
+
+    `judge` gets the visitors and the residents of a group and returns which of them are linked, as a matrix.
+    """
 
     def run(batches):
         for batch in batches:
-            out = set()
+            edges, nodes = [], []
             for members in batch.column("members"):
                 table = pa.RecordBatch.from_struct_array(members.values)
-                label = table.column("label").to_numpy(zero_copy_only=False)
-                out.update(stars(judge(table) & (label[:, None] != label[None, :]), label))
-            a, b = zip(*sorted(out)) if out else ((), ())
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                role = table.column("visitor")
+                visitors, residents = table.filter(role), table.filter(pc.invert(role))
+                if not visitors.num_rows or not residents.num_rows:
+                    continue
+                own, other = (t.column("label").to_numpy(zero_copy_only=False) for t in (visitors, residents))
+                near = judge(visitors, residents) & (own[:, None] != other[None, :])
+                i, j = np.nonzero(near)
+                edges += joined_labels(np.stack([own[i], other[j]], axis=1))
+                for table, hit in ((visitors, near.any(axis=1)), (residents, near.any(axis=0))):
+                    nodes += table.column("node").to_numpy(zero_copy_only=False)[hit].tolist()
+            yield pa.record_batch(
+                [pa.array([a for a, _ in edges] + nodes, pa.int64()), pa.array([b for _, b in edges] + [None] * len(nodes), pa.int64())],
+                names=["a", "b"],
+            )
 
     return groups.mapInArrow(run, "a long, b long").distinct()
 
 
-def close_sketches(members: DataFrame, reps: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Edges that connect members of different components whose sketches are close, bucket by bucket.
+def _gathered(dealt: DataFrame, *columns: str) -> DataFrame:
+    return dealt.groupBy("key", "block", "chunk").agg(
+        F.collect_list(F.struct("node", "label", "visitor", *columns)).alias("members")
+    ).select("members")
 
-    Members of a bucket are dealt into blocks; each pair of blocks is one group, so that no group has more than
-    two blocks and no pair of a bucket is left out. Pairs are compared inside the task and not emitted.
-    """
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
-    each = dealt.select("key", "doc", "label", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    placed = each.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "doc", "label")
-    groups = placed.join(reps.select("doc", "n", "sketch"), "doc").groupBy("key", "p", "q").agg(
-        F.collect_list(F.struct("doc", "label", "n", "sketch")).alias("members"),
-        F.min("label").alias("lo"), F.max("label").alias("hi"),
-    ).filter("lo <> hi").select("members")
-
-    def judge(table: pa.RecordBatch) -> np.ndarray:
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)
-        n = table.column("n").to_numpy(zero_copy_only=False)
-        near = np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :])
-        for i in range(0, len(n), 32):
-            near[i : i + 32] &= (sketch[i : i + 32, None] == sketch[None]).mean(axis=2) >= threshold - LEAST_ESTIMATE
-        return near
 
-    return _edges_of(groups, judge)
-
-
-def common_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Intersection sizes of all pairs of sets, by products of incidence matrices a few columns at a time."""
-    items = np.concatenate(sets)
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, column, many = np.unique(items, return_inverse=True, return_counts=True)
-    total = np.zeros((len(sets), len(sets)), np.float64)
-    np.fill_diagonal(total, [len(x) for x in sets])
-    shared = many > 1  # items of one set only add to the diagonal
-    number = np.cumsum(shared) - 1
-    use = shared[column]
-    row, column = row[use], number[column[use]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    off = np.zeros_like(total)
-    for start in range(0, int(shared.sum()), 4096):
-        lo, hi = np.searchsorted(column, [start, start + 4096])
-        part = np.zeros((len(sets), 4096), np.float32)
-        part[row[lo:hi], column[lo:hi] - start] = 1
-        off += part @ part.T
-    np.fill_diagonal(off, np.diag(total))
-    return off
-
-
-def exact_links(clusters: DataFrame, texts: DataFrame, words: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """Links that connect different components of each cluster, from whole sets.
-
-    Large components fill blocks of their own and small ones share blocks; pairs of blocks are groups of bounded size,
-    and two blocks of one component need no comparison. Rows are (cluster, doc, label).
-    """
-    sizes = clusters.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "pure", F.when(F.col("n") >= block, F.col("label"))
-    )
-    blocks = sizes.groupBy("cluster", "pure").agg(F.ceil(F.sum("n") / block).alias("blocks"))
-    same = (F.col("s.cluster") == F.col("t.cluster")) & F.col("s.pure").eqNullSafe(F.col("t.pure"))
-    counted = sizes.alias("s").join(blocks.alias("t"), same).select("s.cluster", "s.label", "s.pure", "t.blocks")
-    own = F.pmod(F.xxhash64(F.when(F.col("pure").isNull(), F.col("label")).otherwise(F.col("doc"))), F.col("blocks"))
-    dealt = work_table(
-        clusters.join(counted, ["cluster", "label"]).withColumn("block", F.xxhash64("pure", own))
-        .select("cluster", "doc", "label", "pure", "block")
-    )
-    names = dealt.select("cluster", "block", "pure").distinct()
-    left, right = (names.select("cluster", F.col("block").alias(k), F.col("pure").alias(f"pure_{k}")) for k in "pq")
-    one = F.coalesce(F.col("pure_p") == F.col("pure_q"), F.lit(False))
-    needed = left.join(right, "cluster").filter((F.col("p") <= F.col("q")) & ~one).select("cluster", "p", "q")
-    sides = [
-        needed.filter(extra).join(dealt.withColumnRenamed("block", k), ["cluster", k]).select("cluster", "p", "q", "doc", "label")
-        for k, extra in (("p", F.lit(True)), ("q", F.col("p") != F.col("q")))
-    ]
-    groups = sides[0].union(sides[1]).join(texts, "doc").groupBy("cluster", "p", "q").agg(
-        F.collect_list(F.struct("doc", "label", "text")).alias("members")
-    ).select("members")
+def close_sketches(members: DataFrame, reps: DataFrame, threshold: float, most: int = GROUP_ROWS) -> DataFrame:
+    """Edges and nodes of different labels in one group whose sizes and sketches are close."""
+    dealt = met(members, F.lit(1), most).join(reps.select("node", "sketch"), "node")
 
-    def judge(table: pa.RecordBatch) -> np.ndarray:
-        hashes, ends = word_hashes((t or "").encode() for t in table.column("text").to_pylist())
-        sets = [shingle_set(hashes[s:e], words) for s, e in zip([0, *ends[:-1]], ends)]
-        n = np.array([len(x) for x in sets])
-        common = common_counts(sets)
-        return 100 * common >= percent * (n[:, None] + n[None, :] - common)
+    def judge(visitors: pa.RecordBatch, residents: pa.RecordBatch) -> np.ndarray:
+        x, y = (np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1) for t in (visitors, residents))
+        (n, far), (m, far_m) = ([t.column(c).to_numpy(zero_copy_only=False) for c in ("n", "reach")] for t in (visitors, residents))
+        near = (m[None, :] <= far[:, None]) & (n[:, None] <= far_m[None, :])
+        for i in range(0, len(n), 32):
+            rows = near[i : i + 32]
+            of = np.flatnonzero(rows.any(axis=0))
+            rows[:, of] &= (x[i : i + 32, None] == y[None, of]).mean(axis=2) >= threshold - LEAST_ESTIMATE
+        return near
 
-    return _edges_of(groups, judge)
+    return _links_of(_gathered(dealt, "n", "reach", "sketch"), judge)
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of sets of two lists, by products of incidence matrices a few columns at a time."""
+    sides = [np.concatenate(sets) for sets in (left, right)]
+    shared = np.intersect1d(*sides)
+    places = []
+    for sets, items in zip((left, right), sides):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(shared, items)
+        use = at < len(shared)
+        use[use] = shared[at[use]] == items[use]
+        order = np.argsort(at[use], kind="stable")
+        places.append((row[use][order], at[use][order]))
+    total = np.zeros((len(left), len(right)), np.float64)
+    for start in range(0, len(shared), 4096):
+        parts = []
+        for sets, (row, at) in zip((left, right), places):
+            lo, hi = np.searchsorted(at, [start, start + 4096])
+            part = np.zeros((len(sets), 4096), np.float32)
+            part[row[lo:hi], at[lo:hi] - start] = 1
+            parts.append(part)
+        total += parts[0] @ parts[1].T
+    return total
+
+
+def exact_links(clusters: DataFrame, texts: DataFrame, words: int, percent: int, most: int = GROUP_SHINGLES) -> DataFrame:
+    """Edges and nodes of different labels in one cluster that are linked on whole sets. Rows are (key, node, label, n)."""
+    weight = F.greatest(F.col("n"), F.lit(math.ceil(most / GROUP_ROWS)))
+    dealt = met(clusters, weight, most).join(texts, "node")
+
+    def judge(visitors: pa.RecordBatch, residents: pa.RecordBatch) -> np.ndarray:
+        left, right = (whole_sets(t.column("text").to_pylist(), words) for t in (visitors, residents))
+        common = common_counts(left, right)
+        n, m = (np.array([len(x) for x in sets]) for sets in (left, right))
+        return 100 * common >= percent * (n[:, None] + m[None, :] - common)
+
+    return _links_of(_gathered(dealt, "text"), judge)
 
 
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
-    bins: int = BINS, rows: int = ROWS,
+    bins: int = BINS, rows: int = ROWS, group_rows: int = GROUP_ROWS, group_shingles: int = GROUP_SHINGLES,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row; links have 100 * intersection >= percent * union.
+    """(doc_id, n_shingles, component_id, kept, text_hash) for every row; links have 100 * intersection >= percent * union.
 
-    Equal sets are one class. In each band bucket every member is compared with a pivot. Where members besides the
-    pivot still belong to different components, their sketches are compared block by block, and the clusters of close
-    sketches are searched for links on whole sets, again by blocks. So no link between members of a bucket is lost,
-    no pair of a large group is emitted, and no group is collected beyond two blocks.
+    Equal sets are one class with one node. `text_hash` tells the rows of an id with several texts apart.
     """
-    rows_in = narrow(docs, doc=id_col, text=text_col).withColumn("doc", F.col("doc").cast("long"))
+    rows_in = narrow(docs, doc=id_col, text=text_col).select(
+        F.col("doc").cast("long").alias("doc"), F.xxhash64("text").alias("mark"), "text"
+    )
     table = work_table(sketches(rows_in, words, bins, rows))
     linkable = table.filter("n > 0 and doc is not null")
-    classes = linkable.groupBy("digest").agg(F.min("doc").alias("doc"))
-    reps = work_table(linkable.join(classes, ["digest", "doc"], "left_semi").dropDuplicates(["doc"]))
-    texts = rows_in.join(reps.select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
-    spread = reps.select("doc", F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
-    buckets = work_table(spread.join(shared, "key"))
+    classes = linkable.groupBy("digest").agg(F.min(F.struct("doc", "mark")).alias("first")).select("digest", "first.*")
+    # a node is named by the smallest id of its class; classes that contest an id are named below all ids by their digest
+    contested = classes.groupBy("doc").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("doc", F.lit(True).alias("contested"))
+    name = F.when(F.col("contested"), F.xxhash64("digest").bitwiseOR(F.lit(-(1 << 63)))).otherwise(F.col("doc")).alias("node")
+    nodes = work_table(classes.join(contested, "doc", "left").select("digest", "doc", "mark", name))
+    reps = work_table(linkable.join(nodes, ["digest", "doc", "mark"]).dropDuplicates(["node"]))
+    texts = rows_in.join(reps.select("doc", "mark", "node"), ["doc", "mark"]).dropDuplicates(["node"]).select("node", "text")
+    spread = reps.select("node", F.explode("bands").alias("key"))
+    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).filter("size > 1")
+    spokes = work_table(with_key_values(spread, "key", shared.select("key", "pivot")))
 
     # one pivot per bucket links most of what belongs together
-    pivots = buckets.groupBy("key").agg(F.min("doc").alias("pivot"))
-    spokes = buckets.join(pivots, "key")
-    pairs = spokes.filter("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = spokes.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     links = work_table(verified(work_table(likely(pairs, reps, percent / 100)), texts, words, percent))
-    labels = work_table(components(links))
+    labels = work_table(components(links).withColumnRenamed("doc", "node"))
 
-    # buckets in which members besides the pivot belong to different components are compared in full
-    label = F.coalesce("label", "doc").alias("label")
-    named = spokes.filter("doc <> pivot").join(labels, "doc", "left").select("key", "doc", "pivot", label)
+    # members of buckets that hold several components besides the pivot's links are searched in full
+    label = F.coalesce("label", "node").alias("label")
+    named = work_table(spokes.filter("node <> pivot").join(labels, "node", "left").select("key", "node", label))
     open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    members = work_table(named.join(open_keys, "key").select("key", "doc", "label"))
-    edges = work_table(close_sketches(members, reps, percent / 100))
-    if not edges.isEmpty():  # edges and exact links join components, so the graphs searched here have no other nodes
-        all_named = reps.select("doc").join(labels, "doc", "left").select("doc", label)
-        clusters = components(edges).select(F.col("doc").alias("label"), F.col("label").alias("cluster"))
-        rows = all_named.join(clusters, "label").select("cluster", "doc", "label")
-        merged = components(exact_links(rows, texts, words, percent)).select(F.col("doc").alias("label"), F.col("label").alias("final"))
-        labels = all_named.join(merged, "label", "left").select("doc", F.coalesce("final", "label").alias("label"))
-    names = classes.join(labels, "doc", "left").select("digest", F.coalesce("label", "doc").alias("label"))
-    named = linkable.select("doc", "n", "digest").join(names, "digest").select("doc", "n", "label")
-    alone = table.filter("n = 0 or doc is null").select("doc", "n", F.col("doc").alias("label"))
+    members = work_table(with_key_values(named, "key", open_keys).select("node", "label").distinct())
+    if not members.isEmpty():
+        groups = work_table(live_prefixes(members, texts, words, percent))
+        found = work_table(close_sketches(groups, reps, percent / 100, group_rows))
+        clusters = components(found.filter("b is not null")).select(F.col("doc").alias("label"), F.col("label").alias("key"))
+        close = found.filter("b is null").select(F.col("a").alias("node")).join(members, "node").join(clusters, "label")
+        close = close.join(reps.select("node", "n"), "node").select("key", "node", "label", "n")
+        edges = exact_links(close, texts, words, percent, group_shingles).filter("b is not null")
+        merged = components(edges).select(F.col("doc").alias("label"), F.col("label").alias("final"))
+        labels = reps.select("node").join(labels, "node", "left").select("node", label).join(merged, "label", "left").select(
+            "node", F.coalesce("final", "label").alias("label")
+        )
+    of_class = nodes.join(labels, "node", "left").select("digest", "doc", F.coalesce("label", "node").alias("label"))
+    least = of_class.groupBy("label").agg(F.min("doc").alias("component"))
+    names = of_class.join(least, "label").select("digest", "component")
+    named = linkable.select("doc", "mark", "n", "digest").join(names, "digest").select("doc", "mark", "n", "component")
+    alone = table.filter("n = 0 or doc is null").select("doc", "mark", "n", F.col("doc").alias("component"))
     return named.union(alone).select(
-        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("label").alias("component_id"),
-        F.coalesce(F.col("doc") == F.col("label"), F.lit(True)).alias("kept"),
+        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
+        F.coalesce(F.col("doc") == F.col("component"), F.lit(True)).alias("kept"), F.col("mark").alias("text_hash"),
     )

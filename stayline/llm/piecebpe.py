@@ -100,6 +100,7 @@ class PieceModel:
         self.prefix = SPACE if rules.get(DUMMY_PREFIX, 1) else ""
         ids = {(kind, piece): i for i, (kind, piece) in enumerate(zip(self.kinds, self.pieces))}
         self.begin, self.end = ids.get((CONTROL, "<s>")), ids.get((CONTROL, "</s>"))
+        self.sizes = [len(piece) for piece in self.pieces]
         self.control = {i for i, kind in enumerate(self.kinds) if kind == CONTROL}
         self.bytes = [ids[BYTE, f"<0x{b:02X}>"] for b in range(256)]
         self.known = {piece: i for (kind, piece), i in ids.items() if kind == NORMAL}
@@ -187,29 +188,30 @@ class PieceEncoder:
             self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
         self.single = {piece for piece in model.reached if len(piece) == 1}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by both ids in one number
         self.parts = _Parts(self)
         self.cutter = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if model.cut else re.compile(r".+", re.DOTALL)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether two tokens stay apart when their joined text is encoded."""
-        pair = (left, right)
-        found = self.pairs.get(pair)
-        if found is None:
-            if len(self.pairs) >= KNOWN_PAIRS:
-                self.pairs.clear()
-            pieces = self.model.pieces
-            found = self.pairs[pair] = self.model.merged(pieces[left] + pieces[right]) == [left, right]
+        if len(self.pairs) >= KNOWN_PAIRS:
+            self.pairs.clear()
+        pieces = self.model.pieces
+        found = self.pairs[left << 32 | right] = self.model.merged(pieces[left] + pieces[right]) == [left, right]
         return found
 
     def last_tokens(self, text: str) -> list[int]:
         """The prefix table: the last token of the encoding of each prefix of a text of known characters."""
-        last = [-1] * len(text)
+        last, seen = [-1] * len(text), self.pairs.get
         for end, (size, token) in self.automaton.iter(text):
             if last[end] < 0:
-                before = end - size
-                if before < 0 or self.compatible(last[before], token):
+                if end + 1 == size:
                     last[end] = token
+                else:
+                    before = last[end - size]
+                    apart = seen(before << 32 | token)
+                    if apart or apart is None and self.compatible(before, token):
+                        last[end] = token
         return last
 
     def part(self, text: str) -> list[int]:
@@ -219,12 +221,14 @@ class PieceEncoder:
                 piece = "".join(run)
                 out += self.part(piece) if known else [self.model.bytes[b] for b in piece.encode()]
             return out
-        last, pieces = self.last_tokens(text), self.model.pieces
+        last, sizes = self.last_tokens(text), self.model.sizes
         ids, at = [], len(text) - 1
         while at >= 0:
-            ids.append(last[at])
-            at -= len(pieces[last[at]])
-        return ids[::-1]
+            token = last[at]
+            ids.append(token)
+            at -= sizes[token]
+        ids.reverse()
+        return ids
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, with the begin and end ids the model has."""
