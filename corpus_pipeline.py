@@ -29,9 +29,11 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the smallest id, once."""
-    kept = minhash.near_groups(docs, words=5, percent=80).filter("kept").select("doc_id")
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates: the smallest id, once. Texts of one id in different groups are told apart."""
+    mark = "_text_hash" + "_" * max(map(len, docs.columns))  # a name that no column has
+    kept = minhash.near_groups(docs, words=5, percent=80).filter("kept").select("doc_id", F.col("text_hash").alias(mark))
+    marked = docs.filter("doc_id is not null").withColumn(mark, F.xxhash64("text"))
+    named = marked.join(kept, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
     return named.select(*docs.columns).union(docs.filter("doc_id is null"))
 
 
