@@ -5,53 +5,39 @@ and one smoothing: p(w | h) = (c(h, w) + k p(w)) / (c(h) + k), p(w) = (c(w) + a)
 scaled to the target's size, so that smoothing weighs alike. A document's score is the mean of
 log p_background - log p_target over its words: below zero is nearer to the target.
 
-Nothing is capped: every word and word pair of all documents is counted. Documents are dealt into chunks; a chunk
-sends its distinct keys with counts, cut into key ranges, to the tasks that add them up, and gets the sums back
-in the same order. So a frequent pair travels once per chunk, no group is larger than a range's share, and no
-table is broadcast.
-
-Defined cases: null or empty text has no words and scores 0; repeated rows are counted and come out each; a null id is
-never a target; without target documents, both models are equal and all scores are 0.
+Every document is scored by models that have not seen it: its own counts are taken from those of the corpus, and from those of
+the target if it belongs to it. Copies of it elsewhere stay in.
+
+Nothing is capped: every word and word pair of all documents is counted. Documents become chunks where they are read: a chunk's
+row holds its distinct words and each word's place among them, so texts are neither shuffled nor cut into words again. A chunk
+sends its distinct keys, with counts of a byte each and a list of larger ones, in key ranges to the tasks that add them up. It gets
+back a bit for each key, and the sums of those keys that other chunks have too. The number of ranges follows
+spark.sql.shuffle.partitions, not the number of chunks. A frequent pair travels once per chunk, no group is larger than a
+range's share, and no table is broadcast.
+
+Defined cases: null or empty text has no words and scores 0; repeated rows are counted and come out each, with a null or repeated
+id too; a null id is never a target; without target documents, both models are equal and all scores are 0.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayline.llm.common import mixed, narrow, word_hashes, work_table
+from stayline.llm.common import batch_texts, mixed, narrow, shuffle_parts, slices, word_hashes, work_table
 
-CHUNK_DOCS = 2048
-RANGE_KEYS = 4_000_000
-KEYS_PER_CHUNK = 400_000
+CHUNK_BYTES = 8_000_000
+RANGES_PER_PARTITION = 2
 MIN_COUNT = 2
 PRIOR, FLOOR = 8.0, 0.5
 _ONE = np.uint64(1)
-
-
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word keys (odd), pair keys (even, 0 for a text's first word) and each word's text."""
-    words, ends = word_hashes(t.encode() for t in texts)
-    words = words | _ONE
-    owner = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
-    pairs = np.zeros(len(words), np.uint64)
-    inner = np.flatnonzero(owner[1:] == owner[:-1]) + 1
-    pairs[inner] = (mixed(words[inner - 1] * np.uint64(0x9E3779B97F4A7C15) + words[inner]) & ~_ONE) | np.uint64(2)
-    return words, pairs, owner
-
-
-def _distinct(words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    return np.unique(np.concatenate([words, pairs[pairs > 0]]))
-
-
-def _counts(keys: np.ndarray, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(keys, np.concatenate([words, pairs[pairs > 0]]))
-    return np.bincount(at, minlength=len(keys)).astype(np.uint32)
+_LARGE = 255  # counts from here on are listed apart
 
 
 @dataclass
@@ -63,114 +49,235 @@ class Totals:
     vocabulary: int
 
 
-def chunk_counts(rows: DataFrame, target: DataFrame, chunks: int, ranges: int) -> DataFrame:
-    """(part, chunk, keys, target, whole): the distinct keys of each chunk by key range."""
-    shift = np.uint64(64 - (ranges.bit_length() - 1))
-
-    def run(docs: pa.Table, marked: pa.Table) -> pa.Table:
-        columns: list[list] = [[], [], [], [], []]
-        if docs.num_rows:
-            wanted = set(marked.column("doc").to_pylist())
-            words, pairs, owner = _grams([t or "" for t in docs.column("text").to_pylist()])
-            aim = np.array([d in wanted for d in docs.column("doc").to_pylist()], bool)[owner]
-            keys = _distinct(words, pairs)
-            whole, chosen = _counts(keys, words, pairs), _counts(keys, words[aim], pairs[aim])
-            edges = np.searchsorted(keys >> shift if ranges > 1 else np.zeros(len(keys)), np.arange(ranges + 1))
-            for part in range(ranges):
-                cut = slice(edges[part], edges[part + 1])
-                if edges[part] < edges[part + 1]:
-                    for column, value in zip(columns, (
-                        part, docs.column("chunk")[0].as_py(), keys[cut].tobytes(), chosen[cut].tobytes(), whole[cut].tobytes(),
-                    )):
-                        column.append(value)
-        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "chunk", "keys", "target", "whole"])
+def chunked(rows: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(chunk, docs, ends, vocabulary, tokens): one row per chunk of (doc, text) rows.
 
-    chunk = F.pmod(F.xxhash64("doc"), F.lit(chunks)).alias("chunk")
-    left = rows.select("doc", "text", "chunk")
-    return left.groupBy("chunk").cogroup(target.select("doc", chunk).groupBy("chunk")).applyInArrow(
-        run, "part int, chunk long, keys binary, target binary, whole binary"
-    )
+    `vocabulary` has the chunk's distinct word hashes in order, `tokens` each word's place there, `ends` where texts end.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["chunk", "docs", "ends", "vocabulary", "tokens"]
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in slices(batch, "text", chunk_bytes):
+                found = [word_hashes(t.encode() for t in batch_texts(piece, "text")) for piece in slices(part, "text")]
+                words = np.concatenate([w for w, _ in found]) | _ONE
+                sizes = np.concatenate([np.diff(e, prepend=0) for _, e in found])
+                vocabulary, tokens = np.unique(words, return_inverse=True)
+                yield pa.record_batch(
+                    [
+                        pa.array([number], pa.int64()), pa.array([part.column("doc").to_pylist()], pa.list_(pa.int64())),
+                        pa.array([np.cumsum(sizes).astype(np.int64).tobytes()], pa.binary()),
+                        pa.array([vocabulary.tobytes()], pa.binary()), pa.array([tokens.astype(np.int32).tobytes()], pa.binary()),
+                    ],
+                    names=names,
+                )
+                number += 1
+
+    return rows.select("doc", "text").mapInArrow(run, "chunk long, docs array<long>, ends binary, vocabulary binary, tokens binary")
+
+
+class Chunk:
+    """A chunk's sorted keys (odd for words, even for pairs), and the place of each word and of the pair that ends with it."""
+
+    def __init__(self, ends: bytes, vocabulary: bytes, tokens: bytes, aims: list[int] | None):
+        words, self.ends = np.frombuffer(vocabulary, np.uint64), np.frombuffer(ends, np.int64)
+        places = np.frombuffer(tokens, np.int32).astype(np.int64)
+        self.sizes = np.diff(self.ends, prepend=0)
+        self.owner = np.repeat(np.arange(len(self.ends)), self.sizes)
+        self.inner = np.flatnonzero(self.owner[1:] == self.owner[:-1]) + 1  # words with a word before them
+        local, pair_at = np.unique(places[self.inner - 1] * len(words) + places[self.inner], return_inverse=True)
+        first, second = (words[i] for i in np.divmod(local, max(len(words), 1)))
+        pairs = mixed(first * np.uint64(0x9E3779B97F4A7C15) + second) & ~_ONE
+        keys = np.concatenate([words, pairs])
+        order = np.argsort(keys)
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        self.keys, self.word_at, self.pair_at = keys[order], rank[places], rank[len(words) + pair_at]
+        self.aim = np.zeros(len(self.ends), bool)
+        self.aim[np.array(aims or [], np.int64)] = True
+
+    def counts(self) -> list[np.ndarray]:
+        """Counts of the keys in the chunk's target documents, and in all."""
+        aim, n = self.aim[self.owner], len(self.keys)
+        use = (self.word_at[aim], self.pair_at[aim[self.inner]]), (self.word_at, self.pair_at)
+        return [np.bincount(w, minlength=n) + np.bincount(p, minlength=n) for w, p in use]
+
+    def cuts(self, ranges: int) -> np.ndarray:
+        """Where the keys of each range start, and where the last ends."""
+        starts = np.arange(1, ranges, dtype=np.uint64) << np.uint64(64 - (ranges.bit_length() - 1))
+        return np.concatenate(([0], np.searchsorted(self.keys, starts), [len(self.keys)]))
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as the first one and steps, six bytes each where that is enough; the first byte tells the width."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    steps[:1] = 0
+    width = 6 if not len(keys) or int(steps.max()) < 1 << 48 else 8
+    return bytes([width]) + keys[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    width = data[0]
+    if len(data) < 9:
+        return np.zeros(0, np.uint64)
+    body = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    steps = np.zeros((len(body), 8), np.uint8)
+    steps[:, :width] = body
+    steps = steps.view(np.uint64).ravel()
+    return np.cumsum(steps, dtype=np.uint64) + np.frombuffer(data, np.uint64, 1, 1)[0]
+
+
+def packed_counts(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """A byte for each count, and (place, count) of those that need more."""
+    large = np.flatnonzero(counts >= _LARGE)
+    return np.minimum(counts, _LARGE).astype(np.uint8).tobytes(), np.stack([large, counts[large]]).astype(np.int64).tobytes()
+
+
+def unpacked_counts(small: bytes, large: bytes) -> np.ndarray:
+    out = np.frombuffer(small, np.uint8).astype(np.int64)
+    place, count = np.frombuffer(large, np.int64).reshape(2, -1)
+    out[place] = count
+    return out
+
+
+_SENT = ("target", "target_large", "whole", "whole_large")
+
+
+def chunk_counts(chunks: DataFrame, ranges: int) -> DataFrame:
+    """(part, chunk, keys, and counts in target and whole): the distinct keys of each chunk by key range."""
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+    names = ["part", "chunk", "keys", *_SENT]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = Chunk(row["ends"], row["vocabulary"], row["tokens"], row["aims"])
+                chosen, whole = chunk.counts()
+                cuts, out = chunk.cuts(ranges), []
+                for part in range(ranges):
+                    cut = slice(cuts[part], cuts[part + 1])
+                    if cuts[part] < cuts[part + 1]:
+                        out.append((part, row["chunk"], packed_keys(chunk.keys[cut]), *packed_counts(chosen[cut]), *packed_counts(whole[cut])))
+                if out:
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
+    return chunks.mapInArrow(run, "part int, chunk long, keys binary, " + ", ".join(f"{c} binary" for c in _SENT))
 
 
 def summed_counts(counts: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
-    """(part, chunk, width, target, whole): every chunk's keys with their sums over all chunks; chunk -1 has the totals.
+    """(part, chunk, differs, target, whole): for each chunk a bit per key, set where others have the key, and those keys' sums.
 
-    `width` is the number of bytes of each sum.
+    Chunk -1 has the totals of the range.
     """
 
     def run(rows: pa.Table) -> pa.Table:
         part = rows.column("part")[0].as_py()
-        own = [np.frombuffer(k, np.uint64) for k in rows.column("keys").to_pylist()]
-        keys, at = np.unique(np.concatenate(own), return_inverse=True)
-        sums = [
-            np.bincount(at, np.concatenate([np.frombuffer(c, np.uint32) for c in rows.column(name).to_pylist()]), len(keys)).astype(np.int64)
-            for name in ("target", "whole")
+        own = [unpacked_keys(k) for k in rows.column("keys").to_pylist()]
+        every = np.concatenate(own)
+        order = np.argsort(every, kind="stable")  # merges the sorted runs of the chunks
+        ordered = every[order]
+        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        at = np.empty(len(every), np.int64)
+        at[order] = np.cumsum(new) - 1
+        keys = ordered[new]
+        mine = [
+            np.concatenate([unpacked_counts(s, o) for s, o in zip(rows.column(c).to_pylist(), rows.column(f"{c}_large").to_pylist())])
+            for c in ("target", "whole")
         ]
+        sums = [np.bincount(at, m, len(keys)).astype(np.int64) for m in mine]
         word = (keys & _ONE).astype(bool)
         known = word & (sums[1] >= min_count)
         totals = np.array([*(s[word].sum() for s in sums), *(s[word & ~known].sum() for s in sums), known.sum()], np.int64)
-        out = [(part, -1, 8, totals.tobytes(), b"")]
-        kind = np.dtype(np.uint32 if sums[1].max() < 1 << 32 else np.uint64)
+        out = [(part, -1, b"", totals.tobytes(), b"")]
         ends = np.cumsum([len(k) for k in own])
         for chunk, start, end in zip(rows.column("chunk").to_pylist(), ends - [len(k) for k in own], ends):
-            out.append((part, chunk, kind.itemsize, *(s[at[start:end]].astype(kind).tobytes() for s in sums)))
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["part", "chunk", "width", "target", "whole"])
-
-    return counts.groupBy("part").applyInArrow(run, "part int, chunk long, width int, target binary, whole binary")
-
-
-def _losses(words, pairs, owner, n_texts, keys, sums, totals: Totals, side: int, scale: float, min_count: int) -> np.ndarray:
-    """Mean loss per text under one model; `sums` are its counts, `keys` the sorted keys."""
-    counts = sums[side] * scale
-    at = np.searchsorted(keys, words)
-    known = sums[1][at] >= min_count
-    n, vocabulary = totals.words[side] * scale, totals.vocabulary + 1
-    p = (np.where(known, counts[at], totals.unknown[side] * scale) + FLOOR) / (n + FLOOR * vocabulary)
-    before = np.append(np.zeros(1, np.int64), at[:-1])
-    usable = (pairs > 0) & known & np.append(False, known[:-1])
-    pair = counts[np.minimum(np.searchsorted(keys, pairs), max(len(keys) - 1, 0))]
-    p = np.where(usable, (np.where(usable, pair, 0) + PRIOR * p) / (np.where(usable, counts[before], 0) + PRIOR), p)
-    return np.bincount(owner, -np.log(p), n_texts) / np.maximum(np.bincount(owner, minlength=n_texts), 1)
+            told = [s[at[start:end]] for s in sums]
+            differs = told[1] != mine[1][start:end]  # then no other chunk has the key
+            out.append((part, chunk, np.packbits(differs).tobytes(), *(_narrowed(t[differs]) for t in told)))
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["part", "chunk", "differs", "target", "whole"])
+
+    return counts.groupBy("part").applyInArrow(run, "part int, chunk long, differs binary, target binary, whole binary")
+
+
+def _narrowed(sums: np.ndarray) -> bytes:
+    """Sums in four bytes each where that is enough; the first byte tells the width."""
+    width = 4 if not len(sums) or int(sums.max()) < 1 << 32 else 8
+    return bytes([width]) + sums.astype(f"u{width}").tobytes()
+
+
+def _corpus_counts(chunk: Chunk, told: list[dict], ranges: int) -> list[np.ndarray]:
+    """The corpus's counts of the chunk's keys: its own, but for keys that other chunks have."""
+    sums = [c.astype(np.float64) for c in chunk.counts()]
+    cuts = chunk.cuts(ranges)
+    for row in told:
+        start, end = cuts[row["part"]], cuts[row["part"] + 1]
+        places = start + np.flatnonzero(np.unpackbits(np.frombuffer(row["differs"], np.uint8), count=end - start))
+        for total, name in zip(sums, ("target", "whole")):
+            total[places] = np.frombuffer(row[name], f"u{row[name][0]}", offset=1)
+    return sums
+
+
+def _own(owner: np.ndarray, at: np.ndarray, keys: int) -> np.ndarray:
+    """How often the key of each entry occurs in the document of the entry."""
+    _, same, many = np.unique(owner * keys + at, return_inverse=True, return_counts=True)
+    return many[same]
+
+
+def document_losses(chunk: Chunk, sums: list[np.ndarray], totals: Totals, min_count: int) -> list[np.ndarray]:
+    """Mean loss per document under the target's model and the background's, without the document itself."""
+    n_docs, owner, inner, words = len(chunk.ends), chunk.owner, chunk.inner, chunk.word_at
+    own_word = _own(owner, words, len(chunk.keys))
+    own_pair = _own(owner[inner], chunk.pair_at, len(chunk.keys))
+    known = sums[1][words] >= min_count
+    own_unknown = np.bincount(owner, ~known, n_docs)
+    usable = known[inner] & known[inner - 1]
+    scale = totals.words[0] / totals.words[1] if totals.words[0] else 1.0
+    out = []
+    for side, weight in ((0, 1.0), (1, scale)):
+        if not totals.words[side]:
+            out.append(None)
+            continue
+        taken = chunk.aim if side == 0 else np.ones(n_docs, bool)
+        count = (sums[side][words] - taken[owner] * own_word) * weight
+        n = (totals.words[side] - taken * chunk.sizes) * weight
+        unknown = (totals.unknown[side] - taken * own_unknown) * weight
+        p = (np.where(known, count, unknown[owner]) + FLOOR) / (n + FLOOR * (totals.vocabulary + 1))[owner]
+        pair = (sums[side][chunk.pair_at] - taken[owner[inner]] * own_pair) * weight
+        p[inner] = np.where(usable, (pair + PRIOR * p[inner]) / (count[inner - 1] + PRIOR), p[inner])
+        out.append(np.bincount(owner, -np.log(p), n_docs) / np.maximum(chunk.sizes, 1))
+    background = out[1] if out[1] is not None else np.zeros(n_docs)
+    return [out[0] if out[0] is not None else background, background]
 
 
 def cross_entropy_difference(
-    docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_docs: int = CHUNK_DOCS,
+    docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES,
     min_count: int = MIN_COUNT,
 ) -> DataFrame:
     """(doc_id, n_words, target_loss, background_loss, score) of every row; `target` holds ids of target documents."""
     rows = narrow(docs, doc=id_col, text=text_col).withColumn("doc", F.col("doc").cast("long"))
-    chunks = max(1, math.ceil(rows.count() / chunk_docs))
-    ranges = 1 << max(5, math.ceil(math.log2(chunks * KEYS_PER_CHUNK / RANGE_KEYS)))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.lit(chunks)))
+    chunks = work_table(chunked(rows, chunk_bytes))
+    ranges = 1 << max(5, (RANGES_PER_PARTITION * shuffle_parts(docs) - 1).bit_length())
     ids = narrow(target, doc=id_col).select(F.col("doc").cast("long").alias("doc")).filter("doc is not null").distinct()
-    sums = work_table(summed_counts(chunk_counts(rows, ids, chunks, ranges), min_count))
+    listed = chunks.select("chunk", F.posexplode("docs").alias("place", "doc")).filter("doc is not null")
+    aims = listed.join(ids, "doc").groupBy("chunk").agg(F.collect_list("place").alias("aims"))
+    aimed = work_table(chunks.join(aims, "chunk", "left"))
+    sums = work_table(summed_counts(chunk_counts(aimed, ranges), min_count))
     found = [np.frombuffer(r["target"], np.int64) for r in sums.filter("chunk = -1").select("target").collect()]  # one per range
     t = sum(found, np.zeros(5, np.int64)).tolist()
     totals = Totals((t[0], t[1]), (t[2], t[3]), t[4])
-    scale = t[0] / t[1] if t[0] else 1.0
-
-    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        texts = [x or "" for x in docs.column("text").to_pylist()]
-        words, pairs, owner = _grams(texts)
-        keys = _distinct(words, pairs)
-        parts = sorted(zip(*(counts.column(c).to_pylist() for c in ("part", "width", "target", "whole"))))
-        read = lambda p, i: np.frombuffer(p[i], f"u{p[1]}").astype(float)
-        sums = [np.concatenate([np.zeros(0), *(read(p, i) for p in parts)]) for i in (2, 3)]
-        losses = [
-            _losses(words, pairs, owner, len(texts), keys, sums, totals, side, 1.0 if side == 0 else scale, min_count)
-            if len(words) and (side or totals.words[0]) else np.zeros(len(texts))
-            for side in (0, 1)
-        ]
-        aim = losses[0] if totals.words[0] else losses[1]
-        n = np.bincount(owner, minlength=len(texts)) if len(words) else np.zeros(len(texts), np.int64)
+
+    def run(own: pa.Table, told: pa.Table) -> pa.Table:
+        names = ["doc_id", "n_words", "target_loss", "background_loss", "score"]
+        row = own.to_pylist()[0]
+        chunk = Chunk(row["ends"], row["vocabulary"], row["tokens"], row["aims"])
+        aim, background = document_losses(chunk, _corpus_counts(chunk, told.to_pylist(), ranges), totals, min_count)
         return pa.table(
-            [docs.column("doc"), pa.array(n, pa.int64()), pa.array(aim), pa.array(losses[1]), pa.array(aim - losses[1])],
-            names=["doc_id", "n_words", "target_loss", "background_loss", "score"],
+            [pa.array(row["docs"], pa.int64()), pa.array(chunk.sizes, pa.int64()), pa.array(aim), pa.array(background), pa.array(aim - background)],
+            names=names,
         )
 
-    left = rows.select("doc", "text", "chunk").groupBy("chunk")
-    return left.cogroup(sums.filter("chunk >= 0").groupBy("chunk")).applyInArrow(
+    return aimed.groupBy("chunk").cogroup(sums.filter("chunk >= 0").groupBy("chunk")).applyInArrow(
         run, "doc_id long, n_words long, target_loss double, background_loss double, score double"
     )

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stayline.llm import bpe, decontaminate, fingerprint, linededup, lmscore, minhash, quality, tokencounts, toxicity, warc
+from stayline.llm import bpe, decontaminate, fingerprint, linededup, minhash, quality, tokencounts, toxicity, warc
 from stayline.llm.common import shingle_set, word_hashes
 from stayline.llm.queries import QUERIES, byte_bpe
 from stayline.session import shared_folder
@@ -285,33 +285,6 @@ def test_archives_round_trip(spark):
     assert warc.unframed(b"3;x=1\r\nabc\r\n0\r\nT: 1\r\n\r\n") == b"abc"
 
 
-def test_scores_follow_a_direct_computation(spark):
-    texts = ["a b a b c", "a b x", "c c c", "", None, "zz", "a b a b c"]
-    target = spark.createDataFrame([(0,), (6,)], "doc_id long")
-    rows = {x["doc_id"]: x for x in lmscore.cross_entropy_difference(frame(spark, texts), target, chunk_docs=2).collect()}
-    words = [(t or "").split() for t in texts]
-    one = [Counter(w for i in use for w in words[i]) for use in ((0, 6), range(7))]
-    two = [Counter(p for i in use for p in zip(words[i], words[i][1:])) for use in ((0, 6), range(7))]
-    known = {w for w, n in one[1].items() if n >= lmscore.MIN_COUNT}
-    for i, text in enumerate(words):
-        losses = []
-        for side in (0, 1):
-            n, scale = sum(one[side].values()), sum(one[0].values()) / sum(one[1].values()) if side else 1.0
-            unknown, total = sum(c for w, c in one[side].items() if w not in known) * scale, 0.0
-            for j, w in enumerate(text):
-                p = ((one[side][w] * scale if w in known else unknown) + lmscore.FLOOR) / (n * scale + lmscore.FLOOR * (len(known) + 1))
-                if j and w in known and text[j - 1] in known:
-                    h = text[j - 1]
-                    p = (two[side][h, w] * scale + lmscore.PRIOR * p) / (one[side][h] * scale + lmscore.PRIOR)
-                total -= np.log(p)
-            losses.append(total / len(text) if text else 0.0)
-        assert rows[i]["n_words"] == len(text)
-        assert (rows[i]["target_loss"], rows[i]["background_loss"]) == pytest.approx(losses)
-    assert rows[0]["score"] < rows[2]["score"]
-    none = lmscore.cross_entropy_difference(frame(spark, texts), target.limit(0)).collect()
-    assert {x["score"] for x in none} == {0.0}
-
-
 def test_toxicity_folding_and_exceptions():
     matcher = toxicity.Matcher({" idiot ": 4.0, " clown ": 3.0, " trash ": 3.0, " moro": 2.0})
     for text in ("an idiot", "1D10T!", "c1own", "іdiоt", "TRASH.", "morons"):
