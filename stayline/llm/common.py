@@ -20,6 +20,14 @@ def narrow(docs: DataFrame, **columns: str) -> DataFrame:
     return docs.select(*[docs[f"`{source}`"].alias(name) for name, source in columns.items()])
 
 
+def free_name(name: str, columns: Iterable[str]) -> str:
+    """`name`, with underscores added until no column has it (names don't differ by case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def work_table(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: lineage ends there."""
     folder = shared_folder(df.sparkSession)

@@ -153,8 +153,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     )
 
 
-def scored(docs: DataFrame, model: Model, text_col: str, neighbours: int = NEIGHBOURS, schema: str | None = None) -> DataFrame:
-    """The rows with a column `score`."""
+def scored(
+    docs: DataFrame, model: Model, text_col: str, neighbours: int = NEIGHBOURS, schema: str | None = None, out: str = "score"
+) -> DataFrame:
+    """The rows with a column `out`, which none of theirs may be named."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = schema or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
@@ -163,6 +165,6 @@ def scored(docs: DataFrame, model: Model, text_col: str, neighbours: int = NEIGH
         for batch in batches:
             for part in slices(batch, text_col):
                 votes = shared.value.vote(terms.rows(batch_texts(part, text_col)), neighbours)
-                yield part.append_column("score", pa.array(votes, pa.float64()))
+                yield part.append_column(out, pa.array(votes, pa.float64()))
 
-    return docs.mapInArrow(run, f"{schema}, score double")
+    return docs.mapInArrow(run, f"{schema}, `{out}` double")

@@ -6,7 +6,8 @@ whose success marker is there is not written again, so a replay changes nothing,
 written anew. Totals are the sum over committed batches.
 
 Defined cases: null text has no tokens; null source or lang is a group of its own; repeated changes count each time within
-a batch; groups without documents are left out of the totals.
+a batch; groups without documents are left out of the totals. Of equal texts the smallest id stays, with all its rows; null ids
+come after all others, and where there are no others all rows stay. Two writers of one batch at a time are not kept apart.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stayline.llm.common import work_table
+
 # Tokenizer versions that are plain patterns; each match is a token.
 VERSIONS = {
     "words-1": r"[^ \t\n\x0B\f\r]+",
@@ -81,17 +84,24 @@ class Rollup:
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens")).filter("n_docs <> 0")
 
 
-def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ids of documents whose whole text a smaller id has as well."""
-    named = docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("name"))
-    first = named.groupBy("name").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return named.join(first, "name").filter("doc_id > first").select("doc_id").distinct()
+SALTS = 64
+
+
+def later_copies(rows: DataFrame) -> DataFrame:
+    """Rows of (doc_id, name, ...) that aren't of the smallest id with their name; null ids come last.
+
+    The rows of a name are dealt over SALTS tasks, which meet its smallest id once each.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "source", "lang"), F.lit(SALTS)))
+    firsts = rows.groupBy("name").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null")
+    named = salted.select("name", "salt").distinct().join(firsts.select("name", "first"), "name")
+    return salted.join(named, ["name", "salt"]).filter("doc_id > first or doc_id is null").drop("salt", "first")
 
 
 SQL = """
 WITH kept AS (
   SELECT doc_id, source, lang, translate(coalesce(text, ''), '#$%&*', '') AS text
-  FROM documents QUALIFY doc_id = min(doc_id) OVER (PARTITION BY coalesce(text, ''))),
+  FROM documents QUALIFY doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY coalesce(text, ''))),
 counts AS (
   SELECT source, lang, 'words-1' AS version, len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) AS n FROM kept
   UNION ALL
@@ -102,16 +112,26 @@ SELECT source, lang, version, count(*) AS n_docs, cast(sum(n) AS BIGINT) AS n_to
 
 def maintained(docs: DataFrame, rollup: Rollup, symbols: str = "#$%&*") -> DataFrame:
     """Insert every document, delete later copies, revise counts for texts without `symbols`, replay, and total."""
-    counts = counted(docs)
-    rollup.commit("insert", inserts(counts))
-    copies = later_copies(docs)
-    rollup.commit("delete", deletes(counts.join(copies, "doc_id", "left_semi")))
-    touched = docs.filter(F.coalesce("text", F.lit("")).rlike("[" + symbols + "]")).join(copies, "doc_id", "left_anti")
-    new = F.translate("text", symbols, "")
-    both = touched.select("doc_id", "source", "lang", F.inline(F.array(*[
-        F.struct(F.lit(v).alias("version"), token_count(F.col("text"), v).alias("old_tokens"), token_count(new, v).alias("n_tokens"))
+    text = F.coalesce("text", F.lit(""))
+    touched = text.rlike("[" + symbols + "]")
+    new = F.translate(text, symbols, "")
+    each = F.array(*[
+        F.struct(
+            F.lit(v).alias("version"), token_count(text, v).alias("old_tokens"),
+            F.when(touched, token_count(new, v)).alias("n_tokens"),  # null where nothing is revised
+        )
         for v in VERSIONS
-    ])))
-    rollup.commit("revise", revisions(both))
+    ])
+    # texts are read once; what follows reads names and counts
+    rows = work_table(docs.select("doc_id", "source", "lang", F.sha2(text, 256).alias("name"), each.alias("counts")))
+    versions = lambda df, n: df.select("source", "lang", F.inline("counts")).select(*KEYS, F.col(n).alias("n_tokens"), "old_tokens")
+    counts = versions(rows, "old_tokens")
+    rollup.commit("insert", inserts(counts))
+    copies = work_table(later_copies(rows))
+    rollup.commit("delete", deletes(versions(copies, "old_tokens")))
+    revised = versions(rows, "n_tokens").filter("n_tokens is not null")
+    rollup.commit("revise", revisions(revised))
+    taken_back = versions(copies, "n_tokens").filter("n_tokens is not null")
+    rollup.commit("revise-copies", revisions(taken_back, "n_tokens", "old_tokens"))  # deleted copies are not revised
     rollup.commit("delete", deletes(counts))  # a replayed name: nothing happens
     return rollup.totals()

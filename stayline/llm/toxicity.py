@@ -27,10 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayline.llm.common import batch_texts, narrow, slices
+from stayline.llm.common import batch_texts, narrow, slices, work_table
 
 MAX_ROWS = 20_000
-MAX_TERMS = 20_000
 STEMS = (4, 5, 6)
 SURPRISE = 16.0  # log-likelihood ratio a lexicon term needs: four toxic rows, say, where one row in eight is toxic
 SEED = ("idiot", "moron", "stupid", "pathetic", "scum", "loser", "worthless", "disgusting")
@@ -88,10 +87,17 @@ class Matcher:
             found, covered = [], []
             for end, (size, weight) in self.automaton.iter(fold):
                 (covered.append((end - size + 1, end)) if weight is None else found.append((end - size + 1, weight)))
+            found.sort()
+            covered.sort()
+            words = read = span = reach = 0  # one pass over matches and spans, both by their start
             for at, weight in found:
-                if not any(a <= at < b for a, b in covered):
-                    word = fold.count(" ", 0, at + 1)  # both foldings number the words alike
-                    best[word] = max(best.get(word, 0.0), weight)
+                words += fold.count(" ", read, at + 1)  # both foldings number the words alike
+                read = at + 1
+                while span < len(covered) and covered[span][0] <= at:
+                    reach = max(reach, covered[span][1])
+                    span += 1
+                if at >= reach:
+                    best[words] = max(best.get(words, 0.0), weight)
         return sum(best.values()) / math.log2(1 + max(spaces, 1))
 
 
@@ -130,8 +136,8 @@ def fit(
         .groupBy("doc").agg(F.max("label").cast("int").alias("label"))
         .orderBy(F.xxhash64("doc"), "doc").limit(max_rows)
     )
-    # both sides are read here in one bounded table: at most max_rows texts
-    sample = narrow(docs, doc=id_col, text=text_col).join(F.broadcast(chosen), "doc").select("text", "label")
+    # at most max_rows texts, written once and read by each step below
+    sample = work_table(narrow(docs, doc=id_col, text=text_col).join(F.broadcast(chosen), "doc").select("text", "label"))
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not n_clean or not n_toxic:
@@ -142,7 +148,7 @@ def fit(
     least = max(3, round(SURPRISE / (2 * math.log((n_clean + n_toxic) / n_toxic))) if n_toxic < n_clean else 3)
     rows = counted.filter((F.col("toxic") >= least) & (F.col("toxic") * n_clean >= 8 * F.col("clean") * n_toxic)).orderBy(
         F.desc("toxic"), "term"
-    ).limit(MAX_TERMS).collect()
+    ).collect()  # terms of at least three texts of the bounded sample
     toxic, clean = (np.array([r[c] for r in rows], float) for c in ("toxic", "clean"))
     strong = {r["term"] for r, s in zip(rows, _surprise(toxic, clean, n_toxic, n_clean) if rows else ()) if s >= SURPRISE}
     shared = spark.sparkContext.broadcast(strong)

@@ -77,14 +77,15 @@ def _record(kind: str, name: str, block: bytes, **headers) -> bytes:
 
 
 def records_of(row: dict, segment_bytes: int = SEGMENT_BYTES) -> Iterator[bytes]:
-    """The records of one page: {page, row, url, html, digest, first}."""
+    """The records of one page: {page, url, url_hash, html, digest, first, first_url}. Names follow from page, payload and url."""
     payload = (row["html"] or "").encode()
-    name = f"urn:page:{'' if row['page'] is None else row['page']}:{row['row']:x}"
+    named = lambda page, url: f"urn:page:{'' if page is None else page}:{row['digest'][:32]}:{url & (1 << 64) - 1:x}"
+    name = named(row["page"], row["url_hash"])
     url = re.sub(r"[\r\n]+", "%0D%0A", row["url"] or "").replace(VERSION, VERSION.replace("/", "%2F"))
     common = {"WARC_Target_URI": url, "WARC_Payload_Digest": f"sha256:{row['digest']}", "Content_Type": "application/http;msgtype=response"}
     if row["first"] is not None and row["page"] != row["first"]:
         yield _record(
-            "revisit", name, f"{_HTTP}Content-Length: {len(payload)}\r\n\r\n".encode(), WARC_Refers_To=f"<urn:page:{row['first']}>",
+            "revisit", name, f"{_HTTP}Content-Length: {len(payload)}\r\n\r\n".encode(), WARC_Refers_To=f"<{named(row['first'], row['first_url'])}>",
             WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", **common,
         )
         return
@@ -113,12 +114,14 @@ def write_archives(
     """Write one archive or more per partition below `folder`, gzip-compressed."""
     text = F.coalesce("html", F.lit(""))
     rows = narrow(pages, page=id_col, url=url_col, html=html_col).withColumn("page", F.col("page").cast("long"))
-    named = rows.withColumn("digest", F.sha2(text, 256))
+    named = rows.withColumn("digest", F.sha2(text, 256)).withColumn("url_hash", F.xxhash64("url"))
+    least = F.min(F.when(F.col("page").isNotNull(), F.struct("page", "url_hash"))).alias("least")
     firsts = (
-        named.filter(F.octet_length(text) >= MIN_REVISIT_BYTES).groupBy("digest")
-        .agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null").drop("n")
+        named.filter(F.octet_length(text) >= MIN_REVISIT_BYTES).groupBy("digest").agg(least, F.count(F.lit(1)).alias("n"))
+        .filter("n > 1 and least is not null")
+        .select("digest", F.col("least.page").alias("first"), F.col("least.url_hash").alias("first_url"))
     )
-    marked = named.join(firsts, "digest", "left").withColumn("row", F.monotonically_increasing_id())
+    marked = named.join(firsts, "digest", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +131,7 @@ def write_archives(
                 values = [r[:-2].decode() for row in rows for r in records_of(row, segment_bytes)]
                 yield pa.record_batch([pa.array(values, pa.string())], names=["value"])
 
-    marked.select("page", "row", "url", "html", "digest", "first").mapInArrow(run, "value string").write.option(
+    marked.select("page", "url", "url_hash", "html", "digest", "first", "first_url").mapInArrow(run, "value string").write.option(
         "lineSep", "\r\n"
     ).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(folder)
 
@@ -230,9 +233,13 @@ def reassemble(records: DataFrame) -> DataFrame:
     fields = ("record", "kind", "number", "total", "url", "digest", "refers", "block", "error")
     piece = F.struct(*fields)
     single = records.filter("number is null").select(F.array(piece).alias("parts"))
-    segments = records.filter("number is not null").groupBy(F.coalesce("origin", "record").alias("name")).agg(
-        F.collect_list(piece).alias("parts")  # one record's own segments
-    ).select("parts")
+    # a record that is there several times has each segment as often: one copy is put together, and comes out for each
+    segments = (
+        records.filter("number is not null").groupBy(F.coalesce("origin", "record").alias("name"), piece.alias("piece"))
+        .agg(F.count(F.lit(1)).alias("times")).groupBy("name")
+        .agg(F.collect_list("piece").alias("parts"), F.max("times").alias("times"))
+        .select("parts", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("parts")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
