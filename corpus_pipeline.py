@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayline.llm import bpe, decontaminate, linededup, minhash, quality
-from stayline.llm.common import work_table
+from stayline.llm.common import free_name, work_table
 from stayline.llm.queries import byte_bpe, table, training
 
 QUALITY_CUT = 0.3
@@ -19,18 +19,20 @@ QUALITY_CUT = 0.3
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the cut."""
     model = quality.fit(docs, training(table(spark, sf_dir, "labels")), "quality")
-    return quality.scored(docs, model, "text").filter(F.col("score") >= QUALITY_CUT).select(*docs.columns)
+    name = free_name("score", docs.columns)
+    return quality.scored(docs, model, "text", out=name).filter(F.col(name) >= QUALITY_CUT).select(*docs.columns)
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without cross-site lines; those that had nothing else go."""
-    kept = linededup.dedup_lines(docs).filter("n_removed = 0 or length(trim(text)) > 0")
+    removed = free_name("n_removed", docs.columns)
+    kept = linededup.dedup_lines(docs).filter((F.col(removed) == 0) | (F.length(F.trim("text")) > 0))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the smallest id, once. Texts of one id in different groups are told apart."""
-    mark = "_text_hash" + "_" * max(map(len, docs.columns))  # a name that no column has
+    mark = free_name("text_hash", docs.columns)
     kept = minhash.near_groups(docs, words=5, percent=80).filter("kept").select("doc_id", F.col("text_hash").alias(mark))
     marked = docs.filter("doc_id is not null").withColumn(mark, F.xxhash64("text"))
     named = marked.join(kept, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
