@@ -1,8 +1,11 @@
 """Synthetic minority rows between exact nearest neighbours.
 
-Neighbours are found cell by cell: rows are cut into cells of bounded size by their distance to one pivot.
-A row first looks inside its own cell; the distance of its k-th hit there bounds which other cells can hold
-anything nearer (triangle inequality), and only those are visited. Each visit hands back k rows, not pairs.
+Neighbours are found cell by cell. Rows belong to the nearest of a set of centres, which are fitted on a bounded sample, so that
+cells follow the data's clusters; a cell with many rows is cut into slots. A row looks inside its own slot first. The distance r of
+its k-th hit there rules out every cell whose centre is farther away than r plus the cell's radius, or farther than its own centre by
+more than 2 r, as no row of such a cell is nearer than r. The remaining cells are visited; each visit hands back k rows, not pairs.
+The result is exact whatever the centres are. How many cells remain depends on the data: few where rows lie in clusters, all where
+distances are all alike, as they tend to be in many dimensions without clusters.
 """
 
 from __future__ import annotations
@@ -10,98 +13,178 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayline.functions.hashing import hash32, unit
-from stayline.functions.ordering import dense_rank_by_hash, number_array, quantile_edges, range_index
+from stayline.functions.ordering import dense_rank_by_hash
 from stayline.operators.sampling import draws
 from stayline.session import cut_lineage
 
+CENTRES = 4096  # at most; with the next bound the size of what is broadcast
+CENTRE_NUMBERS = 4_000_000
+SAMPLE_PER_CENTRE = 64
+PAIR_BLOCK = 2_000_000  # distances held at a time in a task
+FOUND = "key long, neighbor long, dist double"
 
-def _nearest_in_cell(k: int):
-    def visit(visitors: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        if visitors.empty or members.empty:
-            return pd.DataFrame({"key": [], "neighbor": [], "dist": []})
-        points = np.array(members["vec"].tolist(), dtype=float)
-        ids = members["key"].to_numpy()
-        out = []
-        for key, vec in zip(visitors["key"], visitors["vec"]):
-            dist = np.sqrt(((points - np.asarray(vec, dtype=float)) ** 2).sum(axis=1))
-            dist[ids == key] = np.inf
-            order = np.lexsort((ids, dist))[:k]
-            out += [(key, ids[j], dist[j]) for j in order if np.isfinite(dist[j])]
-        return pd.DataFrame(out, columns=["key", "neighbor", "dist"])
 
-    return visit
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A list column of equal lengths as rows of a matrix."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
+
+
+def nearest_of(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int):
+    """(query place, point place, distance) of the k nearest points of each query, ties by id; its own id is left out.
+
+    Products of blocks give candidates, and their distances are then taken exactly.
+    """
+    squares = (points * points).sum(axis=1)
+    step = max(1, PAIR_BLOCK // max(1, len(points)))
+    for start in range(0, len(queries), step):
+        block = queries[start : start + step]
+        size = (block * block).sum(axis=1)[:, None]
+        rough = size + squares[None, :] - 2 * block @ points.T
+        rough[own[start : start + step, None] == ids[None, :]] = np.inf
+        few = min(k, len(points))
+        least = np.partition(rough, few - 1, axis=1)[:, few - 1 : few]
+        slack = 1e-9 * (size + squares.max(initial=0.0)) + 1e-12
+        at, to = np.nonzero((rough <= least + slack) & np.isfinite(rough))
+        dist = np.sqrt(((block[at] - points[to]) ** 2).sum(axis=1))
+        order = np.lexsort((ids[to], dist, at))
+        at, to, dist = at[order], to[order], dist[order]
+        first = np.searchsorted(at, np.arange(len(block)))
+        keep = np.arange(len(at)) - first[at] < k
+        yield at[keep] + start, to[keep], dist[keep]
 
 
 def _visits(visitors: DataFrame, members: DataFrame, k: int, cell_rows: int) -> DataFrame:
-    """(key, neighbor, dist) of the k nearest members of each visited cell.
+    """(key, neighbor, dist) of the k nearest members of each visited slot.
 
-    A cell with many visitors is handled in several tasks, each with its own copy of the members.
+    A slot with many visitors is handled in several tasks, each with its own copy of the members.
     """
-    crowd = visitors.groupBy("_b", "_s").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("_v"))
-    # one row per cell, joined by cell
-    left = visitors.join(crowd, ["_b", "_s"]).withColumn("_chunk", F.pmod(F.xxhash64("key"), "_v").cast("int"))
-    right = members.join(crowd, ["_b", "_s"]).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_v") - 1)))
-    keys = ["_b", "_s", "_chunk"]
+    crowd = visitors.groupBy("cell", "slot").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("chunks"))
+    # one row per slot, joined by slot
+    left = visitors.join(crowd, ["cell", "slot"]).withColumn("chunk", F.pmod(F.xxhash64("key"), "chunks").cast("int"))
+    right = members.join(crowd, ["cell", "slot"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    keys = ["cell", "slot", "chunk"]
+
+    def visit(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if queries.num_rows and rows.num_rows:
+            points, ids = _matrix(rows.column(1)), rows.column(0).to_numpy()
+            own = queries.column(0).to_numpy()
+            parts = list(nearest_of(points, ids, _matrix(queries.column(1)), own, k))
+            out = [np.concatenate([f(p) for p in parts]) for f in (lambda p: own[p[0]], lambda p: ids[p[1]], lambda p: p[2])]
+        return pa.table([pa.array(c) for c in out], names=["key", "neighbor", "dist"])
 
     def grouped(df: DataFrame, side: str):
         # both sides stem from one frame: fresh column names keep them apart
-        fresh = df.select(*[F.col(c).alias(f"{side}{c}") for c in keys], F.col("key").alias("key"), F.col("vec").alias("vec"))
+        fresh = df.select(F.col("key").alias("key"), F.col("vec").alias("vec"), *[F.col(c).alias(f"{side}{c}") for c in keys])
         return fresh.groupBy(*[f"{side}{c}" for c in keys])
 
-    return grouped(left, "l").cogroup(grouped(right, "r")).applyInPandas(
-        _nearest_in_cell(k), "key long, neighbor long, dist double"
-    )
+    return grouped(left, "l").cogroup(grouped(right, "r")).applyInArrow(visit, FOUND)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each key, in order; a key has at most k rows per visited cell."""
+    """The k nearest of each key, in order; a key has at most k rows per visited slot."""
     pairs = F.sort_array(F.collect_list(F.struct("dist", "neighbor")))
     return found.groupBy("key").agg(F.slice(pairs, 1, k).alias("near"))
 
 
+def centres_of(rows: DataFrame, n: int, cell_rows: int) -> np.ndarray:
+    """Centres of about n / cell_rows cells, fitted on a bounded sample of the rows."""
+    dims = rows.select(F.size("vec")).first()[0]
+    wanted = min(CENTRES, max(1, CENTRE_NUMBERS // max(dims, 1)), math.ceil(n / cell_rows))
+    share = min(1.0, wanted * SAMPLE_PER_CENTRE / n)
+    sample = rows.filter(unit("key", seed="centres") < share).select(array_to_vector("vec").alias("features"))
+    model = KMeans(k=max(2, wanted), seed=42, maxIter=5).fit(cut_lineage(sample))
+    return np.array([list(c) for c in model.clusterCenters()])
+
+
+def in_cells(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Rows with the nearest centre's number and distance."""
+    shared = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                points = _matrix(part.column("vec"))
+                found = list(nearest_of(shared.value, np.arange(len(shared.value)), points, np.full(len(points), -1), 1))
+                cell, away = (np.concatenate([p[i] for p in found]) for i in (1, 2))
+                yield pa.record_batch(
+                    [part.column("key"), part.column("vec"), pa.array(cell, pa.int32()), pa.array(away)], names=["key", "vec", "cell", "away"]
+                )
+
+    return rows.select("key", "vec").mapInArrow(run, "key long, vec array<double>, cell int, away double")
+
+
+def cells_to_visit(bounded: DataFrame, centres: np.ndarray, radius: dict[int, float], slots: dict[int, int]) -> DataFrame:
+    """(key, vec, cell, slot) of every slot that may hold a row within `reach` (null: any), but the row's own."""
+    numbers = sorted(radius)
+    known = centres[numbers], np.array([radius[c] for c in numbers]), np.array(numbers), np.array([slots[c] for c in numbers])
+    shared = bounded.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                middle, wide, number, many = shared.value
+                points = _matrix(part.column("vec"))
+                away = np.stack([np.sqrt(((p - middle) ** 2).sum(axis=1)) for p in points])
+                reach = pc.fill_null(part.column("reach"), np.inf).to_numpy(zero_copy_only=False)[:, None]
+                own = part.column("away").to_numpy(zero_copy_only=False)[:, None]
+                slack = 1e-9 * (1 + away)
+                at, to = np.nonzero((away - wide[None] <= reach + slack) & (away - own <= 2 * reach + slack))
+                each = many[to]
+                at, cell = np.repeat(at, each), np.repeat(number[to], each)
+                slot = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                mine = (cell == part.column("cell").to_numpy(zero_copy_only=False)[at]) & (slot == part.column("slot").to_numpy(zero_copy_only=False)[at])
+                at, cell, slot = at[~mine], cell[~mine], slot[~mine]
+                for cut in range(0, len(at), 4096):
+                    rows = pa.array(at[cut : cut + 4096])
+                    yield pa.record_batch(
+                        [
+                            part.column("key").take(rows), part.column("vec").take(rows),
+                            pa.array(cell[cut : cut + 4096], pa.int32()), pa.array(slot[cut : cut + 4096], pa.int32()),
+                        ],
+                        names=["key", "vec", "cell", "slot"],
+                    )
+
+    return bounded.select("key", "vec", "cell", "slot", "away", "reach").mapInArrow(run, "key long, vec array<double>, cell int, slot int")
+
+
 def nearest_neighbors(df: DataFrame, key: str, vector: str, k: int = 5, cell_rows: int = 2048) -> DataFrame:
     """(key, near): the k nearest other rows as structs (dist, neighbor), exact, ties by key.
 
-    `key` is a unique long, `vector` an array of doubles.
+    `key` is a unique long, `vector` an array of doubles, of one length in all rows.
     """
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vec"))
-    first = rows.orderBy(hash32("key"), "key").limit(1).collect()
-    if not first:
-        return df.sparkSession.createDataFrame([], "key long, near array<struct<dist:double,neighbor:long>>")
-    pivot = number_array(first[0]["vec"])
-    squares = F.zip_with("vec", pivot, lambda a, b: (a - b) * (a - b))
-    rows = rows.withColumn("_d", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)))
     n = rows.count()
-    parts = 1 << max(0, min(14, math.ceil(math.log2(max(1.0, n / cell_rows)))))
-    edges = quantile_edges(rows, "_d", parts) if parts > 1 else []
-    ranged = rows.withColumn("_b", range_index("_d", edges, parts).cast("int"))
-    # equal distances land in one range, so a range may be large: it is split by hash into slots
-    sizes = ranged.groupBy("_b").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("_slots"))
-    slots = F.broadcast(sizes)  # at most 2^14 ranges
+    if not n:
+        return df.sparkSession.createDataFrame([], "key long, near array<struct<dist:double,neighbor:long>>")
+    if n <= cell_rows:  # a single cell has seen all rows
+        members = rows.withColumns({"cell": F.lit(0), "slot": F.lit(0)})
+        return _best(_visits(members, members, k, cell_rows), k)
+    centres = centres_of(rows, n, cell_rows)
+    placed = cut_lineage(in_cells(rows, centres))
+    found = placed.groupBy("cell").agg(F.max("away").alias("r"), F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("slots")).collect()
+    radius, slots = {r["cell"]: r["r"] for r in found}, {r["cell"]: r["slots"] for r in found}  # at most CENTRES rows
+    table = df.sparkSession.createDataFrame(list(slots.items()), "cell int, slots int")
     members = cut_lineage(
-        ranged.join(slots, "_b").withColumn("_s", F.pmod(F.xxhash64("key"), "_slots").cast("int")).drop("_slots")
+        placed.join(F.broadcast(table), "cell").withColumn("slot", F.pmod(F.xxhash64("key"), "slots").cast("int")).drop("slots")
     )
-    own = _best(_visits(members, members, k, cell_rows), k)
-    if n <= cell_rows:  # a single cell has seen all rows
-        return own
+    own = cut_lineage(_best(_visits(members, members, k, cell_rows), k))
     reach = F.when(F.size("near") >= k, F.element_at("near", -1)["dist"])
-    bounded = cut_lineage(members.join(own, "key", "left").withColumn("_r", reach * (1 + 1e-9) + 1e-12))
-    low = F.when(F.col("_r").isNull(), F.lit(0)).otherwise(range_index(F.col("_d") - F.col("_r"), edges, parts))
-    high = F.when(F.col("_r").isNull(), F.lit(parts - 1)).otherwise(range_index(F.col("_d") + F.col("_r"), edges, parts))
-    others = (
-        bounded.withColumnsRenamed({"_b": "_own_b", "_s": "_own_s"})
-        .withColumn("_b", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-        .join(slots, "_b")
-        .withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_slots") - 1)))
-        .filter((F.col("_b") != F.col("_own_b")) | (F.col("_s") != F.col("_own_s")))
-        .select("_b", "_s", "key", "vec")
-    )
-    inside = bounded.select("key", F.explode("near").alias("p")).select("key", "p.neighbor", "p.dist")
+    bounded = members.join(own, "key", "left").withColumn("reach", reach)
+    others = cells_to_visit(bounded, centres, radius, slots)
+    inside = own.select("key", F.explode("near").alias("p")).select("key", "p.neighbor", "p.dist")
     return _best(_visits(others, members, k, cell_rows).unionByName(inside), k)
 
 

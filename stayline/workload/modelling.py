@@ -21,7 +21,7 @@ from stayline.sources.tables import load_model, save_model
 from stayline.workload.profiling import RANKED
 from stayline.workload.registry import query
 from stayline.workload.relational import r6
-from stayline.workload.roles import table
+from stayline.workload.roles import hash_sql, table
 from stayline.workload.textual import GRAMS_SQL, TOKENS, lemma_table
 
 NAMES = ["n_chars", "n_words", "tfidf__the", "tfidf__heed", "tfidf__thing heed"]
@@ -46,6 +46,14 @@ def training(spark, sf, folds: int = 3):
     return cut_lineage(SA.stratified_kfold(df, "doc_id", "label", folds))
 
 
+# The features of `features` in SQL: w and x; with centred class means and attributions also c and phi.
+X_SQL = f"""w AS (SELECT doc_id, toxic, text, n_chars, {TOKENS} AS tok, len(regexp_extract_all(text, '\\S+')) AS words FROM labels JOIN documents USING (doc_id)),
+x AS (SELECT doc_id, toxic, text, ln(1 + n_chars) AS x1, words / 1000e0 AS x2,
+  {", ".join(f"len(list_filter(tok, lambda t: t = '{t}')) / greatest(len(tok), 1) AS x{i}" for i, t in ((3, 'the'), (4, 'heed'), (5, 'thing')))} FROM w),
+c AS (SELECT {", ".join(f"avg(x{i}) FILTER (WHERE toxic = 1) - avg(x{i}) FILTER (WHERE toxic = 0) AS b{i}, avg(x{i}) AS m{i}" for i in range(1, 6))} FROM x),
+phi AS ({" UNION ALL ".join(f"SELECT doc_id, '{n}' AS feature, x{i} AS value, b{i} * (x{i} - m{i}) AS phi FROM x, c" for i, n in enumerate(NAMES, 1))})"""
+
+
 # ---- resampling ------------------------------------------------------------------------------------------------------
 
 @query("smote")
@@ -87,6 +95,23 @@ def resample_policy(spark, sf):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+@query("smote_rows", f"""WITH {X_SQL},
+m AS (SELECT doc_id, [x1, x2, x3, x4, x5] AS v, row_number() OVER (ORDER BY {hash_sql('doc_id', 42)}, doc_id) AS rk, count(*) OVER () AS m FROM x WHERE toxic = 1),
+t AS (SELECT (SELECT count(*) FROM x WHERE toxic = 1) AS m, CAST(floor(0.5 * (SELECT count(*) FROM x WHERE toxic = 0)) AS BIGINT) AS target),
+d AS (SELECT draw, {hash_sql('draw', 42)} % t.m + 1 AS rk, {hash_sql('draw', '42n')} % least(5, t.m - 1) + 1 AS j, {hash_sql('draw', '42u')} / 4294967296e0 AS u
+  FROM t, (SELECT unnest(range(0, 1000000)) AS draw) WHERE draw < t.target - t.m),
+near AS (SELECT a.doc_id, b.v AS w, row_number() OVER (PARTITION BY a.doc_id ORDER BY list_distance(a.v, b.v), b.doc_id) AS j
+  FROM m a JOIN m b ON a.doc_id <> b.doc_id)
+SELECT doc_id, toxic AS label, CAST(NULL AS BIGINT) AS draw, {", ".join(f"round(x{i}, 6) AS x{i}" for i in range(1, 6))} FROM x
+UNION ALL SELECT NULL, 1, draw, {", ".join(f"round(m.v[{i}] + u * (w[{i}] - m.v[{i}]), 6)" for i in range(1, 6))}
+FROM d JOIN m USING (rk) JOIN near ON near.doc_id = m.doc_id AND near.j = d.j""")
+def smote_rows(spark, sf):
+    """All rows and the synthetic ones, number by number."""
+    df = features(spark, sf).select("doc_id", F.col("toxic").alias("label"), "x")
+    out = smote(df, "doc_id", "label", "x")
+    return out.select("doc_id", "label", "draw", *[r6(F.col("x")[i]).alias(f"x{i + 1}") for i in range(5)])
+
+
 def smote_frame(seed: int):
     """Resampler for (doc_id, label, features vector, fold) frames; real rows keep their folds."""
 
@@ -394,11 +419,7 @@ def attribution_sums(spark, sf):
 
 # ---- explanation -----------------------------------------------------------------------------------------------------
 
-X_SQL = f"""w AS (SELECT doc_id, toxic, text, n_chars, {TOKENS} AS tok, len(regexp_extract_all(text, '\\S+')) AS words FROM labels JOIN documents USING (doc_id)),
-x AS (SELECT doc_id, toxic, text, ln(1 + n_chars) AS x1, words / 1000e0 AS x2,
-  {", ".join(f"len(list_filter(tok, lambda t: t = '{t}')) / greatest(len(tok), 1) AS x{i}" for i, t in ((3, 'the'), (4, 'heed'), (5, 'thing')))} FROM w),
-c AS (SELECT {", ".join(f"avg(x{i}) FILTER (WHERE toxic = 1) - avg(x{i}) FILTER (WHERE toxic = 0) AS b{i}, avg(x{i}) AS m{i}" for i in range(1, 6))} FROM x),
-phi AS ({" UNION ALL ".join(f"SELECT doc_id, '{n}' AS feature, x{i} AS value, b{i} * (x{i} - m{i}) AS phi FROM x, c" for i, n in enumerate(NAMES, 1))})"""
+
 
 
 def class_mean_model(df):

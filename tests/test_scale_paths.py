@@ -8,6 +8,7 @@ from stayline.functions import ordering as O
 from stayline.functions.hashing import hash32
 from stayline.operators import aggregates as A
 from stayline.operators import windows as W
+from stayline.operators import smote as SM
 from stayline.operators.smote import nearest_neighbors, smote
 from stayline.plans import labels as L
 
@@ -155,3 +156,41 @@ def test_quantiles_survive_a_poor_sketch(spark, monkeypatch):
 
     monkeypatch.setattr(O, "_confirm", shifted)
     assert O.exact_quantiles(df, ["v"], [0.25, 0.5], accuracy=100, small=10) == {"v": [249.75, 499.5]}
+
+
+def clustered(spark, n, seed=5, dims=64, rows=50):
+    """Clusters of about `rows` rows in 64 dimensions, so more rows are more clusters."""
+    r = np.random.default_rng(seed)
+    centres = r.normal(0, 10, (n // rows, dims))
+    points = centres[np.arange(n) % len(centres)] + r.normal(0, 0.3, (n, dims))
+    points[n // 2 : n // 2 + 5] = points[0]  # copies
+    return points, spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "id long, v array<double>")
+
+
+def test_neighbours_in_many_dimensions_are_exact_and_few_rows_are_visited(spark, monkeypatch):
+    share = {}
+    for n in (1000, 4000):
+        points, df = clustered(spark, n)
+        seen = []
+        plain = SM._visits
+        monkeypatch.setattr(SM, "_visits", lambda v, m, k, c: seen.append((v, m)) or plain(v, m, k, c))
+        got = {r["key"]: [p["neighbor"] for p in r["near"]] for r in nearest_neighbors(df, "id", "v", 5, 100).collect()}
+        monkeypatch.setattr(SM, "_visits", plain)
+        for i in range(0, n, 97):
+            dist = np.sqrt(((points - points[i]) ** 2).sum(axis=1))
+            dist[i] = np.inf
+            assert got[i] == np.lexsort((np.arange(n), dist))[:5].tolist()
+        visits, members = seen[1]
+        sizes = members.groupBy("cell", "slot").count()
+        share[n] = visits.join(sizes, ["cell", "slot"]).agg(F.sum("count")).first()[0] / n
+    # rows looked at per query: four times the data, hardly more of them
+    assert share[4000] < 2 * share[1000] and share[4000] < 4000 / 5, share
+
+
+def test_neighbours_of_few_or_equal_rows(spark):
+    same = spark.range(300).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
+    got = {r["key"]: [p["neighbor"] for p in r["near"]] for r in nearest_neighbors(same, "id", "v", 3, 40).collect()}
+    assert got[0] == [1, 2, 3] and got[1] == [0, 2, 3] and got[299] == [0, 1, 2] and len(got) == 300
+    two = nearest_neighbors(same.filter("id < 2"), "id", "v", 5).collect()
+    assert {r["key"]: [p["neighbor"] for p in r["near"]] for r in two} == {0: [1], 1: [0]}
+    assert nearest_neighbors(same.limit(0), "id", "v").count() == 0
