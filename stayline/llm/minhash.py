@@ -98,10 +98,18 @@ def sketches(docs: DataFrame, words: int, bins: int = BINS, rows: int = ROWS) ->
     return docs.mapInArrow(run, "doc long, mark long, n long, digest binary, sketch binary, bands array<long>")
 
 
+def with_key_values(rows: DataFrame, key: str, per_key: DataFrame, by: str = "node") -> DataFrame:
+    """Rows joined with one row per key; the rows of a hot key are dealt over SALTS tasks, which read the key's row once each."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    named = salted.select(key, "salt").distinct().join(per_key, key)
+    return salted.join(named, [key, "salt"]).drop("salt")
+
+
 def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """Pairs of nodes whose sketches and sizes don't rule out the threshold."""
     side = lambda s: reps.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-    both = pairs.join(side("a"), "a").filter("n_a > 0").join(side("b"), "b").filter(
+    # many pairs may share one pivot, b
+    both = with_key_values(pairs.join(side("a"), "a"), "b", side("b"), by="a").filter(
         F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
     )
 
@@ -122,9 +130,8 @@ def whole_sets(texts: list, words: int) -> list[np.ndarray]:
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs of nodes whose whole sets have 100 * intersection >= percent * union."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
-    )
+    side = lambda s: texts.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}"))
+    both = with_key_values(pairs.join(side("a"), "a"), "b", side("b"), by="a")
 
     def run(batches):
         for batch in batches:
@@ -159,13 +166,6 @@ def components(links: DataFrame) -> DataFrame:
         edges = work_table(small.union(least.select("u", F.col("m").alias("v"))).distinct())
 
 
-def with_key_values(rows: DataFrame, key: str, per_key: DataFrame) -> DataFrame:
-    """Rows joined with one row per key; the rows of a hot key are dealt over SALTS tasks, which read the key's row once each."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-    named = salted.select(key, "salt").distinct().join(per_key, key)
-    return salted.join(named, [key, "salt"]).drop("salt")
-
-
 def live_prefixes(members: DataFrame, texts: DataFrame, words: int, percent: int, rounds: int = LIVE_ROUNDS) -> DataFrame:
     """(key, node, label, n, reach): the live shingles that a member must share with any partner in another component.
 
