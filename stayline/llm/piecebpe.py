@@ -7,8 +7,9 @@ namely the only piece that ends there (an automaton lists them) and is compatibl
 before it. The table of last tokens is filled from left to right; ids are read from it backwards. The work is linear in
 the text, whatever its longest word.
 
-Where every piece has its space marks in front, no token crosses the start of a run of them, so texts are cut there and
-tables of short parts are remembered, up to a bound on memory. Other models get one table per text.
+Where every piece has its space marks in front, no token crosses the start of a run of them, so texts are cut there, and between
+characters that are neighbours in no piece. The ids of short parts are remembered, up to a bound on memory. Other models get
+one table per stretch between such characters.
 
 The model file is read on the driver and broadcast; files larger than MAX_MODEL_BYTES are refused, as are models other
 than BPE with byte fallback and the identity normalizer.
@@ -25,7 +26,8 @@ import os
 import re
 import struct
 from collections.abc import Iterable, Iterator
-from itertools import chain, groupby
+from itertools import chain, groupby, islice
+from operator import add
 
 import ahocorasick
 import numpy as np
@@ -76,6 +78,7 @@ class PieceModel:
     """Pieces, scores and settings of a model file."""
 
     def __init__(self, data: bytes):
+        self._encoder: PieceEncoder | None = None
         self.pieces: list[str] = []
         self.kinds: list[int] = []
         self.scores: list[float] = []
@@ -106,6 +109,7 @@ class PieceModel:
         self.known = {piece: i for (kind, piece), i in ids.items() if kind == NORMAL}
         self.cut = not any(SPACE in piece.lstrip(SPACE) for piece in self.known)
         self.reached = {piece: i for piece, i in self.known.items() if self.merged(piece) == [i]}
+        self.together = {piece[i : i + 2] for piece in self.reached for i in range(len(piece) - 1)}
         self.surface = [
             {CONTROL: b"", UNKNOWN: " ⁇ ".encode()}.get(kind, piece.replace(SPACE, " ").encode())
             for kind, piece in zip(self.kinds, self.pieces)
@@ -113,6 +117,15 @@ class PieceModel:
         for b, i in enumerate(self.bytes):
             self.surface[i] = bytes([b])
 
+    def encoder(self) -> PieceEncoder:
+        """The encoder of this process; the tasks it runs share what is remembered."""
+        if self._encoder is None:
+            self._encoder = PieceEncoder(self)
+        return self._encoder
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_encoder": None}
+
     def merged(self, text: str) -> list[int]:
         """Ids of a short text of known characters by merging pair after pair; -1 is an unknown character."""
         parts, known, scores = list(text), self.known, self.scores
@@ -170,10 +183,11 @@ class _Parts(dict):
         self.encoder = encoder
 
     def __missing__(self, part: str) -> tuple[int, ...]:
-        ids = tuple(self.encoder.part(part))
+        ids = tuple(self.encoder.cut_part(part))
         if len(part) <= LONG_PART:
             if len(self) >= KNOWN_PARTS:
-                self.clear()
+                for old in list(islice(self, KNOWN_PARTS // 2)):  # the oldest half
+                    del self[old]
             self[part] = ids
         return ids
 
@@ -190,7 +204,10 @@ class PieceEncoder:
         self.single = {piece for piece in model.reached if len(piece) == 1}
         self.pairs: dict[int, bool] = {}  # by both ids in one number
         self.parts = _Parts(self)
-        self.cutter = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if model.cut else re.compile(r".+", re.DOTALL)
+        joined = set().union(*model.together)
+        alone = "".join(re.escape(c) for c in map(chr, range(128)) if c not in joined)  # no token joins these to others
+        between = f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if model.cut else f"[^{alone}]+"
+        self.cutter = re.compile(f"{between}|[{alone}]" if alone else between)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether two tokens stay apart when their joined text is encoded."""
@@ -214,13 +231,21 @@ class PieceEncoder:
                         last[end] = token
         return last
 
+    def cut_part(self, part: str) -> list[int]:
+        """Ids of a part. No token crosses two characters that are neighbours in no piece, so it is cut there first."""
+        together = self.model.together
+        cuts = [i for i, pair in enumerate(map(add, part, part[1:]), 1) if pair not in together]
+        if not cuts:
+            return self.part(part)
+        ids: list[int] = []
+        for start, end in zip([0, *cuts], [*cuts, len(part)]):
+            ids += self.parts[part[start:end]]
+        return ids
+
     def part(self, text: str) -> list[int]:
-        if not self.single.issuperset(text):
-            out: list[int] = []
-            for known, run in groupby(text, key=self.single.__contains__):
-                piece = "".join(run)
-                out += self.part(piece) if known else [self.model.bytes[b] for b in piece.encode()]
-            return out
+        """Ids of a text of known characters, or of one unknown character, by one prefix table."""
+        if text not in self.single and not self.single.issuperset(text):
+            return [self.model.bytes[b] for b in text.encode()]
         last, sizes = self.last_tokens(text), self.model.sizes
         ids, at = [], len(text) - 1
         while at >= 0:
@@ -250,7 +275,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     shared = _shared(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(shared.value)
+        encoder = shared.value.encoder()
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = pa.array(map(encoder.encode, batch_texts(part, "text")), pa.list_(pa.int32()))
@@ -278,7 +303,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     shared = _shared(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(shared.value)
+        encoder = shared.value.encoder()
         for batch in batches:
             for part in slices(batch, "text"):
                 coded = [encoder.encode(text) for text in batch_texts(part, "text")]
