@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.functions.ordering import exact_quantiles
+from stayline.functions.quantiles import cells, sketched
 
 
 def quantile_cuts(df: DataFrame, column: str, bins: int = 5) -> list[float]:
@@ -49,14 +50,36 @@ def _rates(df: DataFrame, target: str) -> DataFrame:
     )
 
 
+def _binned_cells(rows: DataFrame, column: str, target: str, bins: int) -> tuple[list[float], DataFrame]:
+    """Distinct quantile edges, and (column, n, target) of cells that no edge cuts, or of the rows if the sketch was too poor."""
+    probs = [i / bins for i in range(bins + 1)]
+    first = sketched(rows, [column], probs)
+    if not first.counts[column]:
+        return [], rows
+    found = cells(rows, {column: first.brackets[column].values()}, target)
+    values = [found[column].quantile(q) for q in probs] if found is not None else [None]
+    if None in values:
+        each = rows.select(column, F.lit(1).cast("long").alias("n"), F.col(target).cast("double").alias("target"))
+        return quantile_cuts(rows, column, bins), each
+    table = found[column]
+    data = list(zip(table.values, table.rows, table.targets))
+    return sorted(set(values)), rows.sparkSession.createDataFrame(data, f"`{column}` double, n long, target double")
+
+
+def _cell_rates(binned: DataFrame) -> DataFrame:
+    """The same as `_rates` for rows that stand for `n` rows with a sum of `target`."""
+    rates = binned.groupBy("bin_no", "bin").agg((F.sum("target") / F.sum("n")).alias("rate"), F.sum("n").alias("n"))
+    return rates.withColumn("pct", 100 * F.col("rate"))
+
+
 def quantile_bin_rate(df: DataFrame, column: str, target: str, bins: int = 5, decimals: int = 2) -> DataFrame:
-    """Share of positives per quantile bin; repeated edges merge bins."""
+    """Share of positives per quantile bin, from two scans; repeated edges merge bins."""
     rows = df.select(F.col(column).cast("double").alias(column), target).dropna()
-    edges = quantile_cuts(rows, column, bins)
+    edges, table = _binned_cells(rows, column, target, bins)
     if len(edges) < 2:
         raise ValueError(f"column {column} has fewer than two distinct quantiles")
     number, text = cut_ladder(column, edges, cut_labels(edges, decimals))
-    return _rates(rows.withColumns({"bin_no": number, "bin": text}), target)
+    return _cell_rates(table.withColumns({"bin_no": number, "bin": text}))
 
 
 def discrete_overflow_bin(df: DataFrame, column: str, target: str, top: int = 5) -> DataFrame:
@@ -70,15 +93,15 @@ def discrete_overflow_bin(df: DataFrame, column: str, target: str, top: int = 5)
 def zero_own_bin(df: DataFrame, column: str, target: str, bins: int = 5, decimals: int = 2) -> DataFrame:
     """Zero as bin 0, the other values in quantile bins 1, 2, ...; one distinct value is one bin."""
     rows = df.select(F.col(column).cast("double").alias(column), target).dropna()
-    nonzero = rows.filter(F.col(column) != 0)
-    zero = rows.filter(F.col(column) == 0).select(F.lit(0).alias("bin_no"), F.lit("0").alias("bin"), target)
-    span = nonzero.agg(F.min(column), F.max(column)).first()
-    if span[0] is None:
-        return _rates(zero, target)
-    if span[0] == span[1]:
-        binned = nonzero.select(F.lit(1).alias("bin_no"), F.lit(f"{span[0]:.{decimals}f}").alias("bin"), target)
+    is_zero = F.col(column) == 0
+    at_zero = rows.filter(is_zero).select(F.lit(0).alias("bin_no"), F.lit("0").alias("bin"), target)
+    edges, table = _binned_cells(rows.filter(~is_zero), column, target, bins)
+    if not edges:
+        return _rates(at_zero, target)
+    if len(edges) == 1:
+        binned = table.select(F.lit(1).alias("bin_no"), F.lit(f"{edges[0]:.{decimals}f}").alias("bin"), "n", "target")
     else:
-        edges = quantile_cuts(nonzero, column, bins)
         number, text = cut_ladder(column, edges, cut_labels(edges, decimals))
-        binned = nonzero.select((number + 1).alias("bin_no"), text.alias("bin"), target)
-    return _rates(zero.unionByName(binned), target)
+        binned = table.select((number + 1).alias("bin_no"), text.alias("bin"), "n", "target")
+    zeros = at_zero.select("bin_no", "bin", F.lit(1).cast("long").alias("n"), F.col(target).cast("double").alias("target"))
+    return _cell_rates(zeros.unionByName(binned))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayline.functions.columns import as_list
-from stayline.functions.ordering import clean, exact_quantiles
+from stayline.functions.ordering import clean
+from stayline.functions.quantiles import two_scan_quantiles
 from stayline.operators.filters import varies
 
 
@@ -64,31 +65,18 @@ def duplicate_rows(df: DataFrame, keys, row_id: str) -> DataFrame:
     return tagged.join(groups, "_f").withColumn("is_extra", F.col(row_id) > F.col("_first")).drop("_f", "_first")
 
 
-def per_column(df: DataFrame, measures: Mapping[str, Mapping[str, Column]]) -> DataFrame:
-    """One aggregate over the wide table, turned into one row per column: {column: {measure: aggregate}}."""
-    one = df.agg(*[
-        agg.alias(f"_{i}_{name}") for i, aggs in enumerate(measures.values()) for name, agg in aggs.items()
-    ])
-    lines = [
-        F.struct(F.lit(c).alias("variable"), *[F.col(f"_{i}_{name}").alias(name) for name in aggs])
-        for i, (c, aggs) in enumerate(measures.items())
-    ]
-    return one.select(F.explode(F.array(*lines)).alias("l")).select("l.*")
-
-
 def describe(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    """count, mean, sample sd, min, exact quartiles and max per column."""
+    """count, mean, sample sd, min, exact quartiles and max per column, from two scans."""
     cols = list(cols)
-    quartiles = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
     measures = {}
-    for c in cols:
+    for i, c in enumerate(cols):
         v = clean(c)
-        p25, p50, p75 = (F.lit(x).cast("double") for x in quartiles[c])
-        measures[c] = {
-            "count": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "p25": p25, "p50": p50,
-            "p75": p75, "max": F.max(v),
-        }
-    return per_column(df, measures)
+        measures |= {f"n{i}": F.count(v), f"mean{i}": F.avg(v), f"std{i}": F.stddev_samp(v), f"min{i}": F.min(v), f"max{i}": F.max(v)}
+    quartiles, m = two_scan_quantiles(df, cols, [0.25, 0.5, 0.75], measures)
+    rows = [(c, m[f"n{i}"], m[f"mean{i}"], m[f"std{i}"], m[f"min{i}"], *quartiles[c], m[f"max{i}"]) for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(
+        rows, "variable string, count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
+    )
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
