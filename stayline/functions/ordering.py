@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,7 @@ HOT_ROWS = 5_000_000
 PARTS = 1024
 RANGE_SAMPLES = 16  # sampled rows per range of a hot key
 BROADCAST_KEYS = 10_000
+SUSPECTS, TRACKED = 10_000, 100_000  # frequent keys listed and followed by a sketch
 
 
 def same_key(left: DataFrame, right: DataFrame, keys: Iterable[str]) -> tuple[DataFrame, Column]:
@@ -32,6 +33,39 @@ def same_key(left: DataFrame, right: DataFrame, keys: Iterable[str]) -> tuple[Da
     return renamed, reduce(and_, (left[k].eqNullSafe(F.col(f"_same_{k}")) for k in keys))
 
 
+_COOL: dict[tuple, None] = {}  # tables known to have no hot key
+
+
+def suspected_keys(df: DataFrame, keys: list[str], weight: Column | None, threshold: float) -> list[int] | None:
+    """Hashes of all keys that may exceed the threshold; None if there is no telling.
+
+    One scan without a shuffle: it counts the rows (or sums the weight) and sketches the frequent keys while nothing is written.
+    Most tables are too small for a hot key, or have none; that is remembered per plan, so the operators on a table share it. Hot keys
+    only decide how rows are dealt, so a table that changes meanwhile costs time and not rows.
+    """
+    one = df.select(*keys, (F.lit(1) if weight is None else weight).alias("_size"))
+    known = (df.sparkSession.sparkContext.applicationId, one.semanticHash(), float(threshold))
+    if known in _COOL:
+        return []
+    seen = Observation()
+    top = F.call_function("approx_top_k", F.xxhash64(*keys), F.lit(SUSPECTS), F.lit(TRACKED))
+    total = F.count(F.lit(1)) if weight is None else F.sum("_size")
+    one.observe(seen, total.alias("total"), top.alias("top")).write.format("noop").mode("overwrite").save()
+    total = seen.get["total"] or 0
+    if total <= threshold:
+        found: list[int] | None = []
+    elif weight is not None or total / threshold > TRACKED / 10:  # the sketch misses no key above 3.5 / TRACKED of the rows
+        found = None
+    else:
+        found = [r["item"] for r in seen.get["top"] if r["count"] > threshold]
+        found = None if len(found) == SUSPECTS else found
+    if found == []:
+        if len(_COOL) > 10_000:
+            _COOL.clear()
+        _COOL[known] = None
+    return found
+
+
 def hot_edges(df: DataFrame, keys, order, *, weight: Column | None = None, threshold: float = HOT_ROWS) -> DataFrame | None:
     """(keys, _edges) of every key above `threshold` rows (or summed weight); None if there is none.
 
@@ -40,9 +74,13 @@ def hot_edges(df: DataFrame, keys, order, *, weight: Column | None = None, thres
     reading sees the same cuts. Their number rises with the key; there is no limit on keys or ranges.
     """
     keys = as_list(keys)
+    suspects = suspected_keys(df, keys, weight, threshold)
+    if suspects == []:
+        return None
     size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    rows = df if suspects is None else df.filter(F.xxhash64(*keys).isin(suspects))
     heavy = cut_lineage(
-        df.groupBy(*keys).agg(size.alias("_n"), F.count(F.lit(1)).alias("_rows")).filter(F.col("_n") > threshold)
+        rows.groupBy(*keys).agg(size.alias("_n"), F.count(F.lit(1)).alias("_rows")).filter(F.col("_n") > threshold)
         .withColumn("_ranges", F.ceil(F.col("_n") * 2 / threshold).cast("int"))
     )
     if heavy.isEmpty():

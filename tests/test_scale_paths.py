@@ -1,5 +1,7 @@
 """The paths taken for hot keys and large inputs must give the same results as the plain ones."""
 
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -194,3 +196,31 @@ def test_neighbours_of_few_or_equal_rows(spark):
     two = nearest_neighbors(same.filter("id < 2"), "id", "v", 5).collect()
     assert {r["key"]: [p["neighbor"] for p in r["near"]] for r in two} == {0: [1], 1: [0]}
     assert nearest_neighbors(same.limit(0), "id", "v").count() == 0
+
+
+def shuffles(spark, job):
+    """How many stages that write a shuffle the job ran, by the tracker."""
+    tracker, group = spark.sparkContext.statusTracker(), f"count-{uuid.uuid4()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        job()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(group)), len(tracker.getJobIdsForGroup(group))
+
+
+def test_tables_without_hot_keys_are_scanned_once_and_not_shuffled(spark, monkeypatch):
+    df = hot_stays(spark, 777)
+    stages, jobs = shuffles(spark, lambda: O.hot_edges(df, "subject_id", "hadm_id"))
+    assert (stages, jobs) == (1, 1)
+    assert shuffles(spark, lambda: O.hot_edges(df, "subject_id", "hadm_id")) == (0, 0)  # remembered
+    assert O.hot_edges(hot_stays(spark, 777), ["subject_id"], "admittime") is None
+    found = O.hot_edges(df, "subject_id", "hadm_id", threshold=200)
+    assert [r["subject_id"] for r in found.collect()] == [0]
+    monkeypatch.setattr(O, "SUSPECTS", 1)  # the list of suspects is full: every key is counted
+    assert [r["subject_id"] for r in O.hot_edges(df, "subject_id", "hadm_id", threshold=150).collect()] == [0]
+    none = df.withColumn("subject_id", F.lit(None).cast("long"))
+    assert [r["subject_id"] for r in O.hot_edges(none, "subject_id", "hadm_id", threshold=200).collect()] == [None]
+    assert O.hot_edges(df.limit(0), "subject_id", "hadm_id", threshold=1) is None
+    heavy = O.hot_edges(df, "subject_id", "hadm_id", weight=F.col("hadm_id"), threshold=100_000)
+    assert [r["subject_id"] for r in heavy.collect()] == [0]
