@@ -32,7 +32,18 @@ def work_table(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: lineage ends there."""
     folder = shared_folder(df.sparkSession)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    table = df.sparkSession.read.schema(df.schema).parquet(folder)
+    table.__dict__["_work_folder"] = folder
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a work table that nothing reads any more; other frames are left alone."""
+    folder = table.__dict__.pop("_work_folder", None)
+    if folder is not None:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def blank_to_empty(text: str) -> F.Column:

@@ -30,9 +30,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayline.llm.common import batch_texts, mixed, narrow, shuffle_parts, slices, word_hashes, work_table
+from stayline.llm.common import batch_texts, discard, mixed, narrow, shuffle_parts, slices, word_hashes, work_table
 
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 RANGES_PER_PARTITION = 2
 MIN_COUNT = 2
 PRIOR, FLOOR = 8.0, 0.5
@@ -166,7 +166,8 @@ def chunk_counts(chunks: DataFrame, ranges: int) -> DataFrame:
 
 
 def summed_counts(counts: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
-    """(part, chunk, differs, target, whole): for each chunk a bit per key, set where others have the key, and those keys' sums.
+    """(part, chunk, differs, and sums in target and whole): for each chunk a bit per key, set where others have the key, and
+    those keys' sums, packed as the counts are.
 
     Chunk -1 has the totals of the range.
     """
@@ -189,22 +190,16 @@ def summed_counts(counts: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
         word = (keys & _ONE).astype(bool)
         known = word & (sums[1] >= min_count)
         totals = np.array([*(s[word].sum() for s in sums), *(s[word & ~known].sum() for s in sums), known.sum()], np.int64)
-        out = [(part, -1, b"", totals.tobytes(), b"")]
+        out = [(part, -1, b"", totals.tobytes(), b"", b"", b"")]
         ends = np.cumsum([len(k) for k in own])
         for chunk, start, end in zip(rows.column("chunk").to_pylist(), ends - [len(k) for k in own], ends):
             told = [s[at[start:end]] for s in sums]
             differs = told[1] != mine[1][start:end]  # then no other chunk has the key
-            out.append((part, chunk, np.packbits(differs).tobytes(), *(_narrowed(t[differs]) for t in told)))
-        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["part", "chunk", "differs", "target", "whole"])
+            out.append((part, chunk, np.packbits(differs).tobytes(), *[x for t in told for x in packed_counts(t[differs])]))
+        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["part", "chunk", "differs", *_SENT])
 
-    return counts.groupBy("part").applyInArrow(run, "part int, chunk long, differs binary, target binary, whole binary")
-
-
-def _narrowed(sums: np.ndarray) -> bytes:
-    """Sums in four bytes each where that is enough; the first byte tells the width."""
-    width = 4 if not len(sums) or int(sums.max()) < 1 << 32 else 8
-    return bytes([width]) + sums.astype(f"u{width}").tobytes()
+    return counts.groupBy("part").applyInArrow(run, "part int, chunk long, differs binary, " + ", ".join(f"{c} binary" for c in _SENT))
 
 
 def _corpus_counts(chunk: Chunk, told: list[dict], ranges: int) -> list[np.ndarray]:
@@ -215,7 +210,7 @@ def _corpus_counts(chunk: Chunk, told: list[dict], ranges: int) -> list[np.ndarr
         start, end = cuts[row["part"]], cuts[row["part"] + 1]
         places = start + np.flatnonzero(np.unpackbits(np.frombuffer(row["differs"], np.uint8), count=end - start))
         for total, name in zip(sums, ("target", "whole")):
-            total[places] = np.frombuffer(row[name], f"u{row[name][0]}", offset=1)
+            total[places] = unpacked_counts(row[name], row[f"{name}_large"])
     return sums
 
 
@@ -263,6 +258,7 @@ def cross_entropy_difference(
     listed = chunks.select("chunk", F.posexplode("docs").alias("place", "doc")).filter("doc is not null")
     aims = listed.join(ids, "doc").groupBy("chunk").agg(F.collect_list("place").alias("aims"))
     aimed = work_table(chunks.join(aims, "chunk", "left"))
+    discard(chunks)
     sums = work_table(summed_counts(chunk_counts(aimed, ranges), min_count))
     found = [np.frombuffer(r["target"], np.int64) for r in sums.filter("chunk = -1").select("target").collect()]  # one per range
     t = sum(found, np.zeros(5, np.int64)).tolist()

@@ -33,13 +33,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayline.llm.common import mixed, narrow, shingle_set, slices, word_hashes, work_table
+from stayline.llm.common import discard, mixed, narrow, shingle_set, slices, word_hashes, work_table
 
 BINS, ROWS = 200, 5  # 40 bands of 5: a pair of similarity 0.8 shares no band with probability 1.3e-7
 LEAST_ESTIMATE = 0.14  # below the threshold by this much in the sketch (5 deviations at 0.8) needs no texts
 GROUP_ROWS = 2048  # members of a block or chunk whose sketches meet in a task
 GROUP_SHINGLES = 1_000_000  # the same for whole sets
-LIVE_ROUNDS = 3
+LIVE_ROUNDS = 2
 SALTS = 64
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -166,36 +166,34 @@ def components(links: DataFrame) -> DataFrame:
         edges = work_table(small.union(least.select("u", F.col("m").alias("v"))).distinct())
 
 
-def live_prefixes(members: DataFrame, texts: DataFrame, words: int, percent: int, rounds: int = LIVE_ROUNDS) -> DataFrame:
+def live_prefixes(
+    members: DataFrame, sizes: DataFrame, texts: DataFrame, words: int, percent: int, rounds: int = LIVE_ROUNDS
+) -> DataFrame:
     """(key, node, label, n, reach): the live shingles that a member must share with any partner in another component.
 
-    A partner has `reach` shingles at most. Rows are (node, label) of members whose partners are among the members.
+    A partner has `reach` shingles at most. Rows are (node, label) of members whose partners are among the members; `sizes` has
+    (node, n).
     """
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = whole_sets(part.column("text").to_pylist(), words)
-                sizes = [len(x) for x in sets]
-                take = np.repeat(np.arange(len(sets)), sizes)
-                columns = [part.column(c).take(pa.array(take)) for c in ("node", "label")]
+                take = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
                 items = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.record_batch([*columns, pa.array(np.repeat(sizes, sizes), pa.int64()), pa.array(items)], names=["node", "label", "n", "item"])
+                yield pa.record_batch([part.column("node").take(take), part.column("label").take(take), pa.array(items)], names=["node", "label", "item"])
 
-    items = members.join(texts, "node").select("node", "label", "text").mapInArrow(run, "node long, label long, n long, item long")
-    items = work_table(items)
+    texts_in = members.join(texts, "node").select("node", "label", "text")
+    items = table = work_table(texts_in.mapInArrow(run, "node long, label long, item long"))
     enough = F.col("live") * 100 >= F.col("n") * percent
     for _ in range(rounds):
         shared = items.groupBy("item").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("many"))
         left = work_table(items.join(shared.filter("lo <> hi").select("item", "many"), "item"))
-        counts = left.groupBy("node", "n").agg(F.count(F.lit(1)).alias("live"))
-        gone = counts.filter(~enough).select("node")
-        items = left.select("node", "label", "n", "item")
-        if gone.isEmpty():
-            break
-        kept = counts.filter(enough).select("node")
-        left = left.join(kept, "node", "left_semi")
-        items = items.join(kept, "node", "left_semi")
+        discard(table)
+        table = left
+        counts = left.groupBy("node").agg(F.count(F.lit(1)).alias("live")).join(sizes, "node")
+        items = left.join(counts.filter(enough).select("node"), "node", "left_semi").select("node", "label", "item")
+    left = left.join(sizes, "node")
     each = left.groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("many", "item"))).alias("items"))
     live = F.size("items")
     least = F.ceil(F.col("n") * percent / 100).cast("int")
@@ -364,8 +362,8 @@ def near_groups(
 
     # one pivot per bucket links most of what belongs together
     pairs = spokes.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = work_table(verified(work_table(likely(pairs, reps, percent / 100)), texts, words, percent))
-    labels = work_table(components(links).withColumnRenamed("doc", "node"))
+    links = verified(likely(pairs, reps, percent / 100), texts, words, percent)
+    labels = components(links).withColumnRenamed("doc", "node")
 
     # members of buckets that hold several components besides the pivot's links are searched in full
     label = F.coalesce("label", "node").alias("label")
@@ -373,7 +371,7 @@ def near_groups(
     open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     members = work_table(with_key_values(named, "key", open_keys).select("node", "label").distinct())
     if not members.isEmpty():
-        groups = work_table(live_prefixes(members, texts, words, percent))
+        groups = work_table(live_prefixes(members, reps.select("node", "n"), texts, words, percent))
         found = work_table(close_sketches(groups, reps, percent / 100, group_rows))
         clusters = components(found.filter("b is not null")).select(F.col("doc").alias("label"), F.col("label").alias("key"))
         close = found.filter("b is null").select(F.col("a").alias("node")).join(members, "node").join(clusters, "label")

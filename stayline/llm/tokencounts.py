@@ -127,7 +127,7 @@ def maintained(docs: DataFrame, rollup: Rollup, symbols: str = "#$%&*") -> DataF
     versions = lambda df, n: df.select("source", "lang", F.inline("counts")).select(*KEYS, F.col(n).alias("n_tokens"), "old_tokens")
     counts = versions(rows, "old_tokens")
     rollup.commit("insert", inserts(counts))
-    copies = work_table(later_copies(rows))
+    copies = later_copies(rows)
     rollup.commit("delete", deletes(versions(copies, "old_tokens")))
     revised = versions(rows, "n_tokens").filter("n_tokens is not null")
     rollup.commit("revise", revisions(revised))

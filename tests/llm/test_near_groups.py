@@ -54,7 +54,8 @@ def test_live_prefixes_lose_no_pair(spark):
     texts = hot_texts(4)
     sets = minhash.whole_sets(texts, 4)
     rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "node long, label long, text string")
-    found = minhash.live_prefixes(rows.select("node", "label"), rows.select("node", "text"), 4, 80).collect()
+    sizes = spark.createDataFrame([(i, len(x)) for i, x in enumerate(sets)], "node long, n long")
+    found = minhash.live_prefixes(rows.select("node", "label"), sizes, rows.select("node", "text"), 4, 80).collect()
     keys, reach = {}, {}
     for r in found:
         keys.setdefault(r["node"], set()).add(r["key"])
