@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,8 @@ HOT_ROWS = 5_000_000
 PARTS = 1024
 RANGE_SAMPLES = 16  # sampled rows per range of a hot key
 BROADCAST_KEYS = 10_000
+TOTALS_ROWS = 500_000  # most rows of a broadcast table of ranges
+SLICE_ROWS = 500_000
 SUSPECTS, TRACKED = 10_000, 100_000  # frequent keys listed and followed by a sketch
 
 
@@ -39,25 +41,26 @@ _COOL: dict[tuple, None] = {}  # tables known to have no hot key
 def suspected_keys(df: DataFrame, keys: list[str], weight: Column | None, threshold: float) -> list[int] | None:
     """Hashes of all keys that may exceed the threshold; None if there is no telling.
 
-    One scan without a shuffle: it counts the rows (or sums the weight) and sketches the frequent keys while nothing is written.
-    Most tables are too small for a hot key, or have none; that is remembered per plan, so the operators on a table share it. Hot keys
+    One aggregate without keys: it counts the rows (or sums the weight) and sketches the frequent keys, so one row per task is sent
+    on. Most tables are too small for a hot key, or have none; that is remembered per plan, so the operators on a table share it. Hot keys
     only decide how rows are dealt, so a table that changes meanwhile costs time and not rows.
     """
     one = df.select(*keys, (F.lit(1) if weight is None else weight).alias("_size"))
     known = (df.sparkSession.sparkContext.applicationId, one.semanticHash(), float(threshold))
     if known in _COOL:
         return []
-    seen = Observation()
     top = F.call_function("approx_top_k", F.xxhash64(*keys), F.lit(SUSPECTS), F.lit(TRACKED))
     total = F.count(F.lit(1)) if weight is None else F.sum("_size")
-    one.observe(seen, total.alias("total"), top.alias("top")).write.format("noop").mode("overwrite").save()
-    total = seen.get["total"] or 0
+    # the list is read only where it matters: small tables have as many frequent keys as rows
+    frequent = F.when(F.col("total") > threshold, F.filter("top", lambda t: t["count"] > threshold))
+    seen = one.agg(total.alias("total"), top.alias("top")).select("total", frequent.alias("top")).first()
+    total = seen["total"] or 0
     if total <= threshold:
         found: list[int] | None = []
     elif weight is not None or total / threshold > TRACKED / 10:  # the sketch misses no key above 3.5 / TRACKED of the rows
         found = None
     else:
-        found = [r["item"] for r in seen.get["top"] if r["count"] > threshold]
+        found = [r["item"] for r in seen["top"]]
         found = None if len(found) == SUSPECTS else found
     if found == []:
         if len(_COOL) > 10_000:
@@ -202,22 +205,20 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running sums along `order` inside each `by` group.
 
-    `df` holds one row per (by, order) value, so ties are already merged. The number of groups must be small
-    (columns of a profile, classes): their cut points are planned on the driver, parts-1 numbers per group.
+    `df` holds one row per (by, order) value, so ties are already merged. Each group has its own cut points, parts-1 numbers in a
+    table that its rows meet by the group; the table and the one of range totals are broadcast if they are counted small.
     Without groups, `edges` may hand in cut points that are known already.
     """
     by = as_list(by)
+    few = True
     if by:
-        found = df.groupBy(*by).agg(range_cuts(order, parts).alias("_edges")).collect()
-        index = F.lit(0)
-        for r in found:
-            here = F.lit(True)
-            for c in by:
-                here = here & F.col(c).eqNullSafe(F.lit(r[c]))
-            index = F.when(here, range_index(order, list(r["_edges"] or []), parts)).otherwise(index)
+        cuts = cut_lineage(df.groupBy(*by).agg(range_cuts(order, parts).alias("_edges")))
+        few = cuts.limit(TOTALS_ROWS // parts + 1).count() <= TOTALS_ROWS // parts
+        right, same = same_key(df, cuts, by)
+        joined = df.join(F.broadcast(right) if few else right, same).drop(*[f"_same_{k}" for k in by])
+        cut = joined.withColumn("_b", range_index(order, F.col("_edges"), parts)).drop("_edges")
     else:
-        index = range_index(order, quantile_edges(df, order, parts) if edges is None else edges, parts)
-    cut = df.withColumn("_b", index)
+        cut = df.withColumn("_b", range_index(order, quantile_edges(df, order, parts) if edges is None else edges, parts))
 
     direction = F.desc if descending else F.asc
     group = [F.col(c) for c in by] or [F.lit(0)]
@@ -229,33 +230,39 @@ def running_totals(
     inside = Window.partitionBy(*by, "_b").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
     inner = cut.select("*", *[F.sum(c).over(inside).alias(f"_i_{n}") for n, c in sums.items()])
     # base has at most `parts` rows per group
-    joined = inner.join(F.broadcast(base), [*by, "_b"])
+    right, same = same_key(inner, base, [*by, "_b"])
+    joined = inner.join(F.broadcast(right) if few else right, same)
     for n in sums:
         joined = joined.withColumn(n, F.col(f"_i_{n}") + F.col(f"_o_{n}"))
-    return joined.drop("_b", *[f"_i_{n}" for n in sums], *[f"_o_{n}" for n in sums])
+    return joined.drop("_b", *[f"_same_{k}" for k in [*by, "_b"]], *[f"_i_{n}" for n in sums], *[f"_o_{n}" for n in sums])
 
 
 def dense_rank_by_hash(
-    df: DataFrame, hash_col: str, ties, out: str, *, by=(), bits: int = 14
+    df: DataFrame, hash_col: str, ties, out: str, *, by=(), bits: int | None = None, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
-    """Exact row number 1..n in (hash, ties) order inside each `by` group, without one window per group.
+    """Exact row number 1..n in (hash, ties) order inside each `by` group, without an unbounded window.
 
-    The hash is uniform in [0, 2^32): its top bits cut each group into even slices. Offsets of the slices
-    are a table of 2^bits rows per group (few groups: classes), small enough to broadcast.
+    The hash is uniform in [0, 2^32): its top bits cut each group into even slices, as many as the rows ask for. Offsets of the
+    slices are a table of one row per slice and group, broadcast if it is counted small. With few rows there is one slice.
     """
     by, ties = as_list(by), as_list(ties)
-    cut = df.withColumn("_slice", F.shiftright(F.col(hash_col), 32 - bits))
+    if bits is None:
+        bits = min(28, max(0, math.ceil(math.log2(max(1, df.count()) / slice_rows))))
     group = [F.col(c) for c in by] or [F.lit(0)]
+    if not bits:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(hash_col, *ties)).cast("long"))
+    cut = df.withColumn("_slice", F.shiftright(F.col(hash_col), 32 - bits))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    base = cut.groupBy(*by, "_slice").count().select(
-        *by, "_slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base")
+    base = cut_lineage(cut.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))).select(
+        *by, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")
     )
+    few = base.limit(TOTALS_ROWS + 1).count() <= TOTALS_ROWS
     inside = Window.partitionBy(*by, "_slice").orderBy(hash_col, *ties)
+    numbered = cut.withColumn("_rn", F.row_number().over(inside))
+    right, same = same_key(numbered, base, [*by, "_slice"])
     return (
-        cut.withColumn("_rn", F.row_number().over(inside))
-        .join(F.broadcast(base), [*by, "_slice"])
-        .withColumn(out, F.col("_rn") + F.col("_base"))
-        .drop("_slice", "_rn", "_base")
+        numbered.join(F.broadcast(right) if few else right, same).withColumn(out, F.col("_rn") + F.col("_base"))
+        .drop("_slice", "_rn", "_base", *[f"_same_{k}" for k in [*by, "_slice"]])
     )
 
 

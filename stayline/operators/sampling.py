@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from stayline.functions.hashing import hash32, unit
 from stayline.functions.ordering import dense_rank_by_hash
+from stayline.operators.codes import small_table
+from stayline.session import cut_lineage
 
 
 def in_bucket(key, mod: int = 1000, bucket: int = 500, seed=None) -> Column:
@@ -32,8 +34,8 @@ def _class_rank(df: DataFrame, key: str, label: str, seed) -> DataFrame:
 
 
 def _class_sizes(df: DataFrame, label: str) -> DataFrame:
-    """One row per class, few by nature."""
-    return F.broadcast(df.groupBy(label).agg(F.count(F.lit(1)).alias("_size")))
+    """One row per class, broadcast if they are counted to be few."""
+    return small_table(cut_lineage(df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))))
 
 
 def stratified_split(
@@ -79,13 +81,21 @@ def draws(spark, n: int, m: int, seed) -> DataFrame:
     )
 
 
+def minority_sizes(df: DataFrame, label: str, minority=1) -> tuple[int, int]:
+    """Rows of the minority class, and of the largest other one."""
+    is_minority = F.col(label).eqNullSafe(F.lit(minority))
+    row = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).agg(
+        F.sum(F.when(is_minority, F.col("_n"))), F.max(F.when(~is_minority, F.col("_n")))
+    ).first()
+    return row[0] or 0, row[1] or 0
+
+
 def random_oversample(
     df: DataFrame, key: str, label: str, ratio: float = 0.5, seed: int = 42, minority: int = 1
 ) -> DataFrame:
     """Copies of minority rows until they reach ratio * majority; `draw` is NULL on original rows."""
-    sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    m = sizes.get(minority, 0)
-    target = int(ratio * max((n for c, n in sizes.items() if c != minority), default=0))
+    m, largest = minority_sizes(df, label, minority)
+    target = int(ratio * largest)
     base = df.withColumn("draw", F.lit(None).cast("long"))
     if m == 0 or target <= m:
         return base

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from stayline.functions.hashing import hash32, unit
 from stayline.functions.ordering import dense_rank_by_hash
-from stayline.operators.sampling import draws
+from stayline.operators.sampling import draws, minority_sizes
 from stayline.session import cut_lineage
 
 CENTRES = 4096  # at most; with the next bound the size of what is broadcast
@@ -198,9 +198,8 @@ def smote(
     """
     vec = F.col(vector).cast("array<double>").alias(vector)
     base = df.select(F.col(key).cast("long").alias(key), label, vec)
-    sizes = {r[label]: r["n"] for r in base.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    m = sizes.get(minority, 0)
-    target = int(ratio * max((n for c, n in sizes.items() if c != minority), default=0))
+    m, largest = minority_sizes(base, label, minority)
+    target = int(ratio * largest)
     kept = base.withColumn("draw", F.lit(None).cast("long"))
     if target <= m:
         return kept

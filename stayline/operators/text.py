@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.functions.columns import as_col, ordered_unique
+from stayline.functions.hashing import hash32
 from stayline.functions.scalars import WORD, word_count
 from stayline.operators.codes import MAX_BROADCAST_ROWS
 from stayline.sources.reference import EXTRA_STOP_WORDS, STOP_WORDS
+from stayline.session import cut_lineage
 
 
 def note_stats(df: DataFrame, text: str = "text") -> DataFrame:
@@ -88,16 +90,25 @@ def smooth_idf(df_col, n_docs) -> Column:
 
 
 def tfidf_long(df: DataFrame, key: str, tokens: str, max_features: int = 2000) -> DataFrame:
-    """(key, term, weight), each document scaled to length 1, over the top terms of the corpus."""
-    counts = term_counts(df, key, tokens)
-    n_docs = df.count()
+    """(key, term, weight), each document scaled to length 1, over the top terms of the corpus.
+
+    Terms are counted once and written; the vocabulary and the weights read the counts. Keys are unique.
+    """
+    # a null term in every document counts the documents
+    grams = F.concat(ngrams(tokens), F.array(F.lit(None).cast("string")))
+    each = df.select(key, F.explode_outer(F.coalesce(grams, F.array(F.lit(None).cast("string")))).alias("term"))
+    found = cut_lineage(each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+    n_docs = found.filter("term is null").agg(F.sum("tf")).first()[0] or 0
+    counts = found.filter("term is not null")
     top = vocabulary(counts, max_features)
     if max_features <= MAX_BROADCAST_ROWS:
         top = F.broadcast(top)
     raw = counts.join(top.drop("n"), "term").withColumn("_w", F.col("tf") * smooth_idf("df", F.lit(n_docs)))
     # at most max_features rows per document
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", (F.col("_w") / norm).alias("weight"))
+    terms = raw.groupBy(key).agg(
+        F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"), F.collect_list(F.struct("term", "_w")).alias("_terms")
+    )
+    return terms.select(key, "_norm", F.inline("_terms")).select(key, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
 
 
 def tfidf_vectors(df: DataFrame, key: str, tokens: str, max_features: int = 2000, out: str = "tfidf"):
@@ -129,25 +140,47 @@ def embed_attach(df: DataFrame, embeddings: DataFrame, key: str, vector: str = "
 
 def batch_embed(
     df: DataFrame, text: str, make_predictor: Callable[[], Callable], size: int, batch_size: int = 32,
-    out: str = "embedding",
+    out: str = "embedding", by_length: bool = True,
 ) -> DataFrame:
     """Embed texts in Arrow batches with a caller's model.
 
     `make_predictor` runs once per Python worker and returns a function from an array of texts to a
-    (batch, size) float array.
+    (batch, size) float array. With `by_length` the texts of a partition come in the order of their number of words, so a
+    batch holds texts of like length and a model pads little; rows stay in their partition.
     """
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql.types import ArrayType, FloatType
 
     udf = predict_batch_udf(make_predictor, return_type=ArrayType(FloatType()), batch_size=batch_size)
+    if by_length:
+        df = df.sortWithinPartitions(word_count(text))
     return df.withColumn(out, udf(F.coalesce(F.col(text), F.lit(""))))
 
 
-def hashing_predictor(size: int = 64, window: int = 128) -> Callable[[], Callable]:
-    """A deterministic stand-in model: mean of signed token hashes over windows of at most `window` tokens.
+def hashed_embedding(text, size: int = 64) -> Column:
+    """A stand-in model in built-in functions: for each slot the sum of the signs of the words that fall there, over all words.
 
-    Every window of the text counts, weighted by its tokens.
+    A word falls in the slot that its 32-bit hash names, with the sign of the hash's 17th bit. Texts without words give zeros.
     """
+    tokens = F.filter(F.split(F.lower(F.coalesce(as_col(text), F.lit(""))), r"\s+"), lambda t: t != "")
+
+    def mark(token: Column) -> Column:
+        code = hash32(token)
+        sign = F.when(F.floor(code / 65536) % 2 == 1, 1.0).otherwise(-1.0)
+        return F.struct((code % size).cast("int").alias("slot"), sign.alias("sign"))
+
+    def add(total: Column, m: Column) -> Column:
+        slots = F.transform(total["sums"], lambda v, i: v + F.when(i == m["slot"], m["sign"]).otherwise(0.0))
+        return F.struct(slots.alias("sums"), (total["n"] + 1).alias("n"))
+
+    start = F.struct(F.array_repeat(F.lit(0.0), size).alias("sums"), F.lit(0).alias("n"))
+    return F.aggregate(
+        F.transform(tokens, mark), start, add, lambda t: F.transform(t["sums"], lambda v: v / F.greatest(t["n"], F.lit(1)))
+    )
+
+
+def hashing_predictor(size: int = 64) -> Callable[[], Callable]:
+    """A deterministic stand-in model for `batch_embed`: mean of signed token hashes over all tokens of a text."""
 
     def make():
         import zlib
@@ -155,16 +188,13 @@ def hashing_predictor(size: int = 64, window: int = 128) -> Callable[[], Callabl
         import numpy as np
 
         def predict(texts):
-            rows = np.zeros((len(texts), size), dtype=np.float32)
-            for i, text in enumerate(texts):
-                tokens = str(text).lower().split()
-                for start in range(0, len(tokens), window):
-                    codes = np.array([zlib.crc32(t.encode()) for t in tokens[start:start + window]], dtype=np.int64)
-                    sign = np.where((codes >> 16) & 1, 1.0, -1.0)
-                    rows[i] += np.bincount(codes % size, weights=sign, minlength=size).astype(np.float32)
-                if tokens:
-                    rows[i] /= len(tokens)
-            return rows
+            tokens = [str(t).lower().split() for t in texts]
+            sizes = np.array([len(t) for t in tokens])
+            codes = np.fromiter((zlib.crc32(t.encode()) for row in tokens for t in row), np.int64, int(sizes.sum()))
+            sign = np.where((codes >> 16) & 1, 1.0, -1.0)
+            place = np.repeat(np.arange(len(tokens)), sizes) * size + codes % size
+            rows = np.bincount(place, weights=sign, minlength=len(tokens) * size).reshape(-1, size)
+            return (rows / np.maximum(sizes, 1)[:, None]).astype(np.float32)
 
         return predict
 

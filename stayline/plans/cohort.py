@@ -19,6 +19,7 @@ from stayline.operators.limits import cap_entities
 from stayline.operators.sampling import hash_bucket_sample, in_bucket
 from stayline.plans.labels import label_any_unplanned, label_lead
 from stayline.sources import reference as R
+from stayline.sources.tables import write_bucketed
 
 ELIX_FLAGS = C.flag_names([g for g, _ in R.ELIXHAUSER_WEIGHTS], "ex_")
 CHARLSON_WEIGHTS = {g: w for g, w, _, _ in R.CHARLSON}
@@ -30,13 +31,15 @@ VITALS = [
 def cohort_admission(
     tables: Mapping[str, DataFrame], *, sample_mod: int = 1000, sample_bucket: int | None = None, limit: int | None = None,
     charlson: DataFrame | None = None, elixhauser: DataFrame | None = None, threshold: float = HOT_ROWS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Stays with label, merged note, code counts and scores, labs, and one row per unit stay with vitals.
 
     `tables`: admissions, patients, notes, diagnoses, procedures, labs, lab_items, unit_stays, vitals,
     vital_items. The sample is applied first, to every table that has the stay id, so the feature
     aggregates never see rows outside it; the label alone is computed on the full table. Without `sample_bucket`
-    there is no sample, without `limit` no cut; the cut takes rows by hash, so both grains keep their shares.
+    there is no sample, without `limit` no cut; the cut takes rows by hash, so both grains keep their shares. With `buckets`
+    every feature table is written bucketed by the stay, and the joins need no shuffle.
     """
     spark = tables["admissions"].sparkSession
     charlson = charlson if charlson is not None else R.charlson_table(spark)
@@ -74,12 +77,13 @@ def cohort_admission(
     chart = chart.join(stays.select(F.col("icu_stay_id").alias("stay_id")), "stay_id", "left_semi")
     vitals = M.mean_pivot(chart).withColumnRenamed("stay_id", "icu_stay_id")
 
-    wide = left_chain(
-        base.join(notes, ["subject_id", "hadm_id"]),
-        (A.code_counts(dx), "hadm_id"), (A.code_counts(sampled("procedures"), prefix="proc"), "hadm_id"),
-        (scores, "hadm_id"), (labs, "hadm_id"), (stay_counts, "hadm_id"), (stays, "hadm_id"),
-        (vitals, "icu_stay_id"),
-    )
+    features = [
+        base.join(notes, ["subject_id", "hadm_id"]), A.code_counts(dx), A.code_counts(sampled("procedures"), prefix="proc"),
+        scores, labs, stay_counts, stays.join(vitals, "icu_stay_id", "left"),
+    ]
+    if buckets is not None:
+        features = [write_bucketed(f, "hadm_id", buckets) for f in features]
+    wide = left_chain(features[0], *[(f, "hadm_id") for f in features[1:]])
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("cci_score", "elix_vw_score", "icu_stay_count")}
     out = X.row_grain(wide.withColumns(zero), "icu_stay_id").withColumn(
         "map_mean_pref", F.coalesce("map_art_mean", "map_ni_mean")

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.functions.ordering import number_array
 from stayline.operators.limits import top_contributions
 from stayline.operators.text import snippet
+from stayline.plans.models import score
 
 
 def background_mean(df: DataFrame, features: str = "features", k: int = 50, seed: int = 42) -> list[float]:
@@ -44,6 +46,45 @@ def global_importance(phi: DataFrame) -> DataFrame:
     return phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("importance")).orderBy(F.desc("importance"), "feature")
 
 
+def _shifted(features, coefficients: Sequence[float], background: Sequence[float]) -> Column:
+    values = vector_to_array(features) if isinstance(features, str) else features
+    terms = F.arrays_zip(values.alias("x"), number_array(coefficients).alias("c"), number_array(background).alias("m"))
+    return F.transform(terms, lambda t: t["c"] * (t["x"] - t["m"]))
+
+
+def vector_importance(
+    df: DataFrame, features, names: Sequence[str], coefficients: Sequence[float], background: Sequence[float]
+) -> DataFrame:
+    """(feature, importance): mean absolute attribution of every feature, added up as vectors.
+
+    No row per row and feature is made: each task keeps one vector of sums, and one comes to the driver.
+    """
+    phi = df.select(array_to_vector(_shifted(features, coefficients, background)).alias("phi"))
+    found = phi.select(Summarizer.metrics("normL1", "count").summary(F.col("phi")).alias("s")).select("s.normL1", "s.count").first()
+    n = found["count"]
+    rows = [(name, float(total) / n) for name, total in zip(names, found["normL1"])] if n else []
+    table = df.sparkSession.createDataFrame(rows, "feature string, importance double")
+    return table.orderBy(F.desc("importance"), "feature")
+
+
+def chosen_attributions(
+    df: DataFrame, key: str, features, names: Sequence[str], coefficients: Sequence[float], background: Sequence[float],
+    wanted: Iterable[str],
+) -> DataFrame:
+    """(key, feature, value, phi) of the wanted features alone, in whatever order; unknown names give no rows."""
+    place = {n: i for i, n in enumerate(names)}
+    at = [place[w] for w in dict.fromkeys(wanted) if w in place]
+    values = vector_to_array(features) if isinstance(features, str) else features
+    picked = F.array(*[
+        F.struct(
+            F.lit(names[i]).alias("feature"), F.get(F.col("_x"), F.lit(i)).alias("value"),
+            (F.lit(float(coefficients[i])) * (F.get(F.col("_x"), F.lit(i)) - F.lit(float(background[i])))).alias("phi"),
+        )
+        for i in at
+    ]) if at else F.array().cast("array<struct<feature:string,value:double,phi:double>>")
+    return df.select(key, values.alias("_x")).select(key, F.inline(picked))
+
+
 def row_attribution(phi: DataFrame, key: str, value, base: float) -> DataFrame:
     """All contributions of one row, largest first, with the base value they add to."""
     return phi.filter(F.col(key) == value).withColumn("base", F.lit(float(base))).orderBy(F.desc(F.abs("phi")), "feature")
@@ -66,16 +107,21 @@ def token_contributions(phi: DataFrame, key: str, matched: DataFrame) -> DataFra
 
 
 def token_story(
-    contributions: DataFrame, rows: DataFrame, key: str, token: str, text: str, n: int = 15, extra: Iterable[str] = ()
+    contributions: DataFrame, rows: DataFrame, key: str, token: str, text: str, n: int = 15, extra: Iterable[str] = (),
+    model=None,
 ) -> DataFrame:
-    """The n most positive and negative rows among those that contain the token, with snippets."""
+    """The n most positive and negative rows among those that contain the token, with snippets.
+
+    With a `model`, `prob` is its probability for these rows; `rows` then hold its features.
+    """
     mine = contributions.filter((F.col("token") == token) & F.col("present")).select(key, "phi_token")
     extra = list(extra)
     top = top_contributions(mine, "phi_token", key, n)
     # at most 2n rows meet the texts
-    return rows.select(key, text, *extra).join(F.broadcast(top), key).select(
-        key, "side", "phi_token", *extra, snippet(text, token).alias("snippet")
-    )
+    found = rows.join(F.broadcast(top), key)
+    if model is not None:
+        found, extra = score(model, found), [*extra, "prob"]
+    return found.select(key, "side", "phi_token", *extra, snippet(text, token).alias("snippet"))
 
 
 def coefficient_sum(names: Sequence[str], coefficients: Sequence[float], matched: Iterable[str]) -> float:

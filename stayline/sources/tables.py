@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stayline.session import shared_folder
+
 
 def scan_table(spark: SparkSession, path: str, columns: Iterable[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return df.select(*columns) if columns else df
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header; give a schema in production, since inference reads the file twice."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
+    """CSV with a header; give a schema in production, since inference reads the file twice.
+
+    Values may hold line breaks with `multi_line`, and each file is one task; without it large files are split.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path)
 
@@ -82,6 +88,18 @@ def load_splits(
     return out
 
 
+def write_bucketed(df: DataFrame, key: str, buckets: int, name: str | None = None) -> DataFrame:
+    """`df` as a table of the session's catalog, bucketed and sorted by `key`, its files in the shared folder.
+
+    Tables with the same number of buckets are joined and grouped by `key` without a shuffle.
+    """
+    spark = df.sparkSession
+    name = name or f"stayline_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, key)  # one file per bucket
+    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", shared_folder(spark)).saveAsTable(name)
+    return spark.table(name)
+
+
 def write_run_log(spark: SparkSession, path: str, run: str, params: Mapping[str, object]) -> DataFrame:
     """Append the parameters of a run as (run, parameter, value) rows."""
     rows = [(run, k, json.dumps(v)) for k, v in sorted(params.items())]

@@ -108,17 +108,28 @@ cohort AS (SELECT CASE WHEN i.stay_id IS NULL THEN 'ADMISSION_ONLY' ELSE 'ICU_ST
   LEFT JOIN ci ON ci.hadm_id = a.hadm_id LEFT JOIN ef ON ef.hadm_id = a.hadm_id LEFT JOIN es ON es.hadm_id = a.hadm_id
   LEFT JOIN lw ON lw.hadm_id = a.hadm_id LEFT JOIN unit_stays i ON i.hadm_id = a.hadm_id
   LEFT JOIN ic ON ic.hadm_id = a.hadm_id LEFT JOIN vm ON vm.stay_id = i.stay_id
-  WHERE {hash_sql('a.hadm_id')} % 1000 < 500 ORDER BY grain_id LIMIT 10000)"""
+)"""
+SAMPLED_SQL = COHORT_SQL.removesuffix(")") + f"WHERE {hash_sql('a.hadm_id')} % 1000 < 500 ORDER BY {hash_sql('grain_id')}, grain_id LIMIT 10000)"
 ROUND_VITALS = ", ".join(f"round({c}, 6) AS {c}" for c in [*VITAL_COLS, "map_mean_pref"])
 
 
-def cohort(spark, sf):
-    return CO.cohort_admission({n: getattr(role, n)(spark, sf) for n in ROLES}, sample_bucket=500, limit=10_000)
+def cohort(spark, sf, **rules):
+    return CO.cohort_admission({n: getattr(role, n)(spark, sf) for n in ROLES}, **rules)
 
 
-@query("cohort_admission", with_roles(*ROLES, body=f"WITH {COHORT_SQL} SELECT * REPLACE ({ROUND_VITALS}) FROM cohort"))
+def rounded_vitals(df):
+    return df.withColumns({c: r6(c) for c in [*VITAL_COLS, "map_mean_pref"]})
+
+
+@query("cohort_admission", with_roles(*ROLES, body=f"WITH {SAMPLED_SQL} SELECT * REPLACE ({ROUND_VITALS}) FROM cohort"))
 def cohort_admission(spark, sf):
-    return cohort(spark, sf).withColumns({c: r6(c) for c in [*VITAL_COLS, "map_mean_pref"]})
+    return rounded_vitals(cohort(spark, sf, sample_bucket=500, limit=10_000))
+
+
+@query("cohort_admission_whole", with_roles(*ROLES, body=f"WITH {COHORT_SQL} SELECT * REPLACE ({ROUND_VITALS}) FROM cohort"))
+def cohort_admission_whole(spark, sf):
+    """Every stay: no sample, no limit, and joins of bucketed feature tables."""
+    return rounded_vitals(cohort(spark, sf, buckets=int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 COLLAPSED = CO.VITALS
@@ -151,12 +162,12 @@ def collapsed_features(spark, sf):
     )
 
 
-def patient_sql(extra: str) -> str:
+def patient_sql(extra: str, people: str = f"WHERE {hash_sql('subject_id')} % 1000 < 500 ORDER BY {hash_sql('subject_id')}, subject_id LIMIT 10000") -> str:
     return rf"""
 WITH el AS (SELECT a.* FROM admissions a LEFT JOIN patients p USING (subject_id)
   WHERE a.admittime IS NOT NULL AND a.dischtime IS NOT NULL AND a.deathtime IS NULL {extra}),
 ea AS (SELECT * FROM el QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY admittime, hadm_id) = 1),
-fp AS (SELECT subject_id FROM ea WHERE {hash_sql('subject_id')} % 1000 < 500 ORDER BY {hash_sql('subject_id')}, subject_id LIMIT 10000),
+fp AS (SELECT subject_id FROM ea {people}),
 na AS (SELECT ea.subject_id, ea.hadm_id, min(a.admittime) AS t FROM ea JOIN admissions a ON a.subject_id = ea.subject_id
   AND a.admittime > ea.dischtime AND date_sub('day', ea.dischtime, a.admittime) <= 30 AND a.admission_type <> 'ELECTIVE' GROUP BY 1, 2),
 dx AS (SELECT hadm_id, count(*) AS n_dx_codes FROM diagnoses GROUP BY 1),
@@ -169,17 +180,25 @@ FROM ea LEFT JOIN na ON na.subject_id = ea.subject_id LEFT JOIN dx ON dx.hadm_id
 WHERE ea.subject_id IN (SELECT subject_id FROM fp)"""
 
 
+SAMPLE = {"sample_bucket": 500, "target_n": 10_000}
+
+
 def patient_cohort(spark, sf, **rules):
     heart = role.vitals(spark, sf).withColumnRenamed("valuenum", "heart_rate")
     out = CO.cohort_patient(
-        role.admissions(spark, sf), role.diagnoses(spark, sf), role.procedures(spark, sf), heart,
-        sample_bucket=500, target_n=10_000, **rules,
+        role.admissions(spark, sf), role.diagnoses(spark, sf), role.procedures(spark, sf), heart, **rules
     )
     return out.withColumn("icu_mean_hr", r6("icu_mean_hr"))
 
 
 @query("cohort_patient", with_roles("admissions", "patients", "diagnoses", "procedures", "vitals", body=patient_sql("")))
 def cohort_patient(spark, sf):
+    return patient_cohort(spark, sf, **SAMPLE)
+
+
+@query("cohort_patient_whole", with_roles("admissions", "patients", "diagnoses", "procedures", "vitals", body=patient_sql("", "")))
+def cohort_patient_whole(spark, sf):
+    """Every person: no sample, no limit."""
     return patient_cohort(spark, sf)
 
 
@@ -187,7 +206,7 @@ def cohort_patient(spark, sf):
   AND NOT (p.dod IS NOT NULL AND p.dod BETWEEN CAST(a.dischtime AS DATE) AND CAST(a.dischtime AS DATE) + 30)
   AND a.hadm_id IN (SELECT hadm_id FROM notes WHERE text IS NOT NULL AND regexp_matches(trim(text), '\S'))""")))
 def cohort_patient_rules(spark, sf):
-    return patient_cohort(spark, sf, patients=role.patients(spark, sf), notes=role.notes(spark, sf))
+    return patient_cohort(spark, sf, patients=role.patients(spark, sf), notes=role.notes(spark, sf), **SAMPLE)
 
 
 EXTRACT = ["subject_id", "hadm_id", "admittime", "row_id", "stay_id", "intime", "admit_to_disch_hours"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from stayline.functions import scalars as S
@@ -141,11 +142,11 @@ def block_standardise(spark, sf):
     return out.select("doc_id", r6(F.col("f")[0]).alias("n_chars"), r6(F.col("f")[1]).alias("words"), F.col("f")[2].alias("toxic"))
 
 
-def fused_tables(spark, sf, **terms):
+def fused_tables(spark, sf, keep=None, **terms):
     df = features(spark, sf).select("doc_id", "toxic", "n_chars", S.word_count("text").alias("words"), "lang")
     vectors, _ = TX.tfidf_vectors(lemma_table(spark, sf), "doc_id", "lemmas", **terms)
     emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return TX.fuse_datasets(df, "doc_id", "toxic", ["n_chars", "words"], vectors, emb)
+    return TX.fuse_datasets(df, "doc_id", "toxic", ["n_chars", "words"], vectors, emb, keep=keep)
 
 
 @query("fuse_datasets", f"""WITH b AS (SELECT count(*) AS n FROM labels JOIN documents USING (doc_id) JOIN embeddings ON vec_id = doc_id)
@@ -159,23 +160,31 @@ def fuse_datasets(spark, sf):
     ])
 
 
-@query("fuse_datasets_whole", f"""WITH {GRAMS_SQL},
+FUSED_SQL = f"""{GRAMS_SQL},
 base AS (SELECT doc_id, toxic, n_chars, len(regexp_extract_all(text, '\\S+')) AS words, CAST(embedding AS DOUBLE[]) AS e
   FROM labels JOIN documents USING (doc_id) JOIN embeddings ON vec_id = doc_id),
 place AS (SELECT term, row_number() OVER (ORDER BY term) AS i FROM vocab),
+k AS (SELECT (SELECT count(*) FROM vocab) AS terms)"""
+
+
+def contents_sql(*structured: str) -> str:
+    """Width, sum and sum weighted by place of every row of the three tables."""
+    m = len(structured)
+    total, placed = " + ".join(structured), " + ".join(f"{i} * {c}" for i, c in enumerate(structured, 1))
+    return f"""WITH {FUSED_SQL},
 t AS (SELECT doc_id, sum(weight) AS s, sum(i * weight) AS p FROM tfidf JOIN place USING (term) GROUP BY 1),
 v AS (SELECT doc_id, sum(x) AS s, sum(i * x) AS p FROM (
   SELECT doc_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM base) GROUP BY 1),
-k AS (SELECT (SELECT count(*) FROM vocab) AS terms),
-b AS (SELECT doc_id, toxic, n_chars + words AS s, n_chars + 2 * words AS p, terms, len(e) AS dims,
+b AS (SELECT doc_id, toxic, {total} AS s, {placed} AS p, terms, len(e) AS dims,
   coalesce(t.s, 0) AS ts, coalesce(t.p, 0) AS tp, v.s AS vs, v.p AS vp
   FROM base CROSS JOIN k LEFT JOIN t USING (doc_id) JOIN v USING (doc_id)),
-f AS (SELECT 'tfidf' AS dataset, doc_id, toxic, 2 + terms AS width, s + ts AS total, p + tp + 2 * ts AS placed FROM b
-  UNION ALL SELECT 'embedding', doc_id, toxic, 2 + dims, s + vs, p + vp + 2 * vs FROM b
-  UNION ALL SELECT 'both', doc_id, toxic, 2 + terms + dims, s + ts + vs, p + tp + 2 * ts + vp + (2 + terms) * vs FROM b)
-SELECT dataset, doc_id, toxic, width, round(total, 4) AS total, round(placed, 4) AS placed FROM f""")
-def fuse_datasets_whole(spark, sf):
-    """Every row of the three tables with all 2000 terms: width, sum of the features and sum weighted by place."""
+f AS (SELECT 'tfidf' AS dataset, doc_id, toxic, {m} + terms AS width, s + ts AS total, p + tp + {m} * ts AS placed FROM b
+  UNION ALL SELECT 'embedding', doc_id, toxic, {m} + dims, s + vs, p + vp + {m} * vs FROM b
+  UNION ALL SELECT 'both', doc_id, toxic, {m} + terms + dims, s + ts + vs, p + tp + {m} * ts + vp + ({m} + terms) * vs FROM b)
+SELECT dataset, doc_id, toxic, width, round(total, 4) AS total, round(placed, 4) AS placed FROM f"""
+
+
+def contents(tables):
     x = F.col("x")
     add = lambda v: F.aggregate(v, F.lit(0.0), lambda t, y: t + y)
     return reduce(lambda a, b: a.unionByName(b), [
@@ -183,10 +192,39 @@ def fuse_datasets_whole(spark, sf):
             F.lit(n).alias("dataset"), "doc_id", "toxic", F.size(x).cast("long").alias("width"),
             F.round(add(x), 4).alias("total"), F.round(add(F.transform(x, lambda y, i: y * (i + 1))), 4).alias("placed"),
         )
-        for n, d in fused_tables(spark, sf).items()
+        for n, d in tables.items()
     ])
 
 
+@query("fuse_datasets_whole", contents_sql("n_chars", "words"))
+def fuse_datasets_whole(spark, sf):
+    """Every row of the three tables with all 2000 terms."""
+    return contents(fused_tables(spark, sf))
+
+
+@query("fuse_datasets_kept", contents_sql("words"))
+def fuse_datasets_kept(spark, sf):
+    """The same with the structured block cut to the kept columns."""
+    return contents(fused_tables(spark, sf, keep=["words", "absent"]))
+
+
+@query("global_importance_wide", f"""WITH {FUSED_SQL}, n AS (SELECT count(*) AS n FROM base),
+long AS (SELECT 0 AS i, n_chars AS x FROM base UNION ALL SELECT 1, words FROM base
+  UNION ALL SELECT 1 + place.i, weight FROM tfidf JOIN place USING (term) JOIN base USING (doc_id)
+  UNION ALL SELECT 1 + terms + i, x FROM (SELECT unnest(e) AS x, generate_subscripts(e, 1) AS i FROM base), k),
+m AS (SELECT i, sum(x) / any_value(n) AS m, any_value(n) - count(*) AS zeros, any_value(n) AS n FROM long, n GROUP BY 1),
+w AS (SELECT unnest(range(0, 2 + terms + (SELECT max(len(e)) FROM base))) AS i FROM k),
+a AS (SELECT i, (sum(abs(x - m)) + any_value(zeros * abs(m))) / any_value(n) AS away FROM long JOIN m USING (i) GROUP BY 1)
+SELECT 'f' || i AS feature, round(abs(i % 7 - 3) * coalesce(away, 0), 6) AS importance FROM w LEFT JOIN a USING (i)""")
+def global_importance_wide(spark, sf):
+    """Mean absolute attributions of all fused features, added up as vectors."""
+    df = fused_tables(spark, sf)["both"]
+    mean = df.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"]
+    names = [f"f{i}" for i in range(len(mean))]
+    slopes = [float(i % 7 - 3) for i in range(len(mean))]
+    return EX.vector_importance(df, "features", names, slopes, list(map(float, mean))).withColumn("importance", r6("importance"))
+
+
 # ---- models ----------------------------------------------------------------------------------------------------------
 
 def coefficients(model, spark):
@@ -489,3 +527,51 @@ def token_story(spark, sf):
     contributions = EX.token_contributions(phi, "doc_id", matched).withColumn("phi_token", F.round("phi_token", 9))
     out = EX.token_story(contributions, features(spark, sf), "doc_id", "heed", "text", extra=["toxic"])
     return out.withColumn("phi_token", r6("phi_token"))
+
+
+class GivenModel:
+    """A linear model with given slopes on the array column x."""
+
+    def __init__(self, slopes):
+        self.slopes = slopes
+
+    def transform(self, df):
+        odds = reduce(lambda a, b: a + b, [F.lit(float(b)) * F.col("x")[i] for i, b in enumerate(self.slopes)])
+        one = 1 / (1 + F.exp(-odds))
+        return df.withColumn("probability", array_to_vector(F.array(1 - one, one)))
+
+
+@query("token_story_scored", f"""WITH {X_SQL},
+s AS (SELECT doc_id, toxic, round(sum(phi), 9) AS v, text FROM phi JOIN x USING (doc_id)
+  WHERE feature = 'tfidf__heed' GROUP BY doc_id, toxic, text HAVING sum(value) > 0),
+top AS ((SELECT *, 'positive' AS side FROM s ORDER BY v DESC, doc_id LIMIT 15) UNION ALL (SELECT *, 'negative' FROM s ORDER BY v, doc_id LIMIT 15))
+SELECT doc_id, side, round(v, 6) AS phi_token, toxic, round(1 / (1 + exp(-({" + ".join(f"b{i} * x{i}" for i in range(1, 6))}))), 6) AS prob
+FROM top JOIN x USING (doc_id, toxic), c""")
+def token_story_scored(spark, sf):
+    """The token's strongest rows with the model's probability; only the matched features are attributed."""
+    df = features(spark, sf)
+    slopes, background = class_mean_model(df)
+    phi = EX.chosen_attributions(df, "doc_id", F.col("x"), NAMES, slopes, background, ["tfidf__heed"])
+    matched = F.broadcast(spark.createDataFrame([("heed", "tfidf__heed")], "token string, feature string"))
+    contributions = EX.token_contributions(phi, "doc_id", matched).withColumn("phi_token", F.round("phi_token", 9))
+    out = EX.token_story(contributions, df, "doc_id", "heed", "text", extra=["toxic"], model=GivenModel(slopes))
+    return out.drop("snippet").withColumns({"phi_token": r6("phi_token"), "prob": r6("prob")})
+
+
+@query("metrics_of_many_groups", """WITH o AS (SELECT o_custkey AS customer, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END AS y,
+  round(o_totalprice / 600000, 3) AS prob FROM orders),
+c AS (SELECT customer, prob, sum(y) AS p, count(*) - sum(y) AS n FROM o GROUP BY 1, 2),
+t AS (SELECT customer, sum(y) AS pos, count(*) - sum(y) AS neg, sum(y) FILTER (WHERE prob >= 0.5) AS tp, count(*) FILTER (WHERE prob >= 0.5) AS flagged FROM o GROUP BY 1),
+k AS (SELECT *, sum(p) OVER w AS tp_k, sum(n) OVER w AS fp_k FROM c WINDOW w AS (PARTITION BY customer ORDER BY prob DESC))
+SELECT customer, round(sum(tp_k / (tp_k + fp_k) * p / pos), 6) AS ap,
+  round(CASE WHEN any_value(neg) > 0 THEN sum(p * (neg - fp_k + n / 2)) / any_value(pos * neg) END, 6) AS roc_auc,
+  round(coalesce(any_value(tp) / nullif(any_value(flagged), 0), 0), 6) AS precision, round(coalesce(any_value(tp), 0) / any_value(pos), 6) AS recall
+FROM k JOIN t USING (customer) WHERE pos > 0 GROUP BY 1""")
+def metrics_of_many_groups(spark, sf):
+    """Ranking metrics of every customer's orders, each group with cut points of its own."""
+    urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int")
+    df = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("customer"), urgent.alias("y"), F.round(F.col("o_totalprice") / 600000, 3).alias("prob")
+    )
+    out = MO.fold_metrics(df, fold="customer", label="y")
+    return out.withColumns({c: r6(c) for c in ("ap", "roc_auc", "precision", "recall")})

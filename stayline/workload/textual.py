@@ -10,7 +10,7 @@ from stayline.session import cut_lineage
 from stayline.sources.reference import EXTRA_STOP_WORDS, STOP_WORDS
 from stayline.workload.registry import query
 from stayline.workload.relational import r6
-from stayline.workload.roles import table
+from stayline.workload.roles import hash_sql, table
 
 
 def quoted(values) -> str:
@@ -142,6 +142,16 @@ def batch_embed(spark, sf):
     return out.select("doc_id", "embedding")
 
 
+@query("hashed_embedding", f"""WITH k AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda t: t <> '')) AS tok FROM documents),
+h AS (SELECT doc_id, {hash_sql('tok')} AS c FROM k), n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY 1),
+s AS (SELECT doc_id, CAST(c % 16 AS INTEGER) AS slot, sum(CASE WHEN (c // 65536) % 2 = 1 THEN 1 ELSE -1 END) AS v FROM h GROUP BY 1, 2)
+SELECT doc_id, slot, round(v / n, 6) AS value FROM s JOIN n USING (doc_id) WHERE v <> 0""")
+def hashed_embedding(spark, sf):
+    """The slots of the stand-in model that aren't zero."""
+    slots = documents(spark, sf).select("doc_id", F.posexplode(TX.hashed_embedding("text", 16)).alias("slot", "value"))
+    return slots.filter("value <> 0").withColumn("value", r6("value"))
+
+
 @query("feature_token_match", f"""WITH {GRAMS_SQL}, t AS (SELECT unnest(['the', 'er', 'ion', 'tion en', 'eaux']) AS token),
 l AS (SELECT token, term AS feature, CASE WHEN regexp_matches(term, '(^|[^\\p{{L}}\\p{{N}}_])' || token || '([^\\p{{L}}\\p{{N}}_]|$)') THEN 1
   WHEN term = token THEN 2 WHEN contains(term, token) THEN 3 END AS lvl FROM vocab, t)
