@@ -1,10 +1,11 @@
 """Homomorphic multiset fingerprints of documents.
 
-A paragraph (text between line feeds) is hashed to a wide vector of LANES signs, +1 or -1, each a bit of a 64-bit hash
-with a seed of its own. The fingerprint is the sum of the vectors modulo 2^32: the order of paragraphs doesn't
-matter, and adding or taking away a paragraph adds or subtracts its vector. Empty paragraphs say nothing about likeness; they
-are counted in one number ahead of the lanes. Equal texts have equal fingerprints; two unlike paragraphs agree in all
-lanes by chance with probability 2^-LANES.
+A paragraph (text between line feeds) is hashed to a wide vector: WIDE numbers from the whole range of the modulus, and LANES
+signs, +1 or -1, each a bit of a 64-bit hash with a seed of its own. The fingerprint is the sum of the vectors modulo 2^32: the
+order of paragraphs doesn't matter, and adding or taking away a paragraph adds or subtracts its vector. Empty paragraphs say
+nothing about likeness; they are counted in one number ahead of the lanes. Equal texts have equal fingerprints. The sums of the
+wide numbers are spread evenly over all values, so two unlike multisets agree in them by chance with probability 2^-(32 WIDE), whatever their
+sizes; the sums of the signs are small, and tell likeness.
 
 The product of two texts' lanes, summed, estimates the product of their paragraph counts, so the cosine of the lanes
 estimates that of the paragraph multisets: the share of common paragraphs where both have as many and none repeats. It is cut
@@ -25,6 +26,7 @@ from stayline.functions.ordering import quantile_edges, range_index
 from stayline.llm.common import narrow, shuffle_parts
 
 LANES = 256
+WIDE = 16
 POWER = 1 << 32
 _PAIR = POWER + 1  # the lowest bit of both lanes of a number
 
@@ -34,12 +36,11 @@ def _signed(v: Column) -> Column:
 
 
 def vector(text: Column) -> Column:
-    """The number of empty paragraphs and the sums of all lanes, as array<bigint> of 1 + LANES numbers."""
+    """The number of empty paragraphs, the sums of all signs and of the wide numbers, as array<bigint> of 1 + LANES + WIDE numbers."""
     low = F.lit(POWER - 1)
     parts = F.split(text, "\n", -1)
-    words = F.transform(
-        F.filter(parts, lambda p: p != ""), lambda p: F.array(*[F.xxhash64(F.lit(w), p) for w in range(LANES // 64)])
-    )
+    filled = F.filter(parts, lambda p: p != "")
+    words = F.transform(filled, lambda p: F.array(*[F.xxhash64(F.lit(w), p) for w in range(LANES // 64)]))
 
     def add(total: Column, word: Column) -> Column:
         bits = lambda i: F.call_function("shiftrightunsigned", word[F.floor(i / 32).cast("int")], i % 32).bitwiseAND(F.lit(_PAIR))
@@ -49,7 +50,12 @@ def vector(text: Column) -> Column:
     sums = F.aggregate(words, F.array_repeat(F.lit(0).cast("long"), LANES // 2), add)
     lanes = F.transform(sums, lambda t: F.array(t, F.shiftright(t - _signed(t.bitwiseAND(low)), 32)))
     empty = F.size(F.filter(parts, lambda p: p == "")).cast("long")
-    return F.concat(F.array(empty), F.transform(F.flatten(lanes), lambda v: v.bitwiseAND(low)))
+    number = lambda p, i: F.xxhash64(F.lit(LANES // 64 + i), p).bitwiseAND(low)
+    wide = F.aggregate(
+        F.transform(filled, lambda p: F.array(*[number(p, i) for i in range(WIDE)])), F.array_repeat(F.lit(0).cast("long"), WIDE),
+        lambda total, numbers: F.zip_with(total, numbers, lambda x, y: (x + y).bitwiseAND(low)),
+    )
+    return F.concat(F.array(empty), F.transform(F.flatten(lanes), lambda v: v.bitwiseAND(low)), wide)
 
 
 def add_vectors(a: Column, b: Column) -> Column:

@@ -13,7 +13,7 @@ row holds its distinct words and each word's place among them, so texts are neit
 sends its distinct keys, with counts of a byte each and a list of larger ones, in key ranges to the tasks that add them up. It gets
 back a bit for each key, and the sums of those keys that other chunks have too. The number of ranges follows
 spark.sql.shuffle.partitions, not the number of chunks. A frequent pair travels once per chunk, no group is larger than a
-range's share, and no table is broadcast.
+range's share, and only the places of target documents are broadcast, if they are counted to be few.
 
 Defined cases: null or empty text has no words and scores 0; repeated rows are counted and come out each, with a null or repeated
 id too; a null id is never a target; without target documents, both models are equal and all scores are 0.
@@ -21,6 +21,7 @@ id too; a null id is never a target; without target documents, both models are e
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,10 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayline.llm.common import batch_texts, discard, mixed, narrow, shuffle_parts, slices, word_hashes, work_table
+from stayline.llm.common import SLICE_BYTES, batch_texts, mixed, narrow, shuffle_parts, slices, word_hashes, work_table
 
 CHUNK_BYTES = 4_000_000
 RANGES_PER_PARTITION = 2
+BROADCAST_PLACES = 4_000_000
 MIN_COUNT = 2
 PRIOR, FLOOR = 8.0, 0.5
 _ONE = np.uint64(1)
@@ -49,30 +51,52 @@ class Totals:
     vocabulary: int
 
 
+def packed_tokens(places: np.ndarray) -> bytes:
+    """Places in a vocabulary by frequency, byte by byte of each place: the higher bytes are mostly zero."""
+    return zlib.compress(places.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked_tokens(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64)
+
+
 def chunked(rows: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(chunk, docs, ends, vocabulary, tokens): one row per chunk of (doc, text) rows.
 
-    `vocabulary` has the chunk's distinct word hashes in order, `tokens` each word's place there, `ends` where texts end.
+    `vocabulary` has the chunk's distinct word hashes, frequent ones first, `tokens` each word's place there, `ends` where texts end.
     """
 
+    def row(number: int, docs: list, found: list) -> pa.RecordBatch:
+        words = np.concatenate([w for w, _ in found]) | _ONE
+        sizes = np.concatenate([np.diff(e, prepend=0) for _, e in found])
+        vocabulary, tokens, many = np.unique(words, return_inverse=True, return_counts=True)
+        order = np.argsort(-many, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return pa.record_batch(
+            [
+                pa.array([number], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([np.cumsum(sizes).astype(np.int64).tobytes()], pa.binary()),
+                pa.array([vocabulary[order].tobytes()], pa.binary()), pa.array([packed_tokens(rank[tokens])], pa.binary()),
+            ],
+            names=["chunk", "docs", "ends", "vocabulary", "tokens"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["chunk", "docs", "ends", "vocabulary", "tokens"]
         number = TaskContext.get().partitionId() << 32
+        docs: list = []
+        found: list = []
+        held = 0
         for batch in batches:
-            for part in slices(batch, "text", chunk_bytes):
-                found = [word_hashes(t.encode() for t in batch_texts(piece, "text")) for piece in slices(part, "text")]
-                words = np.concatenate([w for w, _ in found]) | _ONE
-                sizes = np.concatenate([np.diff(e, prepend=0) for _, e in found])
-                vocabulary, tokens = np.unique(words, return_inverse=True)
-                yield pa.record_batch(
-                    [
-                        pa.array([number], pa.int64()), pa.array([part.column("doc").to_pylist()], pa.list_(pa.int64())),
-                        pa.array([np.cumsum(sizes).astype(np.int64).tobytes()], pa.binary()),
-                        pa.array([vocabulary.tobytes()], pa.binary()), pa.array([tokens.astype(np.int32).tobytes()], pa.binary()),
-                    ],
-                    names=names,
-                )
-                number += 1
+            for part in slices(batch, "text", min(SLICE_BYTES, chunk_bytes)):
+                texts = [t.encode() for t in batch_texts(part, "text")]
+                docs += part.column("doc").to_pylist()
+                found.append(word_hashes(texts))
+                held += sum(map(len, texts))
+                if held >= chunk_bytes:
+                    yield row(number, docs, found)
+                    docs, found, held, number = [], [], 0, number + 1
+        if docs:
+            yield row(number, docs, found)
 
     return rows.select("doc", "text").mapInArrow(run, "chunk long, docs array<long>, ends binary, vocabulary binary, tokens binary")
 
@@ -82,7 +106,7 @@ class Chunk:
 
     def __init__(self, ends: bytes, vocabulary: bytes, tokens: bytes, aims: list[int] | None):
         words, self.ends = np.frombuffer(vocabulary, np.uint64), np.frombuffer(ends, np.int64)
-        places = np.frombuffer(tokens, np.int32).astype(np.int64)
+        places = unpacked_tokens(tokens)
         self.sizes = np.diff(self.ends, prepend=0)
         self.owner = np.repeat(np.arange(len(self.ends)), self.sizes)
         self.inner = np.flatnonzero(self.owner[1:] == self.owner[:-1]) + 1  # words with a word before them
@@ -110,22 +134,24 @@ class Chunk:
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys as the first one and steps, six bytes each where that is enough; the first byte tells the width."""
+    """Ascending keys as the first one and steps of six bytes each; (place, rest) of the steps that need more stand ahead."""
     steps = np.diff(keys, prepend=np.uint64(0))
     steps[:1] = 0
-    width = 6 if not len(keys) or int(steps.max()) < 1 << 48 else 8
-    return bytes([width]) + keys[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    large = np.flatnonzero(steps >> np.uint64(48))
+    rest = np.stack([large.astype(np.uint64), steps[large] >> np.uint64(48)])
+    head = np.array([len(large), keys[0] if len(keys) else 0], np.uint64)
+    return head.tobytes() + rest.tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
 def unpacked_keys(data: bytes) -> np.ndarray:
-    width = data[0]
-    if len(data) < 9:
-        return np.zeros(0, np.uint64)
-    body = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    many, first = np.frombuffer(data, np.uint64, 2)
+    place, rest = np.frombuffer(data, np.uint64, 2 * int(many), 16).reshape(2, -1)
+    body = np.frombuffer(data, np.uint8, offset=16 + 16 * int(many)).reshape(-1, 6)
     steps = np.zeros((len(body), 8), np.uint8)
-    steps[:, :width] = body
+    steps[:, :6] = body
     steps = steps.view(np.uint64).ravel()
-    return np.cumsum(steps, dtype=np.uint64) + np.frombuffer(data, np.uint64, 1, 1)[0]
+    steps[place.astype(np.int64)] |= rest << np.uint64(48)
+    return np.cumsum(steps, dtype=np.uint64) + first
 
 
 def packed_counts(counts: np.ndarray) -> tuple[bytes, bytes]:
@@ -256,9 +282,9 @@ def cross_entropy_difference(
     ranges = 1 << max(5, (RANGES_PER_PARTITION * shuffle_parts(docs) - 1).bit_length())
     ids = narrow(target, doc=id_col).select(F.col("doc").cast("long").alias("doc")).filter("doc is not null").distinct()
     listed = chunks.select("chunk", F.posexplode("docs").alias("place", "doc")).filter("doc is not null")
-    aims = listed.join(ids, "doc").groupBy("chunk").agg(F.collect_list("place").alias("aims"))
-    aimed = work_table(chunks.join(aims, "chunk", "left"))
-    discard(chunks)
+    aims = work_table(listed.join(ids, "doc").groupBy("chunk").agg(F.collect_list("place").alias("aims")))
+    few = (aims.agg(F.sum(F.size("aims"))).first()[0] or 0) <= BROADCAST_PLACES  # four bytes each
+    aimed = chunks.join(F.broadcast(aims) if few else aims, "chunk", "left")
     sums = work_table(summed_counts(chunk_counts(aimed, ranges), min_count))
     found = [np.frombuffer(r["target"], np.int64) for r in sums.filter("chunk = -1").select("target").collect()]  # one per range
     t = sum(found, np.zeros(5, np.int64)).tolist()

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stayline.llm import bpe, linededup, quality, tokencounts, toxicity, warc
+from stayline.llm import bpe, fingerprint, linededup, quality, tokencounts, toxicity, warc
 from stayline.llm.queries import byte_bpe, table, training
 from stayline.session import shared_folder
 from tests.llm.test_operators import ODD, frame
@@ -140,3 +140,17 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.score(docs, quality.fit(docs, labels, "quality")).count() == 0
     assert toxicity.score(docs, toxicity.fit(docs, labels, "toxic")).count() == 0
+
+
+def test_sums_reach_the_modulus_and_come_back(spark):
+    """Wide numbers wrap around, evenly spread, and taking paragraphs away in another order gives the rest's sums."""
+    parts = [f"paragraph {i}" for i in range(400)]
+    shuffled = random.Random(3).sample(parts, len(parts))
+    one = spark.createDataFrame([("\n".join(parts), "\n".join(shuffled), "\n".join(parts[:150]), "\n".join(reversed(parts[150:])))], "a string, b string, c string, d string")
+    row = one.select(*[fingerprint.vector(F.col(c)).alias(c) for c in one.columns]).withColumns({
+        "both": fingerprint.add_vectors(F.col("c"), F.col("d")), "rest": fingerprint.take_vectors(F.col("b"), F.col("d")),
+    }).first()
+    assert row["a"] == row["b"] == row["both"] and row["rest"] == row["c"]
+    wide = row["a"][-fingerprint.WIDE :]
+    assert max(wide) > fingerprint.POWER // 2 > min(wide) and len(set(wide)) == fingerprint.WIDE
+    assert len(row["a"]) == 1 + fingerprint.LANES + fingerprint.WIDE
