@@ -226,10 +226,14 @@ def fuse_datasets(
     }
 
 
+# What may stand before and after a token in a feature's name.
+TOKEN_START, TOKEN_END = r"(?:^|__|\b)", r"(?:\b|$)"
+
+
 def feature_token_match(features: DataFrame, name: str, tokens: Iterable[str]) -> DataFrame:
     """(token, feature): whole-word matches, else equal names, else names that contain the token."""
     specs = F.array(*[
-        F.struct(F.lit(t.lower()).alias("token"), F.lit(rf"(?U)(?:^|__|\b)\Q{t.lower()}\E(?:\b|$)").alias("pattern"))
+        F.struct(F.lit(t.lower()).alias("token"), F.lit(rf"(?U){TOKEN_START}\Q{t.lower()}\E{TOKEN_END}").alias("pattern"))
         for t in tokens
     ])
     low = F.lower(F.col(name))

@@ -59,10 +59,10 @@ def vector_importance(
 
     No row per row and feature is made: each task keeps one vector of sums, and one comes to the driver.
     """
-    phi = df.select(array_to_vector(_shifted(features, coefficients, background)).alias("phi"))
-    found = phi.select(Summarizer.metrics("normL1", "count").summary(F.col("phi")).alias("s")).select("s.normL1", "s.count").first()
-    n = found["count"]
-    rows = [(name, float(total) / n) for name, total in zip(names, found["normL1"])] if n else []
+    phi = df.select(F.lit(0).alias("all"), array_to_vector(_shifted(features, coefficients, background)).alias("phi"))
+    sums = phi.groupBy("all").agg(Summarizer.metrics("normL1", "count").summary(F.col("phi")).alias("s"))  # no row for no rows
+    found = sums.select("s.normL1", "s.count").first()
+    rows = [(name, float(total) / found["count"]) for name, total in zip(names, found["normL1"])] if found else []
     table = df.sparkSession.createDataFrame(rows, "feature string, importance double")
     return table.orderBy(F.desc("importance"), "feature")
 
@@ -122,10 +122,3 @@ def token_story(
     if model is not None:
         found, extra = score(model, found), [*extra, "prob"]
     return found.select(key, "side", "phi_token", *extra, snippet(text, token).alias("snippet"))
-
-
-def coefficient_sum(names: Sequence[str], coefficients: Sequence[float], matched: Iterable[str]) -> float:
-    wanted = set(matched)
-    return float(sum(c for n, c in zip(names, coefficients) if n in wanted))
-
-

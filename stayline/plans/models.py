@@ -486,19 +486,22 @@ def param_search(
 
 def penalty_summary(
     df: DataFrame, penalties: Iterable[str] = ("l1", "l2", "elasticnet"), n_trials: int = 3, metric: str = "roc_auc",
-    seed: int = 42, fold="fold", label="label", space: Mapping[str, Range] = LOGREG_SPACE, **fixed,
+    seed: int = 42, fold="fold", label="label", space: Mapping[str, Range] = LOGREG_SPACE, parallel: int = 3, **fixed,
 ) -> DataFrame:
-    """Best trial of each penalty with its out-of-fold metrics and F1 threshold."""
-    rows = []
-    for penalty in penalties:
+    """Best trial of each penalty with its out-of-fold metrics and F1 threshold; penalties are concurrent jobs."""
+
+    def summary(penalty: str) -> tuple:
         ranges = {**space, "l1_ratio": ELASTIC_RANGE} if penalty == "elasticnet" else dict(space)
         found = param_search(df, logreg_fit, ranges, n_trials, metric, seed, fold, label, penalty=penalty, **fixed)
         oof = cut_lineage(cross_val_oof(df, logreg_fit(label=label, penalty=penalty, **found.best_params, **fixed), fold))
         ranks = rank_metrics(oof, label)
         point = select_threshold(oof, "f1", label=label).first()
         at = threshold_metrics(oof, point["threshold"], label).first()
-        rows.append((penalty, ranks["roc_auc"], ranks["average_precision"], at["f1"], at["precision"], at["recall"],
-                     point["threshold"], {k: str(v) for k, v in found.best_params.items()}))
+        return (penalty, ranks["roc_auc"], ranks["average_precision"], at["f1"], at["precision"], at["recall"],
+                point["threshold"], {k: str(v) for k, v in found.best_params.items()})
+
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        rows = list(pool.map(summary, penalties))
     schema = ("penalty string, roc_auc double, avg_precision double, f1 double, precision double, recall double, "
               "threshold double, best_params map<string,string>")
     return df.sparkSession.createDataFrame(rows, schema)

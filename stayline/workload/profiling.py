@@ -9,7 +9,7 @@ from stayline.operators import metrics as ME
 from stayline.operators import profile as P
 from stayline.operators import sampling as SA
 from stayline.operators import scaling as SC
-from stayline.operators.limits import cap_entities
+from stayline.operators.limits import cap_entities, union_all
 from stayline.sources.tables import load_splits, save_splits
 from stayline.session import shared_folder
 from stayline.workload import roles as role
@@ -193,6 +193,27 @@ def splits(spark, sf):
     ).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").cast("long").alias("positives"))
 
 
+@query("split_contents", f"""WITH l AS (SELECT *, CASE WHEN {hash_sql('doc_id', 42)} / 4294967296.0 < 0.3 THEN 'test' ELSE 'train' END AS part FROM labels),
+o AS (SELECT *, CASE WHEN {hash_sql('o_orderkey', 42)} / 4294967296.0 < 0.3 THEN 'test' ELSE 'train' END AS part FROM orders)
+SELECT 'labels' AS dataset, 'X_' || part AS frame, doc_id AS id, quality AS value FROM l
+UNION ALL SELECT 'labels', 'y_' || part, NULL, toxic FROM l
+UNION ALL SELECT 'orders', 'X_' || part, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) FROM o UNION ALL SELECT 'orders', 'y_' || part, NULL, o_custkey FROM o""")
+def split_contents(spark, sf):
+    """Every row of two saved datasets, frame by frame."""
+    path = shared_folder(spark)
+    labels = SA.train_test_split(table(spark, sf, "labels").select("doc_id", "quality", "toxic"), "doc_id")
+    orders = SA.train_test_split(table(spark, sf, "orders").select("o_orderkey", F.floor("o_totalprice").alias("price"), "o_custkey"), "o_orderkey")
+    save_splits({"labels": labels, "orders": orders}, path)
+    parts = []
+    for name, id_col, value, label in (("labels", "doc_id", "quality", "toxic"), ("orders", "o_orderkey", "price", "o_custkey")):
+        for frame, df in load_splits(spark, path, name, label).items():
+            shown = [F.col(id_col), F.col(value)] if frame.startswith("X") else [F.lit(None), F.col(label)]
+            parts.append(df.select(
+                F.lit(name).alias("dataset"), F.lit(frame).alias("frame"), shown[0].cast("long").alias("id"), shown[1].cast("long").alias("value")
+            ))
+    return union_all(*parts)
+
+
 # ---- bins and scaling ------------------------------------------------------------------------------------------------
 
 def bins_sql(source: str, value: str, target: str, first: int = 0, zero: str = "") -> str:
@@ -279,6 +300,18 @@ def assign_scalers(spark, sf):
     return SC.assign_scalers(SC.scaler_stats(df, list(PROFILE)), ORDINAL).select("variable", "scaler")
 
 
+@query("scaler_reasons", stats_sql() + """
+SELECT variable, CASE WHEN variable = 'lines' AND outliers > 10 THEN '1: ordinal, more than 10 outliers' WHEN variable = 'lines' THEN '2: ordinal'
+  WHEN outliers < 5 AND abs(skewness) < 0.5 AND abs(kurtosis) < 3 AND "range" < 5 * iqr THEN '3: few outliers, near normal, narrow'
+  WHEN outliers < 5 AND abs(skewness) < 0.5 AND "range" < 10 * iqr THEN '4: few outliers, little skew'
+  WHEN abs(skewness) > 1 AND kurtosis > 2 THEN '5: strong skew and heavy tail'
+  WHEN outliers > 5 OR "range" > 10 * iqr OR abs(skewness) > 0.5 THEN '6: outliers, skew or a wide range' ELSE '7: none of the above' END AS why FROM s""")
+def scaler_reasons(spark, sf):
+    """The rule that chose each column's scaler."""
+    df = table(spark, sf, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in PROFILE.items()])
+    return SC.assign_scalers(SC.scaler_stats(df, list(PROFILE)), ORDINAL).select("variable", "why")
+
+
 METHODS = {"l_quantity": "MinMaxScaler", "l_extendedprice": "RobustScaler", "l_discount": "StandardScaler", "l_tax": "LogTransform"}
 
 

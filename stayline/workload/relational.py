@@ -144,6 +144,19 @@ def save_bundle(spark, sf):
     ])
 
 
+@query("bundle_contents", """SELECT 'customer' AS name, c_custkey AS id, md5(c_name) AS digest FROM customer
+UNION ALL SELECT 'supplier', s_suppkey, md5(s_name) FROM supplier UNION ALL SELECT 'part', p_partkey, md5(p_name) FROM part""")
+def bundle_contents(spark, sf):
+    """Every row of a bundle that was saved and loaded."""
+    path, columns = shared_folder(spark), {"customer": "c_custkey c_name", "supplier": "s_suppkey s_name", "part": "p_partkey p_name"}
+    IO.save_bundle({n: table(spark, sf, n) for n in columns}, path)
+    frames = IO.load_bundle(spark, path)
+    return T.union_all(*[
+        frames[n].select(F.lit(n).alias("name"), F.col(key).alias("id"), F.md5(F.col(value).cast("binary")).alias("digest"))
+        for n, (key, value) in ((n, c.split()) for n, c in columns.items())
+    ])
+
+
 @query("run_log", """SELECT parameter, value FROM (VALUES ('n_rows', (SELECT CAST(count(*) AS VARCHAR) FROM orders)),
   ('sample_bucket', '500'), ('sample_mod', '1000'), ('seed', '42')) t(parameter, value)""")
 def run_log(spark, sf):
