@@ -41,6 +41,7 @@ GROUP_ROWS = 2048  # members of a block or chunk whose sketches meet in a task
 GROUP_SHINGLES = 1_000_000  # the same for whole sets
 LIVE_ROUNDS = 2
 SALTS = 64
+BROADCAST_ROWS = 100_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -98,18 +99,36 @@ def sketches(docs: DataFrame, words: int, bins: int = BINS, rows: int = ROWS) ->
     return docs.mapInArrow(run, "doc long, mark long, n long, digest binary, sketch binary, bands array<long>")
 
 
-def with_key_values(rows: DataFrame, key: str, per_key: DataFrame, by: str = "node") -> DataFrame:
-    """Rows joined with one row per key; the rows of a hot key are dealt over SALTS tasks, which read the key's row once each."""
+def few_rows(table: DataFrame) -> bool:
+    """Whether a narrow table is counted to be small enough to be broadcast."""
+    return table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def with_key_values(rows: DataFrame, key: str, per_key: DataFrame, by: str = "node", narrow: bool = True) -> DataFrame:
+    """Rows joined with one row per key.
+
+    A narrow table of few keys is broadcast. Else the rows of a hot key are dealt over SALTS tasks, which read the key's row once each.
+    """
+    if narrow:
+        per_key = work_table(per_key)
+        if few_rows(per_key):
+            return rows.join(F.broadcast(per_key), key)
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
     named = salted.select(key, "salt").distinct().join(per_key, key)
     return salted.join(named, [key, "salt"]).drop("salt")
 
 
+def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the wanted (doc, mark, node), written once. Few wanted rows meet the texts where these are read."""
+    found = rows.join(F.broadcast(wanted) if few_rows(wanted) else wanted, ["doc", "mark"]).select("node", "text")
+    return work_table(found.dropDuplicates(["node"]))
+
+
 def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """Pairs of nodes whose sketches and sizes don't rule out the threshold."""
     side = lambda s: reps.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     # many pairs may share one pivot, b
-    both = with_key_values(pairs.join(side("a"), "a"), "b", side("b"), by="a").filter(
+    both = with_key_values(pairs.join(side("a"), "a"), "b", side("b"), by="a", narrow=False).filter(
         F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
     )
 
@@ -131,7 +150,7 @@ def whole_sets(texts: list, words: int) -> list[np.ndarray]:
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs of nodes whose whole sets have 100 * intersection >= percent * union."""
     side = lambda s: texts.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}"))
-    both = with_key_values(pairs.join(side("a"), "a"), "b", side("b"), by="a")
+    both = with_key_values(pairs.join(side("a"), "a"), "b", side("b"), by="a", narrow=False)
 
     def run(batches):
         for batch in batches:
@@ -355,15 +374,18 @@ def near_groups(
     name = F.when(F.col("contested"), F.xxhash64("digest").bitwiseOR(F.lit(-(1 << 63)))).otherwise(F.col("doc")).alias("node")
     nodes = work_table(classes.join(contested, "doc", "left").select("digest", "doc", "mark", name))
     reps = work_table(linkable.join(nodes, ["digest", "doc", "mark"]).dropDuplicates(["node"]))
-    texts = rows_in.join(reps.select("doc", "mark", "node"), ["doc", "mark"]).dropDuplicates(["node"]).select("node", "text")
+    of_reps = reps.select("doc", "mark", "node")
     spread = reps.select("node", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).filter("size > 1")
     spokes = work_table(with_key_values(spread, "key", shared.select("key", "pivot")))
 
     # one pivot per bucket links most of what belongs together
     pairs = spokes.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = verified(likely(pairs, reps, percent / 100), texts, words, percent)
-    labels = components(links).withColumnRenamed("doc", "node")
+    near = work_table(likely(pairs, reps, percent / 100))
+    ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = texts_of(rows_in, of_reps.join(ends, "node"))
+    labels = components(verified(near, texts, words, percent)).withColumnRenamed("doc", "node")
+    discard(texts)
 
     # members of buckets that hold several components besides the pivot's links are searched in full
     label = F.coalesce("label", "node").alias("label")
@@ -371,6 +393,7 @@ def near_groups(
     open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     members = work_table(with_key_values(named, "key", open_keys).select("node", "label").distinct())
     if not members.isEmpty():
+        texts = texts_of(rows_in, of_reps.join(members, "node").select("doc", "mark", "node"))
         groups = work_table(live_prefixes(members, reps.select("node", "n"), texts, words, percent))
         found = work_table(close_sketches(groups, reps, percent / 100, group_rows))
         clusters = components(found.filter("b is not null")).select(F.col("doc").alias("label"), F.col("label").alias("key"))
@@ -378,6 +401,7 @@ def near_groups(
         close = close.join(reps.select("node", "n"), "node").select("key", "node", "label", "n")
         edges = exact_links(close, texts, words, percent, group_shingles).filter("b is not null")
         merged = components(edges).select(F.col("doc").alias("label"), F.col("label").alias("final"))
+        discard(texts)
         labels = reps.select("node").join(labels, "node", "left").select("node", label).join(merged, "label", "left").select(
             "node", F.coalesce("final", "label").alias("label")
         )
