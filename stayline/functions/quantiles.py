@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from stayline.functions.ordering import clean, exact_quantiles, number_array
 
-SKETCH_K = 4096
+SKETCH_K = 16384
 RANK_ERROR = 3 * 2.296 / SKETCH_K**0.9021  # three times the sketch's 99 % error
 MOST_VALUES = 200_000  # rows of the small table that come to the driver
+PATTERN = 4  # columns whose cells are counted together
 
 
 @dataclass
@@ -102,44 +103,67 @@ class Cells:
 
 
 def cell_table(df: DataFrame, intervals: Mapping[str, list[tuple[float, float]]], target: str | None = None) -> DataFrame:
-    """The second scan: (col, cell, value, n, target). Cell 2i + 1 is interval i, and cell 2i the gap before it, without value."""
+    """The second scan: (id, cell, value, n, target).
+
+    In column i, cell 2k + 1 is interval k, cell 2k the gap before it, and the last cell, an odd one too, means no value. Rows with
+    id i have the values in the intervals of column i, but for intervals of one value. The cells of PATTERN columns together make one number, the `cell` of the rows with id -1, -2, ...:
+    a row of the data gives one of these per PATTERN columns, and one more for each value in an interval.
+    """
     names = list(intervals)
-    entries = []
+    inside, cells_of = [], []
     for i, c in enumerate(names):
         v = clean(c)
-        cell, value = F.lit(2 * len(intervals[c])), F.lit(None).cast("double")
+        cell, within = F.lit(2 * len(intervals[c])), F.lit(False)
         for k, (low, high) in reversed(list(enumerate(intervals[c]))):
-            inside = v <= high
-            value = F.when(v < low, F.lit(None).cast("double")).when(inside, v).otherwise(value)
-            cell = F.when(v < low, 2 * k).when(inside, 2 * k + 1).otherwise(cell)
-        entries.append(F.struct(F.lit(i).alias("col"), cell.alias("cell"), value.alias("value"), v.isNotNull().alias("known")))
-    summed = F.sum("target") if target else F.sum(F.lit(0.0))
+            cell = F.when(v < low, 2 * k).when(v <= high, 2 * k + 1).otherwise(cell)
+            if low < high:  # an interval of one value needs no more than its count
+                within = ((v >= low) & (v <= high)) | within
+        cells_of.append(F.when(v.isNull(), _empty_cell(intervals[c])).otherwise(cell).cast("long"))
+        inside.append(F.when(within, F.struct(F.lit(i).alias("id"), F.lit(0).cast("long").alias("cell"), v.alias("value"))))
+    patterns = []
+    for g, start in enumerate(range(0, len(names), PATTERN)):
+        code = F.lit(0).cast("long")
+        for c, cell in list(zip(names, cells_of))[start : start + PATTERN]:
+            code = code * (_empty_cell(intervals[c]) + 1) + cell
+        patterns.append(F.struct(F.lit(-1 - g).alias("id"), code.alias("cell"), F.lit(None).cast("double").alias("value")))
     at = F.col(target).cast("double") if target else F.lit(0.0)
-    rows = df.select(F.explode(F.array(*entries)).alias("e"), at.alias("target")) if len(entries) > 1 else df.select(
-        entries[0].alias("e"), at.alias("target")
-    )
-    return rows.filter("e.known").groupBy("e.col", "e.cell", "e.value").agg(F.count(F.lit(1)).alias("n"), summed.alias("target"))
+    rows = df.select(F.explode(F.array_compact(F.array(*patterns, *inside))).alias("e"), at.alias("target"))
+    return rows.groupBy("e.id", "e.cell", "e.value").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("target"))
+
+
+def _empty_cell(intervals: list[tuple[float, float]]) -> int:
+    return 2 * len(intervals) + 1
 
 
 def cells(
     df: DataFrame, intervals: Mapping[str, Iterable[tuple[float, float]]], target: str | None = None, most: int = MOST_VALUES
 ) -> dict[str, Cells] | None:
-    """Each column's cells from one scan; None if there are more than `most` values in all."""
+    """Each column's cells from one scan; None if there are more than `most` values and patterns in all."""
     cuts = {c: disjoint(v) for c, v in intervals.items()}
     names = list(cuts)
-    found = cell_table(df, cuts, target).limit(most + 1).collect()
-    if len(found) > most:
+    found = cell_table(df, cuts, target).limit(most + 1).toArrow()
+    if found.num_rows > most:
         return None
+    values: list[list] = [[] for _ in names]
+    counted: list[dict[int, list]] = [{} for _ in names]
+    for number, code, value, n, total in zip(*(found.column(k).to_pylist() for k in ("id", "cell", "value", "n", "target"))):
+        if number >= 0:
+            values[number].append((value, n, total, True))
+            continue
+        start = (-1 - number) * PATTERN
+        for i in reversed(range(start, min(start + PATTERN, len(names)))):
+            code, cell = divmod(code, _empty_cell(cuts[names[i]]) + 1)
+            held = counted[i].setdefault(cell, [0, 0.0])
+            held[0] += n
+            held[1] += total or 0.0
     out = {}
     for i, c in enumerate(names):
         lows, highs = [a for a, _ in cuts[c]] + [math.inf], [-math.inf] + [b for _, b in cuts[c]]
-        rows = sorted(
-            ((r["cell"], r["value"], r["n"], r["target"]) for r in found if r["col"] == i), key=lambda r: (r[0], r[1] is not None, r[1] or 0.0)
-        )
-        gap = lambda k: _between(highs[k // 2], lows[k // 2])
-        out[c] = Cells(
-            [gap(k) if v is None else v for k, v, _, _ in rows], [r[2] for r in rows], [r[3] for r in rows], [r[1] is not None for r in rows]
-        )
+        gaps = [(_between(highs[k // 2], lows[k // 2]), n, total, False) for k, (n, total) in counted[i].items() if k % 2 == 0]
+        single = {2 * k + 1: low for k, (low, high) in enumerate(cuts[c]) if low == high}
+        points = [(single[k], n, total, True) for k, (n, total) in counted[i].items() if k in single]
+        rows = sorted([*values[i], *gaps, *points])
+        out[c] = Cells([r[0] for r in rows], [r[1] for r in rows], [r[2] or 0.0 for r in rows], [r[3] for r in rows])
     return out
 
 
