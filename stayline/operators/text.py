@@ -13,7 +13,7 @@ from stayline.functions.hashing import hash32
 from stayline.functions.scalars import WORD, word_count
 from stayline.operators.codes import MAX_BROADCAST_ROWS
 from stayline.sources.reference import EXTRA_STOP_WORDS, STOP_WORDS
-from stayline.session import cut_lineage
+from stayline.session import written
 
 
 def note_stats(df: DataFrame, text: str = "text") -> DataFrame:
@@ -97,7 +97,7 @@ def tfidf_long(df: DataFrame, key: str, tokens: str, max_features: int = 2000) -
     # a null term in every document counts the documents
     grams = F.concat(ngrams(tokens), F.array(F.lit(None).cast("string")))
     each = df.select(key, F.explode_outer(F.coalesce(grams, F.array(F.lit(None).cast("string")))).alias("term"))
-    found = cut_lineage(each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+    found = written(each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
     n_docs = found.filter("term is null").agg(F.sum("tf")).first()[0] or 0
     counts = found.filter("term is not null")
     top = vocabulary(counts, max_features)
