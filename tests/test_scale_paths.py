@@ -223,3 +223,38 @@ def test_tables_without_hot_keys_are_scanned_once(spark, monkeypatch):
     assert O.hot_edges(df.limit(0), "subject_id", "hadm_id", threshold=1) is None
     heavy = O.hot_edges(df, "subject_id", "hadm_id", weight=F.col("hadm_id"), threshold=100_000)
     assert [r["subject_id"] for r in heavy.collect()] == [0]
+
+
+def test_terms_counted_in_place(spark, monkeypatch):
+    """Totals by row equal those by (key, term), also for words that look like pairs, and no key is shuffled."""
+    from stayline.operators import text as TX
+
+    rows = [(1, ["aa", "bb", "a", "aa", "bb"]), (2, ["aa bb", "aa", "bb"]), (3, []), (4, None), (None, ["cc", None, "cc"]), (6, ["x"])]
+    df = spark.createDataFrame(rows, "id long, g array<string>").coalesce(1)
+    for bigrams in (True, False):
+        want = {tuple(r) for r in TX.term_totals(df, "id", "g", bigrams).collect()}
+        assert want and {tuple(r) for r in TX.term_totals(df, "id", "g", bigrams, unique=True).collect()} == want
+    monkeypatch.setattr(TX, "BATCH_TOKENS", 3)
+    few = TX.term_totals(df.repartition(2), "id", "g", unique=True)
+    assert {tuple(r) for r in few.collect()} == {tuple(r) for r in TX.term_totals(df, "id", "g").collect()}
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" in plan and "hashpartitioning(id" not in plan
+    full = df.filter("size(g) > 0")
+    want = {(r["id"], r["term"]): round(r["weight"], 9) for r in TX.tfidf_long(full, "id", "g", 4).collect()}
+    assert {(r["id"], r["term"]): round(r["weight"], 9) for r in TX.tfidf_long(full, "id", "g", 4, unique=True).collect()} == want
+
+
+def test_lemmas_in_place(spark):
+    """Keys with several rows and null keys are merged by position, other rows stay where they are."""
+    from stayline.operators import text as TX
+
+    rows = [(1, "cats see dogs"), (2, "b cats"), (2, "a x9"), (None, "dogs"), (None, "cats"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    dictionary = spark.createDataFrame([("cats", "Cat"), ("dogs", None), (None, "no")], "token string, lemma string")
+    out = {r["id"]: r["lemmas"] for r in TX.lemma_normalize(df, "id", "t", dictionary, stop=["see"]).collect()}
+    assert out == {1: ["cat", "dogs"], 2: ["a", "b", "cat"], None: ["cat", "dogs"], 3: [], 4: []}
+    twice = dictionary.unionByName(spark.createDataFrame([("cats", "tom")], "token string, lemma string"))
+    again = {r["id"]: r["lemmas"] for r in TX.lemma_normalize(df, "id", "t", twice, stop=["see"]).collect()}
+    assert again[1] == ["cat", "tom", "dogs"]
+    single = TX.lemma_normalize(df.filter("id in (1, 3, 4)"), "id", "t", dictionary)
+    assert "Generate" not in single._jdf.queryExecution().executedPlan().toString()
