@@ -3,7 +3,8 @@
 Neighbours are found cell by cell. Rows belong to the nearest of a set of centres, which are fitted on a bounded sample, so that
 cells follow the data's clusters; a cell with many rows is cut into slots. A row looks inside its own slot first. The distance r of
 its k-th hit there rules out every cell whose centre is farther away than r plus the cell's radius, or farther than its own centre by
-more than 2 r, as no row of such a cell is nearer than r. The remaining cells are visited; each visit hands back k rows, not pairs.
+more than 2 r, as no row of such a cell is nearer than r. Slots that lie together form blocks, as many as tasks can share, and a row goes once to
+every block that holds a remaining cell, its own included; each visit hands back k rows, not pairs.
 The result is exact whatever the centres are. How many cells remain depends on the data: few where rows lie in clusters, all where
 distances are all alike, as they tend to be in many dimensions without clusters.
 """
@@ -22,12 +23,15 @@ from pyspark.sql import functions as F
 
 from stayline.functions.hashing import hash32, unit
 from stayline.functions.ordering import dense_rank_by_hash
+from stayline.operators.codes import small_table
 from stayline.operators.sampling import draws, minority_sizes
 from stayline.session import cut_lineage
 
 CENTRES = 4096  # at most; with the next bound the size of what is broadcast
 CENTRE_NUMBERS = 4_000_000
 SAMPLE_PER_CENTRE = 64
+BLOCK_NUMBERS = 2_000_000  # of the vectors of a block
+LEAST_BLOCKS = 8
 PAIR_BLOCK = 2_000_000  # distances held at a time in a task
 FOUND = "key long, neighbor long, dist double"
 
@@ -68,8 +72,10 @@ def _visits(visitors: DataFrame, members: DataFrame, k: int, cell_rows: int) ->
 
     A slot with many visitors is handled in several tasks, each with its own copy of the members.
     """
-    crowd = visitors.groupBy("cell", "slot").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("chunks"))
-    # one row per slot, joined by slot
+    # one row per slot, joined by slot; known beforehand, so that visitors are moved once
+    crowd = small_table(cut_lineage(
+        visitors.groupBy("cell", "slot").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("chunks"))
+    ))
     left = visitors.join(crowd, ["cell", "slot"]).withColumn("chunk", F.pmod(F.xxhash64("key"), "chunks").cast("int"))
     right = members.join(crowd, ["cell", "slot"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     keys = ["cell", "slot", "chunk"]
@@ -125,39 +131,53 @@ def in_cells(rows: DataFrame, centres: np.ndarray) -> DataFrame:
     return rows.select("key", "vec").mapInArrow(run, "key long, vec array<double>, cell int, away double")
 
 
-def cells_to_visit(bounded: DataFrame, centres: np.ndarray, radius: dict[int, float], slots: dict[int, int]) -> DataFrame:
-    """(key, vec, cell, slot) of every slot that may hold a row within `reach` (null: any), but the row's own."""
+def blocks_of(centres: np.ndarray, sizes: dict[int, int], slots: dict[int, int], block_rows: int) -> list[tuple[int, int, int]]:
+    """(cell, slot, block): slots of neighbouring cells, along the main axis of the centres, in blocks of about `block_rows` rows."""
+    cells = np.array(sorted(sizes))
+    middle = centres[cells] - centres[cells].mean(axis=0)
+    axis = np.linalg.svd(middle, full_matrices=False)[2][0]
+    out, before = [], 0.0
+    for cell in cells[np.argsort(middle @ axis, kind="stable")].tolist():
+        for slot in range(slots[cell]):
+            out.append((cell, slot, int(before / block_rows)))
+            before += sizes[cell] / slots[cell]
+    return out
+
+
+def blocks_to_visit(bounded: DataFrame, centres: np.ndarray, radius: dict[int, float], blocks: list[tuple[int, int, int]]) -> DataFrame:
+    """(key, vec, block) of every block that may hold a row within `reach` (null: any); the row's own block is one of them."""
     numbers = sorted(radius)
-    known = centres[numbers], np.array([radius[c] for c in numbers]), np.array(numbers), np.array([slots[c] for c in numbers])
+    held = {c: set() for c in numbers}
+    for cell, _, block in blocks:
+        held[cell].add(block)
+    first, last = (np.array([f(held[c]) for c in numbers]) for f in (min, max))  # the slots of a cell follow each other
+    known = centres[numbers], np.array([radius[c] for c in numbers]), first, last, 1 + max(b for _, _, b in blocks)
     shared = bounded.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                middle, wide, number, many = shared.value
+                middle, wide, lo, hi, n_blocks = shared.value
                 points = _matrix(part.column("vec"))
                 away = np.stack([np.sqrt(((p - middle) ** 2).sum(axis=1)) for p in points])
                 reach = pc.fill_null(part.column("reach"), np.inf).to_numpy(zero_copy_only=False)[:, None]
                 own = part.column("away").to_numpy(zero_copy_only=False)[:, None]
                 slack = 1e-9 * (1 + away)
                 at, to = np.nonzero((away - wide[None] <= reach + slack) & (away - own <= 2 * reach + slack))
-                each = many[to]
-                at, cell = np.repeat(at, each), np.repeat(number[to], each)
-                slot = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                mine = (cell == part.column("cell").to_numpy(zero_copy_only=False)[at]) & (slot == part.column("slot").to_numpy(zero_copy_only=False)[at])
-                at, cell, slot = at[~mine], cell[~mine], slot[~mine]
+                each = hi[to] - lo[to] + 1
+                offset = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                asked = np.zeros((len(points), n_blocks), bool)
+                asked[np.repeat(at, each), np.repeat(lo[to], each) + offset] = True
+                at, block = np.nonzero(asked)
                 for cut in range(0, len(at), 4096):
                     rows = pa.array(at[cut : cut + 4096])
                     yield pa.record_batch(
-                        [
-                            part.column("key").take(rows), part.column("vec").take(rows),
-                            pa.array(cell[cut : cut + 4096], pa.int32()), pa.array(slot[cut : cut + 4096], pa.int32()),
-                        ],
-                        names=["key", "vec", "cell", "slot"],
+                        [part.column("key").take(rows), part.column("vec").take(rows), pa.array(block[cut : cut + 4096], pa.int32())],
+                        names=["key", "vec", "block"],
                     )
 
-    return bounded.select("key", "vec", "cell", "slot", "away", "reach").mapInArrow(run, "key long, vec array<double>, cell int, slot int")
+    return bounded.select("key", "vec", "away", "reach").mapInArrow(run, "key long, vec array<double>, block int")
 
 
 def nearest_neighbors(df: DataFrame, key: str, vector: str, k: int = 5, cell_rows: int = 2048) -> DataFrame:
@@ -174,18 +194,21 @@ def nearest_neighbors(df: DataFrame, key: str, vector: str, k: int = 5, cell_row
         return _best(_visits(members, members, k, cell_rows), k)
     centres = centres_of(rows, n, cell_rows)
     placed = cut_lineage(in_cells(rows, centres))
-    found = placed.groupBy("cell").agg(F.max("away").alias("r"), F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("slots")).collect()
+    found = placed.groupBy("cell").agg(F.max("away").alias("r"), F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("slots")).collect()
     radius, slots = {r["cell"]: r["r"] for r in found}, {r["cell"]: r["slots"] for r in found}  # at most CENTRES rows
-    table = df.sparkSession.createDataFrame(list(slots.items()), "cell int, slots int")
-    members = cut_lineage(
-        placed.join(F.broadcast(table), "cell").withColumn("slot", F.pmod(F.xxhash64("key"), "slots").cast("int")).drop("slots")
-    )
+    block_rows = max(cell_rows, min(BLOCK_NUMBERS // max(1, centres.shape[1]), math.ceil(n / LEAST_BLOCKS)))
+    blocks = blocks_of(centres, {r["cell"]: r["n"] for r in found}, slots, block_rows)
+    many = df.sparkSession.createDataFrame(list(slots.items()), "cell int, slots int")
+    table = df.sparkSession.createDataFrame(blocks, "cell int, slot int, block int")
+    slot = F.pmod(F.xxhash64("key"), "slots").cast("int")
+    slotted = placed.join(F.broadcast(many), "cell").withColumn("slot", slot).drop("slots")
+    members = cut_lineage(slotted.join(F.broadcast(table), ["cell", "slot"]))
     own = cut_lineage(_best(_visits(members, members, k, cell_rows), k))
     reach = F.when(F.size("near") >= k, F.element_at("near", -1)["dist"])
     bounded = members.join(own, "key", "left").withColumn("reach", reach)
-    others = cells_to_visit(bounded, centres, radius, slots)
-    inside = own.select("key", F.explode("near").alias("p")).select("key", "p.neighbor", "p.dist")
-    return _best(_visits(others, members, k, cell_rows).unionByName(inside), k)
+    visitors = blocks_to_visit(bounded, centres, radius, blocks)
+    as_slots = lambda rows: rows.select("key", "vec", F.col("block").alias("cell"), F.lit(0).alias("slot"))
+    return _best(_visits(as_slots(visitors), as_slots(members), k, block_rows), k)
 
 
 def smote(

@@ -258,3 +258,36 @@ def test_lemmas_in_place(spark):
     assert again[1] == ["cat", "tom", "dogs"]
     single = TX.lemma_normalize(df.filter("id in (1, 3, 4)"), "id", "t", dictionary)
     assert "Generate" not in single._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbours_without_clusters_move_few_copies(spark, monkeypatch):
+    """Where every cell is visited, a row is moved once per block, not once per cell."""
+    points = np.random.default_rng(3).normal(0, 1, (2000, 32))
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "id long, v array<double>")
+    seen, plain = [], SM._visits
+    monkeypatch.setattr(SM, "_visits", lambda v, m, k, c: seen.append(v) or plain(v, m, k, c))
+    got = {r["key"]: [p["neighbor"] for p in r["near"]] for r in nearest_neighbors(df, "id", "v", 5, 50).collect()}
+    for i in range(0, 2000, 301):
+        dist = np.sqrt(((points - points[i]) ** 2).sum(axis=1))
+        dist[i] = np.inf
+        assert got[i] == np.lexsort((np.arange(2000), dist))[:5].tolist()
+    assert seen[1].count() <= 2000 * 9
+
+
+def test_stays_of_a_cut_are_found_by_their_ids(spark):
+    from stayline.functions.hashing import hash32
+    from stayline.plans import cohort as CO
+
+    base = spark.range(60).selectExpr("id % 7 AS subject_id", "id AS hadm_id")
+    base = base.unionByName(base.filter("hadm_id < 5"))  # stays may repeat
+    notes = spark.range(100).selectExpr("id % 50 % 7 AS subject_id", "id % 50 AS hadm_id", "CASE WHEN id % 9 > 0 THEN 'x' ELSE ' ' END AS text")
+    units = spark.range(90).selectExpr("id % 30 AS hadm_id", "id * 10 AS stay_id")
+    unit = {}
+    for r in units.collect():
+        unit.setdefault(r["hadm_id"], []).append(str(r["stay_id"]))
+    noted = {(r["subject_id"], r["hadm_id"]) for r in notes.filter("text = 'x'").collect()}
+    grains = [(g, r["hadm_id"]) for r in base.collect() if tuple(r) in noted for g in unit.get(r["hadm_id"], [f"HADM_{r['hadm_id']}"])]
+    codes = {r["g"]: r["h"] for r in spark.createDataFrame([(g,) for g, _ in grains], "g string").select("g", hash32("g").alias("h")).collect()}
+    want = {h for _, _, h in sorted((codes[g], g, h) for g, h in grains)[:10]}
+    got = [r["hadm_id"] for r in CO._stays_within(base, notes, units, 10).collect()]
+    assert sorted(got) == sorted(want)
