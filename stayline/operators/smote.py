@@ -3,7 +3,7 @@
 Neighbours are found cell by cell. Rows belong to the nearest of a set of centres, which are fitted on a bounded sample, so that
 cells follow the data's clusters; a cell with many rows is cut into slots. A row looks inside its own slot first. The distance r of
 its k-th hit there rules out every cell whose centre is farther away than r plus the cell's radius, or farther than its own centre by
-more than 2 r, as no row of such a cell is nearer than r. Slots that lie together form blocks, as many as tasks can share, and a row goes once to
+more than 2 r, as no row of such a cell is nearer than r. Slots that lie together form blocks, larger where rows ask for many cells, and a row goes once to
 every block that holds a remaining cell, its own included; each visit hands back k rows, not pairs.
 The result is exact whatever the centres are. How many cells remain depends on the data: few where rows lie in clusters, all where
 distances are all alike, as they tend to be in many dimensions without clusters.
@@ -32,6 +32,7 @@ CENTRE_NUMBERS = 4_000_000
 SAMPLE_PER_CENTRE = 64
 BLOCK_NUMBERS = 2_000_000  # of the vectors of a block
 LEAST_BLOCKS = 8
+VISIT_SAMPLE = 2000  # rows, about, that tell how many cells a row asks for
 PAIR_BLOCK = 2_000_000  # distances held at a time in a task
 FOUND = "key long, neighbor long, dist double"
 
@@ -196,19 +197,25 @@ def nearest_neighbors(df: DataFrame, key: str, vector: str, k: int = 5, cell_row
     placed = cut_lineage(in_cells(rows, centres))
     found = placed.groupBy("cell").agg(F.max("away").alias("r"), F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("slots")).collect()
     radius, slots = {r["cell"]: r["r"] for r in found}, {r["cell"]: r["slots"] for r in found}  # at most CENTRES rows
-    block_rows = max(cell_rows, min(BLOCK_NUMBERS // max(1, centres.shape[1]), math.ceil(n / LEAST_BLOCKS)))
-    blocks = blocks_of(centres, {r["cell"]: r["n"] for r in found}, slots, block_rows)
-    many = df.sparkSession.createDataFrame(list(slots.items()), "cell int, slots int")
-    table = df.sparkSession.createDataFrame(blocks, "cell int, slot int, block int")
-    slot = F.pmod(F.xxhash64("key"), "slots").cast("int")
-    slotted = placed.join(F.broadcast(many), "cell").withColumn("slot", slot).drop("slots")
-    members = cut_lineage(slotted.join(F.broadcast(table), ["cell", "slot"]))
+    sizes = {r["cell"]: r["n"] for r in found}
+    table = df.sparkSession.createDataFrame(list(slots.items()), "cell int, slots int")
+    members = cut_lineage(
+        placed.join(F.broadcast(table), "cell").withColumn("slot", F.pmod(F.xxhash64("key"), "slots").cast("int")).drop("slots")
+    )
     own = cut_lineage(_best(_visits(members, members, k, cell_rows), k))
     reach = F.when(F.size("near") >= k, F.element_at("near", -1)["dist"])
     bounded = members.join(own, "key", "left").withColumn("reach", reach)
+    # the more cells some rows ask for, the larger the blocks; the result is the same
+    few = cut_lineage(bounded.filter(unit("key", seed="visits") < VISIT_SAMPLE / n))
+    asked = blocks_to_visit(few, centres, radius, blocks_of(centres, sizes, slots, cell_rows)).count() / max(1, few.count())
+    most = min(BLOCK_NUMBERS // max(1, centres.shape[1]), math.ceil(n / LEAST_BLOCKS), int(cell_rows * asked / 4))
+    block_rows = max(cell_rows, most)
+    blocks = blocks_of(centres, sizes, slots, block_rows)
     visitors = blocks_to_visit(bounded, centres, radius, blocks)
+    numbered = df.sparkSession.createDataFrame(blocks, "cell int, slot int, block int")
+    inside = members.select("key", "vec", "cell", "slot").join(F.broadcast(numbered), ["cell", "slot"])
     as_slots = lambda rows: rows.select("key", "vec", F.col("block").alias("cell"), F.lit(0).alias("slot"))
-    return _best(_visits(as_slots(visitors), as_slots(members), k, block_rows), k)
+    return _best(_visits(as_slots(visitors), as_slots(inside), k, block_rows), k)
 
 
 def smote(
