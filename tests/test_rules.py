@@ -316,3 +316,17 @@ def test_cohort_patient_is_capped_before_features(spark):
     got = out.collect()
     assert len(got) == 20 == len({r["subject_id"] for r in got})
     assert all(r["hadm_id"] == r["subject_id"] and r["n_dx_codes"] == 2 and r["los_hours"] == 1 for r in got)
+
+
+def test_whole_cohort_patient_adds_facts_up_before_they_meet_stays(spark):
+    stays = spark.range(12).select(
+        (F.col("id") % 4).alias("subject_id"), F.col("id").alias("hadm_id"),
+        F.timestamp_seconds(F.col("id") * 86400).alias("admittime"), F.timestamp_seconds(F.col("id") * 86400 + 3600).alias("dischtime"),
+        F.lit(None).cast("timestamp").alias("deathtime"), F.lit("URGENT").alias("admission_type"))
+    codes = spark.createDataFrame([(0, "a"), (0, "a"), (1, "b"), (7, "c"), (None, "d")], "hadm_id long, icd_code string")
+    rate = spark.createDataFrame([(0, 60.0), (0, 70.0), (2, None), (None, 1.0)], "hadm_id long, heart_rate double")
+    out = CO.cohort_patient(stays, codes, codes.filter("hadm_id = 1"), rate)
+    assert rows(out, "hadm_id", "n_dx_codes", "n_px_codes", "icu_mean_hr") == [
+        (0, 2, None, 65.0), (1, 1, 1, None), (2, None, None, None), (3, None, None, None)
+    ]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [hadm_id") == 1
