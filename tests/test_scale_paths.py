@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from stayline.functions import ordering as O
 from stayline.functions.hashing import hash32
 from stayline.operators import aggregates as A
+from stayline.operators import joins as J
+from stayline.operators import measures as M
 from stayline.operators import windows as W
 from stayline.operators import smote as SM
 from stayline.operators.smote import nearest_neighbors, smote
+from stayline.plans import cohort as CO
 from stayline.plans import labels as L
 
 
@@ -291,3 +294,14 @@ def test_stays_of_a_cut_are_found_by_their_ids(spark):
     want = {h for _, _, h in sorted((codes[g], g, h) for g, h in grains)[:10]}
     got = [r["hadm_id"] for r in CO._stays_within(base, notes, units, 10).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_many_rows_are_dealt_into_tasks_of_bounded_rows(spark):
+    df = spark.range(3000).select((F.col("id") % 700).alias("k"), "id")
+    assert J.dealt(df, "k", 3000, per_task=1500) is df
+    many = J.dealt(df, "k", 3000, per_task=100)
+    assert many.rdd.getNumPartitions() == 30
+    tasks = many.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("k").alias("k"), F.count("*").alias("n"))
+    assert tasks.agg(F.sum("k"), F.sum("n")).first() == (700, 3000)  # a key is in one task
+    wide = M.mean_pivot(many.withColumn("label", F.lit("Heart Rate")), key="k", value="id")
+    assert wide.rdd.getNumPartitions() == 30  # the pivot needs no other shuffle
