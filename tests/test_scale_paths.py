@@ -305,3 +305,44 @@ def test_many_rows_are_dealt_into_tasks_of_bounded_rows(spark):
     assert tasks.agg(F.sum("k"), F.sum("n")).first() == (700, 3000)  # a key is in one task
     wide = M.mean_pivot(many.withColumn("label", F.lit("Heart Rate")), key="k", value="id")
     assert wide.rdd.getNumPartitions() == 30  # the pivot needs no other shuffle
+
+
+
+def cohort_tables(spark):
+    at = lambda c: F.to_timestamp_ntz(F.date_add(F.lit("2020-01-01").cast("date"), c.cast("int")))
+    n = spark.range(60)
+    stays = n.select(
+        (F.col("id") % 20).alias("subject_id"), F.col("id").alias("hadm_id"), at(F.col("id")).alias("admittime"), at(F.col("id") + 3).alias("dischtime"),
+        F.when(F.col("id") % 15 == 5, at(F.col("id"))).alias("deathtime"), F.lit("URGENT").alias("admission_type"))
+    notes = n.filter("id % 4 = 0").select(
+        # some notes are blank, some name another person
+        (F.col("id") % 20 + F.when(F.col("id") == 8, 1).otherwise(0)).alias("subject_id"), F.col("id").alias("hadm_id"), F.col("id").alias("note_id"),
+        F.when(F.col("id") == 12, "  ").otherwise("a note").alias("text"), at(F.col("id")).alias("charttime"), at(F.col("id")).alias("storetime"))
+    codes = n.crossJoin(spark.range(2).toDF("j")).select(
+        F.col("id").alias("hadm_id"), F.when(F.col("j") == 0, "I50.9").otherwise("Z00").alias("icd_code"), F.lit(10).alias("icd_version"))
+    labs = n.select("id", F.col("id").alias("hadm_id"), F.lit(1).alias("itemid"), at(F.col("id")).alias("charttime"), F.col("id").cast("double").alias("valuenum"))
+    units = n.filter("id % 3 < 2").select(F.col("id").alias("hadm_id"), (F.col("id") * 10).alias("stay_id"), at(F.col("id")).alias("intime"), at(F.col("id") + 1).alias("outtime"))
+    vitals = n.crossJoin(spark.range(3).toDF("j")).select(
+        (F.col("id") * 10).alias("stay_id"), F.lit(1).cast("long").alias("itemid"), F.when(F.col("j") < 2, F.col("id") + F.col("j")).cast("double").alias("valuenum"))
+    return {
+        "admissions": stays, "patients": spark.range(20).select(F.col("id").alias("subject_id"), F.lit(None).cast("date").alias("dod")), "notes": notes,
+        "diagnoses": codes, "procedures": codes, "labs": labs.withColumnRenamed("id", "event_id"), "unit_stays": units, "vitals": vitals,
+        "lab_items": spark.createDataFrame([(1, "Sodium")], "itemid int, label string"),
+        "vital_items": spark.createDataFrame([(1, "Heart Rate", "chartevents")], "itemid long, label string, linksto string"),
+    }
+
+
+def test_whole_cohort_builds_only_stays_with_a_note(spark, monkeypatch):
+    tables = cohort_tables(spark)
+    seen = []
+    counts = A.code_counts
+    monkeypatch.setattr(CO.A, "code_counts", lambda df, **k: seen.append(df.select("hadm_id").distinct().count()) or counts(df, **k))
+    few = CO.cohort_admission(tables)
+    got = sorted(map(str, few.collect()))
+    noted = {r["hadm_id"] for r in few.collect()}
+    assert noted == {i for i in range(0, 60, 4) if i not in (8, 12) and i % 15 != 5}
+    assert seen == [len(noted)] * 2
+    assert {r["hadm_id"]: r["hr_mean"] for r in few.collect() if r["icu_stay_id"] is not None} == {i: i + 0.5 for i in noted if i % 3 < 2}
+    monkeypatch.setattr(CO, "STAY_IDS", 3)  # too many to be broadcast: every stay is built, with the same rows
+    assert sorted(map(str, CO.cohort_admission(tables).collect())) == got
+    assert seen[2:] == [60, 60]
