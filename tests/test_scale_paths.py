@@ -307,6 +307,12 @@ def test_many_rows_are_dealt_into_tasks_of_bounded_rows(spark):
     assert wide.rdd.getNumPartitions() == 30  # the pivot needs no other shuffle
 
 
+def test_weights_without_a_heavy_key_are_added_up_once(spark):
+    df = spark.range(4000).select((F.col("id") % 40).alias("k"), "id", F.lit(10).alias("w"))
+    check = lambda: O.hot_edges(df, "k", "id", weight=F.col("w"), threshold=2000)  # noqa: E731  # 40,000 in all, 1000 a key
+    assert check() is None
+    assert shuffles(spark, check) == (0, 0)  # remembered, though the whole is above the threshold
+
 
 def cohort_tables(spark):
     at = lambda c: F.to_timestamp_ntz(F.date_add(F.lit("2020-01-01").cast("date"), c.cast("int")))
