@@ -41,6 +41,7 @@ GROUP_ROWS = 2048  # members of a block or chunk whose sketches meet in a task
 GROUP_SHINGLES = 1_000_000  # the same for whole sets
 LIVE_ROUNDS = 2
 SALTS = 64
+HOT_KEY = 2048  # rows of a key that may meet in one task
 BROADCAST_ROWS = 100_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -104,24 +105,48 @@ def few_rows(table: DataFrame) -> bool:
     return table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
-def with_key_values(rows: DataFrame, key: str, per_key: DataFrame, by: str = "node", narrow: bool = True) -> DataFrame:
+def with_key_values(
+    rows: DataFrame, key: str, per_key: DataFrame, by: str = "node", narrow: bool = True, size: str | None = None
+) -> DataFrame:
     """Rows joined with one row per key.
 
-    A narrow table of few keys is broadcast. Else the rows of a hot key are dealt over SALTS tasks, which read the key's row once each.
+    A narrow table of few keys is broadcast. If its column `size` tells the rows of each key, hot keys are broadcast and the others'
+    rows are moved once. Else the rows of a hot key are dealt over SALTS tasks, which read the key's row once each.
     """
     if narrow:
         per_key = work_table(per_key)
         if few_rows(per_key):
             return rows.join(F.broadcast(per_key), key)
+    if size is not None:
+        hot = per_key.filter(F.col(size) > HOT_KEY)
+        if hot.isEmpty():
+            return rows.join(per_key, key)
+        if few_rows(hot):
+            cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(per_key.filter(F.col(size) <= HOT_KEY), key)
+            return cold.union(rows.join(F.broadcast(hot), key))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
     named = salted.select(key, "salt").distinct().join(per_key, key)
     return salted.join(named, [key, "salt"]).drop("salt")
 
 
+def one_per_node(rows: DataFrame) -> DataFrame:
+    """A work table with one of the rows of each node, which are alike. Only nodes with several rows are moved."""
+    table = work_table(rows)
+    many = work_table(table.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("node"))
+    if many.isEmpty():
+        return table
+    if few_rows(many):
+        many = F.broadcast(many)
+    several = table.join(many, "node", "left_semi").dropDuplicates(["node"])
+    out = work_table(table.join(many, "node", "left_anti").union(several))
+    discard(table)
+    return out
+
+
 def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, text) of the wanted (doc, mark, node), written once. Few wanted rows meet the texts where these are read."""
     found = rows.join(F.broadcast(wanted) if few_rows(wanted) else wanted, ["doc", "mark"]).select("node", "text")
-    return work_table(found.dropDuplicates(["node"]))
+    return one_per_node(found)
 
 
 def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -373,11 +398,11 @@ def near_groups(
     contested = classes.groupBy("doc").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("doc", F.lit(True).alias("contested"))
     name = F.when(F.col("contested"), F.xxhash64("digest").bitwiseOR(F.lit(-(1 << 63)))).otherwise(F.col("doc")).alias("node")
     nodes = work_table(classes.join(contested, "doc", "left").select("digest", "doc", "mark", name))
-    reps = work_table(linkable.join(nodes, ["digest", "doc", "mark"]).dropDuplicates(["node"]))
+    reps = one_per_node(linkable.join(nodes, ["digest", "doc", "mark"]))
     of_reps = reps.select("doc", "mark", "node")
     spread = reps.select("node", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).filter("size > 1")
-    spokes = work_table(with_key_values(spread, "key", shared.select("key", "pivot")))
+    spokes = work_table(with_key_values(spread, "key", shared, size="size").select("key", "node", "pivot"))
 
     # one pivot per bucket links most of what belongs together
     pairs = spokes.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()

@@ -90,3 +90,19 @@ def test_rectangular_counts():
     sets = [[np.unique(r.integers(0, 9000, r.integers(0, 900)).astype(np.uint64)) for _ in range(n)] for n in (7, 11)]
     want = [[len(np.intersect1d(a, b)) for b in sets[1]] for a in sets[0]]
     assert (minhash.common_counts(*sets) == want).all()
+
+
+def test_rows_meet_their_key_once_and_nodes_are_kept_once(spark, monkeypatch):
+    rows = spark.range(6000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id") % 50).alias("key"), F.col("id").alias("node"))
+    per_key = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).filter("key < 40")
+    expected = sorted(map(tuple, rows.join(per_key, "key").select("key", "node", "size", "pivot").collect()))
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", 10)  # too many keys to be broadcast, few hot ones
+    for hot in (1000, 100_000):
+        monkeypatch.setattr(minhash, "HOT_KEY", hot)
+        got = minhash.with_key_values(rows, "key", per_key, size="size")
+        assert sorted(map(tuple, got.select("key", "node", "size", "pivot").collect())) == expected
+        assert "xxhash64" not in got._jdf.queryExecution().optimizedPlan().toString()  # no salt: rows are moved once
+    single = minhash.one_per_node(spark.createDataFrame([(1, "a"), (2, "b")], "node long, text string"))
+    assert "Deduplicate" not in single._jdf.queryExecution().analyzed().toString()
+    repeated = minhash.one_per_node(spark.createDataFrame([(1, "a"), (2, "b"), (1, "a"), (3, "c")], "node long, text string"))
+    assert sorted(map(tuple, repeated.collect())) == [(1, "a"), (2, "b"), (3, "c")]
