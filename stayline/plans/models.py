@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -25,7 +26,7 @@ from stayline.functions.ordering import running_totals
 from stayline.functions.scalars import ratio
 from stayline.operators.limits import union_all
 from stayline.operators.metrics import rank_metrics, select_threshold, threshold_metrics
-from stayline.session import cut_lineage
+from stayline.session import cut_lineage, even_parts
 
 WEIGHT = "_weight"
 STOPPING = "_stopping"
@@ -395,13 +396,23 @@ class _Search:
         self.resample, self.prune, self.need_all = resample, prune, need_all
         self.lock = threading.Lock()
         self.best: float | None = None
-
-    def resampled(self, train: DataFrame) -> DataFrame:
-        """Rows of the sampler; those given if it refuses them (a minority that is too small)."""
-        try:
-            return self.resample(train)
-        except ValueError:
-            return train
+        self.drawn: dict = {}
+        self.drawing = {f: threading.Lock() for f in folds}
+
+    def resampled(self, f, train: DataFrame) -> DataFrame:
+        """Rows of the sampler for a fold; those given if it refuses them (a minority that is too small).
+
+        They are the same for every trial, so the first to ask has them drawn and stored. If it is given up meanwhile, the next one does.
+        """
+        with self.drawing[f]:
+            if f not in self.drawn:
+                try:
+                    rows = self.resample(train)
+                except ValueError:
+                    self.drawn[f] = train
+                else:
+                    self.drawn[f] = even_parts(rows)
+            return self.drawn[f]
 
     def one_fold(self, trial: _Trial, fit: Fit, f) -> None:
         context = self.df.sparkSession.sparkContext
@@ -411,7 +422,7 @@ class _Search:
                 return
             with self.lock:
                 trial.fits += 1
-            made = fold_fit(self.df, fit, f, self.fold, resample=None if self.resample is None else self.resampled)
+            made = fold_fit(self.df, fit, f, self.fold, resample=None if self.resample is None else partial(self.resampled, f))
             row = fold_metrics(cut_lineage(made.scored), self.fold, self.label).first()
             with self.lock:
                 if made.rounds is not None:
@@ -460,7 +471,7 @@ def param_search(
 ) -> SearchResult:
     """Seeded random search; trials, and with `parallel_folds` their folds, are concurrent Spark jobs.
 
-    `resample` is applied to the training rows of every fold. With `need_all_folds` a trial is given up at its first fold
+    `resample` is applied to the training rows of every fold, once for all trials. With `need_all_folds` a trial is given up at its first fold
     without positives, else such folds are left out of its means. With `prune` a trial is given up once it can't reach the best one.
     The running jobs of a trial that is given up are cancelled. The best trial is the same with and without pruning.
     """

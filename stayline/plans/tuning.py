@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stayline.operators.limits import union_all
 from stayline.operators.metrics import rank_metrics, select_threshold, threshold_metrics
 from stayline.plans.models import Fit, Range, cross_val_fits, param_search, scale_pos_weight, score
-from stayline.session import cut_lineage
+from stayline.session import cut_lineage, even_parts
 
 COMMITS = "version string, committed timestamp"
 TABLES = ("trials", "oof", "metrics")
@@ -86,7 +86,7 @@ def tune(
         df, make_fit, space, n_trials, metric, seed, fold, label, parallel, need_all_folds=True, resample=resample, prune=prune, **fixed
     )
     fit = make_fit(label=label, **{**fixed, **found.best_params})
-    fits = cross_val_fits(df, fit, fold)
+    fits = cross_val_fits(df, fit, fold, parallel=parallel)
     oof = cut_lineage(union_all(*[f.scored.select(key, label, fold, "prob") for f in fits]))
     rounds = [f.rounds for f in fits if f.rounds is not None]
     threshold = 0.5
@@ -99,7 +99,7 @@ def tune(
     final = {**fixed, **found.best_params}
     if rounds:
         final["rounds"] = max(1, round(sum(rounds) / len(rounds)))
-    rows = df if final_resample is None else final_resample(df)
+    rows = df if final_resample is None else even_parts(final_resample(df))
     model = make_fit(label=label, **final)(rows)
     serving = {
         "dataset": dataset, "tuned_at": dt.datetime.now(dt.timezone.utc).isoformat(), "rows": n, "pos_rate": pos / n if n else None,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stayline.operators import sampling as SA
 from stayline.plans import models as MO
 from stayline.plans import tuning as TU
+from stayline.session import even_parts
 
 
 @pytest.fixture(scope="module")
@@ -162,6 +163,56 @@ def test_trials_are_resampled_and_a_refusal_leaves_rows_as_they_are(rows):
     assert seen[3:] == [160, 160, 160] and all(n > 160 for n in seen[:3])
 
 
+def test_rows_of_a_fold_are_resampled_once_for_all_trials(rows):
+    seen, fitted, lock = [], [], threading.Lock()
+
+    def ros(df):
+        with lock:
+            seen.append(sorted(r["fold"] for r in df.select("fold").distinct().collect()))
+        return SA.random_oversample(df, "doc_id", "label", ratio=1.0).drop("draw")
+
+    def make(label, **_):
+        def fit(train):
+            found = sorted((r["doc_id"], r["label"]) for r in train.collect())
+            with lock:
+                fitted.append(found)
+            return Model(0.9)
+
+        return fit
+
+    found = MO.param_search(rows, make, {}, 4, resample=ros)
+    assert sorted(seen) == [[0, 1], [0, 2], [1, 2]] and found.fits == {n: 3 for n in range(4)}
+    expected = [sorted((r["doc_id"], r["label"]) for r in ros(rows.filter(f"fold != {f}")).collect()) for f in range(3)]
+    assert sorted(fitted) == sorted(expected * 4)
+
+
+def test_a_resampling_that_is_cancelled_is_done_by_the_next_trial(rows):
+    search = MO._Search(rows, [0, 1, 2], "ap", "fold", "label", None, True, True)
+    calls = []
+
+    def broken_once(df):
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("cancelled")
+        return df.limit(7)
+
+    search.resample = broken_once
+    with pytest.raises(RuntimeError, match="cancelled"):
+        search.resampled(0, rows)
+    assert search.resampled(0, rows).count() == 7 and search.resampled(0, rows).count() == 7 and len(calls) == 2
+
+
+def test_parts_that_hold_too_many_rows_are_dealt_evenly(spark):
+    # as a window over few classes leaves them: most rows in one part
+    uneven = spark.range(1100).repartition(3, (F.col("id") < 1000)).withColumn("x", F.col("id") * 2)
+    dealt = even_parts(uneven, 100)
+    sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == 11 and max(sizes) <= 110
+    assert sorted(map(tuple, dealt.collect())) == [(i, 2 * i) for i in range(1100)]
+    few = spark.range(0, 90, 1, 2)
+    assert even_parts(few, 100).rdd.getNumPartitions() == 2 and even_parts(few.filter("id < 0"), 100).count() == 0
+
+
 def test_spaces():
     assert MO.space_for("anything") == MO.GBT_SPACE_GENERAL and MO.space_for("both") == MO.GBT_SPACES["both"]
     assert MO.space_for("anything", leafwise=True)["rounds"].high == 1500
